@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from quillguard.llm import media, token_counts
+from quillguard.llm import media, mixing, packing, quality, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_media_columns": media.query,
+    "op2_quality_classifier": quality.query,
+    "op4_best_fit_packing": packing.query,
+    "op5_quality_rules": quality_rules.query,
+    "op8_url_filters": url_filters.query,
     "op9_token_counts": token_counts.query,
+    "op10_source_mixing": mixing.query,
 }
 ORACLES: dict[str, str] = {}
