@@ -1,10 +1,58 @@
-"""The corpus pipeline; its stages call the operators of quillguard.llm."""
-ORACLE_SQL = None
-STAGES: list = []
+"""From raw documents to packed training sequences: each stage calls one operator of quillguard.llm.
 
+Every stage works on all that the one before it kept; all but the last return the columns of documents.
+"""
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillguard.llm import mixing, near_dedup, packing, quality, secrets
+from quillguard.llm.common import table, word_count, written
+
+ORACLE_SQL = None  # trained, hashed and packed results aren't SQL's; tests/llm holds each stage against brute force
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    scored = quality.score_quality(docs, docs.columns, docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.kept(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with secrets masked in its text; n_chars follows."""
+    found = secrets.scan(docs, docs.columns)
+    return found.withColumn("text", secrets.masked(F.col("text"), F.col("found"))).withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return mixing.repeated(docs, word_count("text"), ["doc_id", "text"])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    return packing.pack(docs, ["doc_id"])
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("near-duplicates", one_of_each_group),
+    ("secret scan", without_secrets),
+    ("source mixing", mixed),
+    ("best-fit packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -71,19 +71,40 @@ def thresholds(sized: DataFrame, budgets: dict[str | None, float]) -> dict[str |
     return found
 
 
-def mix(docs: DataFrame, size: Column, keep: list[str], source: str = "source", identity: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """keep + size, source_size, target, taken (words) and copies (how often the document is in the mix)."""
-    h = F.shiftrightunsigned(F.xxhash64(*(F.col(c) for c in identity or keep)), 64 - BITS)
-    sized = written(docs.select(*keep, F.col(source).alias("source"), size.alias("size"), h.alias("h")) if source not in keep else docs.select(*keep, size.alias("size"), h.alias("h")))
+def hash_of(identity: list[str]) -> Column:
+    """BITS bits that depend on the row's identity alone."""
+    return F.shiftrightunsigned(F.xxhash64(*identity), 64 - BITS)
+
+
+def planned(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """One row a source, s: its size, target, whole times, and the hash below which documents are taken once more.
+
+    sized: source, size, h of every document, written.
+    """
     sizes = {r.source: r.n for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     aim = targets(sizes, weights, share, most)
     times = {s: int(aim[s] // n) if n else 0 for s, n in sizes.items()}
     below = thresholds(sized, {s: aim[s] - times[s] * n for s, n in sizes.items()})
-    plan = sized.sparkSession.createDataFrame([(s, n, float(aim[s]), times[s], below[s]) for s, n in sizes.items()], T._parse_datatype_string(PLAN)).withColumnRenamed("source", "s")
-    joined = sized.join(F.broadcast(plan), sized.source.eqNullSafe(plan.s))
-    copies = F.col("times") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    out = keep + [c for c in ("size", "source_size", "target") if c not in keep]
-    return joined.withColumn("copies", copies.cast("int")).select(*out, (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    return sized.sparkSession.createDataFrame([(s, n, float(aim[s]), times[s], below[s]) for s, n in sizes.items()], T._parse_datatype_string(PLAN)).withColumnRenamed("source", "s")
+
+
+def copies(h: Column) -> Column:
+    return (F.col("times") + F.when(h < F.col("below"), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, size: Column, keep: list[str], source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """keep (which identify a document) + size, source_size, target, taken (words) and copies (how often it is in the mix)."""
+    sized = written(docs.select(*keep, F.col(source).alias("source"), size.alias("size"), hash_of(keep).alias("h")))
+    plan = planned(sized, weights, share, most)
+    joined = sized.join(F.broadcast(plan), sized.source.eqNullSafe(plan.s)).withColumn("copies", copies(F.col("h")))
+    return joined.select(*keep, "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+
+
+def repeated(docs: DataFrame, size: Column, identity: list[str], source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The mix itself: each document as often as it is taken, all columns as they are. Documents aren't shuffled."""
+    plan = planned(written(docs.select(F.col(source).alias("source"), size.alias("size"), hash_of(identity).alias("h"))), weights, share, most)
+    joined = docs.join(F.broadcast(plan), docs[source].eqNullSafe(plan.s))
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies(hash_of(identity)))).alias("__copy")).drop("__copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

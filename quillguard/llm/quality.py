@@ -5,7 +5,8 @@ sum of the index vectors of the documents that hold it. Words fall into BUCKETS
 has one size for any corpus; it is summed over all documents, by task first and then by bucket, in whole numbers, so
 the sum doesn't depend on order. A word counts by itself and by its shape ('THE!!' has the shape 'A!').
 
-A document is pooled into the mean and the spread of its words' vectors, the lengths of both, and its size. The network
+A document is pooled into the mean and the spread of its words' vectors, the lengths of both, its size, how many of its
+words are distinct, and how often a word follows itself. The network
 (one hidden layer) is fitted in numpy on at most SAMPLE labelled documents outside the held-out fold, those of the
 smallest hashes; a fifth of them sets the temperature that divides its outputs. Scores read text and nothing else.
 
@@ -45,7 +46,8 @@ class Bags:
     def __init__(self):
         self.kept: dict[bytes, tuple[int, int]] = {}
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """Buckets, counts, and the share of words that fall where the word before them fell."""
         words = text.encode("utf-8", "replace").split()
         if len(self.kept) > CACHE:
             self.kept.clear()
@@ -53,10 +55,10 @@ class Bags:
         for w in words:
             if w not in kept:
                 kept[w] = (bucket_of(w), bucket_of(shape_of(w)))
-        pairs = np.array([kept[w] for w in words], np.int32).ravel()
-        counts = np.bincount(pairs, minlength=0)
+        pairs = np.array([kept[w] for w in words], np.int32).reshape(-1, 2)
+        counts = np.bincount(pairs.ravel(), minlength=0)
         found = np.flatnonzero(counts)
-        return found, counts[found]
+        return found, counts[found], float((pairs[1:, 0] == pairs[:-1, 0]).mean()) if len(pairs) > 1 else 0.0
 
 
 def index_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +76,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         def add(texts):
             for t in texts:
                 if t:
-                    found, counts = bags(t)
+                    found, counts, _ = bags(t)
                     places, signs = index_vector(t)
                     weight = np.frexp(counts)[1]  # 1 + floor(log2(count))
                     sums[found[:, None], places] += weight[:, None] * signs
@@ -95,17 +97,17 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (table_ / np.maximum(np.linalg.norm(table_, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-N_POOLED = 2 * DIMS + 3
+N_POOLED = 2 * DIMS + 5
 
 
-def pool(vectors: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    found, counts = bag
+def pool(vectors: np.ndarray, bag: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    found, counts, again = bag
     if not len(found):
         return np.zeros(N_POOLED)
     x, w = vectors[found].astype(np.float64), counts / counts.sum()
     mean = w @ x
     spread = np.sqrt(np.maximum(w @ x**2 - mean**2, 0))
-    return np.concatenate([mean * 4, spread * 4, [np.linalg.norm(mean), np.linalg.norm(spread), np.log1p(counts.sum()) / 8]])
+    return np.concatenate([mean * 4, spread * 4, [np.linalg.norm(mean), np.linalg.norm(spread), np.log1p(counts.sum()) / 8, len(found) / np.sqrt(counts.sum()) / 4, again * 2]])
 
 
 class Network:

@@ -3,8 +3,8 @@
 Each line with a word gets a few numbers (shape, repetition, place). The field's two labels are content and boilerplate;
 Viterbi decoding labels the lines of a document together, and the share of its words in content lines decides whether it
 is kept. The field is trained here, by gradient ascent on the conditional likelihood over at most TRAIN_DOCS labelled
-documents (those of the smallest hashes, of at most TRAIN_LINES lines each), whose lines take the document's quality as
-their label. Scoring reads every whole text, in one narrow map; a very long line or document only costs its own length.
+documents (those of the smallest hashes, of at most TRAIN_LINES lines each): every line of a bad document counts as
+boilerplate, of a good one those that repeat an earlier line. Scoring reads every whole text, in one narrow map; a very long line or document only costs its own length.
 
 Null and empty texts have no words: every count is 0, base_failed is true, kept is false. Repeated rows are judged
 alike. Without labels of both kinds nothing is called boilerplate and the base rule alone decides.
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from quillguard.llm.common import map_texts, table
 
-TRAIN_DOCS, TRAIN_LINES, ROUNDS, MIN_CONTENT = 3_000, 120, 80, 0.5
+TRAIN_DOCS, TRAIN_LINES, ROUNDS, MIN_CONTENT = 2_500, 40, 150, 0.5
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-N_FEATURES = 12
+N_FEATURES, DUPLICATE = 13, 10
 
 
 def _class_table() -> np.ndarray:
@@ -94,7 +94,7 @@ class TextLines:
         place = np.arange(n)
         self.features = np.column_stack([
             np.ones(n), np.minimum(np.log1p(self.words) / 5, 2), self.words < 6, share(2) * 2, share(2) > 0.5, share(3) * 4,
-            np.minimum(share(4) * 4, 2), share(4) > 0.08, share(5) * 4, again, dup[live], (place == n - 1) & (n > 1),
+            np.minimum(share(4) * 4, 2), share(4) > 0.08, share(5) * 4, again * (self.words >= 12), dup[live], (place == n - 1) & (n > 1), again * (self.words < 12),
         ]).astype(np.float64) if n else np.zeros((0, N_FEATURES))
 
 
@@ -116,7 +116,7 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return np.array(out[::-1][: len(scores)], np.int64)
 
 
-def train(features: list[np.ndarray], labels: list[int], rounds: int = ROUNDS, rate: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def train(features: list[np.ndarray], labels: list[int], rounds: int = ROUNDS, rate: float = 1.0, decay: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Weights and moves of the field that make the documents' line labels likeliest (gradient ascent with momentum).
 
     Documents are padded to the longest and stepped through together, forward and backward.
@@ -126,8 +126,9 @@ def train(features: list[np.ndarray], labels: list[int], rounds: int = ROUNDS, r
     live = np.zeros((longest, n), bool)
     for i, f in enumerate(features):
         x[: len(f), i], live[: len(f), i] = f, True
-    y = np.array(labels)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # both kinds count alike
+    bad = np.array(labels)
+    y = np.where(bad == 1, True, x[:, :, DUPLICATE] > 0) & live
+    weight = np.where(bad == 1, 0.5 / max(1, (bad == 1).sum()), 0.5 / max(1, (bad == 0).sum()))  # both kinds count alike
     weight = weight / np.maximum(1, live.sum(0))
     w, moves = np.zeros(N_FEATURES), np.zeros((2, 2))
     speed_w, speed_m = np.zeros_like(w), np.zeros_like(moves)
@@ -146,11 +147,10 @@ def train(features: list[np.ndarray], labels: list[int], rounds: int = ROUNDS, r
             backward[t] = np.where(live[t + 1][:, None], step, 0)
             both = np.exp(np.minimum(0, forward[t][:, :, None] + moves + (e[t + 1] + backward[t + 1])[:, None, :] - z[:, None, None]))
             both = both * (live[t + 1] * weight)[:, None, None]
-            true = weight * live[t + 1]
-            grad_m += [[true[y == 0].sum(), 0], [0, true[y == 1].sum()]]
+            np.add.at(grad_m, (y[t].astype(int), y[t + 1].astype(int)), weight * live[t + 1])
             grad_m -= both.sum(0)
         p = np.exp(np.minimum(0, forward[:, :, 1] + backward[:, :, 1] - z))
-        grad_w = np.einsum("tn,tnf->f", (y[None, :] - p) * live * weight, x)
+        grad_w = np.einsum("tn,tnf->f", (y - p) * live * weight, x)
         speed_w = 0.9 * speed_w + grad_w - decay * w
         speed_m = 0.9 * speed_m + grad_m - decay * moves
         w, moves = w + rate * speed_w, moves + rate * speed_m

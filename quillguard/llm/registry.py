@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quillguard.llm import media, mixing, packing, quality, quality_rules, token_counts, url_filters
+from quillguard.llm import lm_scoring, media, mixing, near_dedup, packing, quality, quality_rules, secrets, token_counts, url_filters
 
 QUERIES = {
     "op1_media_columns": media.query,
     "op2_quality_classifier": quality.query,
+    "op3_secret_scans": secrets.query,
     "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_lm_scoring": lm_scoring.query,
+    "op7_minhash_near_dedup": near_dedup.query,
     "op8_url_filters": url_filters.query,
     "op9_token_counts": token_counts.query,
     "op10_source_mixing": mixing.query,
