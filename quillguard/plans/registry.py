@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quillguard.plans import detection, joins, rollups  # noqa: F401  they register what they declare
+from quillguard.plans.base import ORACLES, QUERIES  # noqa: F401
