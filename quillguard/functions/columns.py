@@ -196,7 +196,7 @@ def cef_header(text: Column) -> Column:
 
 
 def cef_value(text: Column) -> Column:
-    return F.regexp_replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("="), F.lit("\\=")), r"\r\n|\r|\n", "\\\\\\\\n")
+    return F.regexp_replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("="), F.lit("\\=")), r"\r\n|\r|\n", r"\\n")
 
 
 def entropy(text: Column) -> Column:

@@ -1,0 +1,130 @@
+"""Normalisation and decoding of text; ASCII rows never leave the JVM."""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import html
+import re
+import unicodedata
+import zlib
+from urllib.parse import unquote
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Letters of other scripts that look like Latin ones (public confusables), folded one to one.
+LOOKALIKES = ("аеорсухіјѕԁԛԝАВЕКМНОРСТХΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdqwABEKMHOPCTXABEZHIKMNOPTYX")
+ZERO_WIDTH = "[​‌‍⁠﻿­]"
+B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+HEX = re.compile(r"(?:[0-9a-fA-F]{2}){8,}")
+LEVELS, BUDGET, PRINTABLE = 3, 512 * 1024, 0.85
+
+
+def _fold(t: str) -> str:
+    t = unicodedata.normalize("NFKC", t)
+    if t.isascii():
+        return t
+    kept = (c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) not in ("Cf", "Mn", "Me"))
+    return "".join(str(d) if (d := unicodedata.digit(c, None)) is not None else c for c in unicodedata.normalize("NFC", "".join(kept)))
+
+
+@F.pandas_udf(T.StringType())
+def _fold_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _fold(t) if t is not None else None)
+
+
+def canonical_fold(text: Column) -> Column:
+    """NFKC, without marks and format characters, all digits ASCII. Python only sees texts that aren't ASCII."""
+    odd = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.coalesce(_fold_udf(odd), text)
+
+
+def keep_lines(text: Column) -> Column:
+    return F.translate(F.regexp_replace(canonical_fold(text), ZERO_WIDTH, ""), *LOOKALIKES)
+
+
+def for_match(text: Column) -> Column:
+    return F.trim(F.regexp_replace(keep_lines(text), r"\s+", " "))
+
+
+def printable(raw: bytes) -> str | None:
+    """The text of some bytes (inflated if they are compressed), if most of it can be printed."""
+    for start, wbits in ((b"\x1f\x8b", 31), (b"\x78", 15)):
+        if raw.startswith(start):
+            try:
+                raw = zlib.decompressobj(wbits).decompress(raw, BUDGET)
+            except zlib.error:
+                return None
+    try:
+        t = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    good = sum(c.isprintable() or c in "\n\r\t" for c in t)
+    return t if t and good / len(t) > PRINTABLE else None
+
+
+def decode_once(text: str, left: int) -> tuple[list[str], int]:
+    """Texts behind base64 and hex runs and behind escapes, as far as the budget of bytes goes."""
+    out = []
+    for pattern, how in ((HEX, bytes.fromhex), (B64, lambda s: base64.b64decode(s.replace("-", "+").replace("_", "/") + "=" * (-len(s) % 4)))):
+        for m in pattern.finditer(text):
+            if left <= 0:
+                return out, left
+            left -= len(m[0])
+            try:
+                found = printable(how(m[0].rstrip("=") if pattern is B64 else m[0]))
+            except (ValueError, binascii.Error):
+                continue
+            if found:
+                out.append(found)
+    plain = re.sub(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})", lambda m: chr(int(m[1] or m[2], 16)), html.unescape(text))
+    for view in (plain, unquote(text)):
+        if view != text:
+            out.append(view)
+    return out, left
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("exhausted", T.BooleanType())]))
+def decoded_views(texts: pd.Series) -> pd.DataFrame:
+    """All that LEVELS rounds of decoding bring out, line by line, and whether the budget ended it."""
+    out = []
+    for t in texts:
+        seen, level, left = [], [t or ""], BUDGET
+        for _ in range(LEVELS):
+            found = []
+            for x in level:
+                more, left = decode_once(x, left)
+                found += [m for m in more if m not in seen]
+            seen += found
+            level = found
+            if not level:
+                break
+        out.append(("\n".join(seen), left <= 0))
+    return pd.DataFrame(out, columns=["text", "exhausted"])
+
+
+def glued(text: Column) -> Column:
+    """String pieces joined by + or blanks read as one: 'ab' + 'cd' is abcd."""
+    return F.regexp_replace(text, r"""["']\s*\+\s*["']""", "")
+
+
+def despaced(text: Column) -> Column:
+    """Single characters apart from each other read as a word: p a s s w o r d."""
+    return F.regexp_replace(text, r"(?<=\b\S) (?=\S\b)", "")
+
+
+def windows(text: Column, size: int = 240, step: int = 120) -> Column:
+    """Overlapping pieces of a text; the last reaches its end."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - size + step - 1, F.lit(0)), F.lit(step))
+    return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))
+
+
+def entropy_tokens(text: Column, least: float = 3.6) -> Column:
+    """Long mixed tokens of high entropy, with a digit and two classes of letters."""
+    from quillguard.functions.columns import entropy
+
+    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]{24,80}"), F.lit(0))
+    return F.filter(found, lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]") & (entropy(t) >= least))
