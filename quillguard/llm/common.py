@@ -45,7 +45,8 @@ def written(df: DataFrame) -> DataFrame:
 
 def fold_of(doc_id: Column | str, parts: int = 5) -> Column:
     """crc32 of doc_id as text, modulo parts. A null doc_id counts as the text ''."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % parts
+    as_text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(as_text, F.lit("")).cast("binary")) % parts
 
 
 def word_count(text: Column | str) -> Column:
