@@ -8,10 +8,14 @@ similarity of their weighted shingles as chance. A process ends as soon as its n
 Components are banded; texts that share a band are candidates, and a candidate pair is a link if the exact Jaccard
 similarity of the shingle sets is SIMILARITY or more. Equal texts are one class without any comparison.
 
-No group is ever expanded into all pairs: each band compares its members with one leader, the member that meets the most
-others over its bands; a join spreads a large band. Bands whose members ended in different classes are compared again,
-with the leaders of the other classes' members left over, until the members that aren't yet in one class are few enough
-to be compared with each other in full; what remains is compared exactly, across classes only.
+No group is ever expanded into all pairs. Each band compares its members with one leader, the member that meets the most
+others over its bands; a join spreads a large band. Members that aren't similar to their leader may still be similar to
+each other. Two members x and y of one leader L share at most min(|x & L|, |y & L|) shingles of L, so a link needs either
+sizes that allow that bound to reach SIMILARITY, or a shingle in common outside L, and of those so many that one lies in
+both prefixes of x - L and y - L, in hash order. Both are equal-key joins, and what they find is verified. No candidate
+pair of a shared band is lost this way, and copies of one text that only differ from it independently never meet.
+
+Texts are told apart by 64 bits of hash, a text's shingles by 32 bits.
 
 Null texts count as empty. Texts without words are classes by equality. Repeated rows (equal id and text) give one row
 each. A null id is an id of its own, first in order. An empty table gives an empty result. Further columns are ignored.
@@ -28,7 +32,7 @@ from pyspark.sql import types as T
 
 from quillguard.llm.common import map_texts, table, written
 
-WORDS, SIMILARITY, BANDS, ROWS, ROUNDS, CACHE = 5, 0.8, 28, 5, 3, 300_000
+WORDS, SIMILARITY, BANDS, ROWS, CACHE, BROADCAST_REPS = 5, 0.8, 28, 5, 300_000, 2_000_000
 COMPONENTS = BANDS * ROWS
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,7 +108,7 @@ def bands_of(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, keep: list[str], text: str = "text", words: int = WORDS) -> DataFrame:
-    """keep + text_hash (128 bits), shingles (how many), bands (none without words)."""
+    """keep + shingles (how many) and bands (none without words)."""
 
     def make():
         shingler = Shingler(words)
@@ -112,31 +116,59 @@ def sketched(docs: DataFrame, keep: list[str], text: str = "text", words: int =
         def work(texts):
             sets = [shingler(t) for t in texts]
             bands = bands_of(signatures(sets))
-            return [[xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts], [len(s) for s, _ in sets], [b if len(s) else [] for b, (s, _) in zip(bands, sets)]]
+            return [[len(s) for s, _ in sets], [b if len(s) else [] for b, (s, _) in zip(bands, sets)]]
 
         return work
 
-    return map_texts(docs, make, "text_hash binary, shingles int, bands array<long>", keep, text)
+    return map_texts(docs, make, "shingles int, bands array<long>", keep, text)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets' Jaccard similarity is high enough."""
-    one = pairs.join(sets.withColumnsRenamed({"rep": "a", "set": "set_a"}), "a")
-    both = one.join(sets.withColumnsRenamed({"rep": "b", "set": "set_b"}), "b").select("a", "b", "set_a", "set_b")
-    schema = T.StructType([both.schema["a"], both.schema["b"]])
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b, common, and rest: the shingles of a that b lacks, ordered."""
+    one = pairs.select("a", "b").join(sets.withColumnsRenamed({"rep": "b", "set": "set_b"}), "b")
+    both = one.join(sets.withColumnsRenamed({"rep": "a", "set": "set_a"}), "a").select("a", "b", "set_a", "set_b")
+    schema = T.StructType([*both.schema.fields[:2], *T._parse_datatype_string("n_a int, n_b int, common int, rest array<int>").fields])
 
     def run(batches):
         for batch in batches:
-            hit = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(common >= at_least * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            for at in range(0, batch.num_rows, 512):
+                part, found = batch.slice(at, 512), []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    x, y = np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)
+                    rest = np.setdiff1d(x, y, assume_unique=True)
+                    found.append((len(x), len(y), len(x) - len(rest), rest))
+                n_a, n_b, common, rest = zip(*found) if found else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(common, pa.int32()), pa.array(rest, pa.list_(pa.int32()))], names=schema.names)
 
     return both.mapInArrow(run, schema)
 
 
+def similar(similarity: float) -> str:
+    """Whether an overlap is a link, in whole numbers where the similarity is a hundredth."""
+    return f"common * {100 + round(100 * similarity)} >= {round(100 * similarity)} * (n_a + n_b)"
+
+
+def leftover_pairs(compared: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one leader and different classes, one of them not similar to it, that may be similar (see above)."""
+    t = round(100 * similarity)
+    named = compared.withColumn("far", ~F.expr(similar(similarity))).join(classes.withColumnRenamed("rep", "a"), "a")
+    # a link of x needs similarity * |x| shingles in common, so at least that many less those shared with the leader outside it
+    need = F.expr(f"greatest(1, cast(ceil({t} * n_a / 100D - 1e-9) as int) - common)")
+    named = named.withColumn("prefix", F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.size("rest") - need + 1)))
+    named = written(named.select("b", "a", "cls", "far", F.col("n_a").alias("n"), "common", "prefix"))
+    x = named.where("far").withColumnsRenamed({"a": "x", "cls": "x_cls", "n": "x_n", "common": "x_c"}).drop("far")
+    y = named.withColumnsRenamed({"a": "y", "cls": "y_cls", "n": "y_n", "common": "y_c"}).drop("far")
+    may = f"x_cls <> y_cls and least(x_n, y_n) * 100 >= {t} * greatest(x_n, y_n)"
+    outside = x.select("b", "x", "x_cls", "x_n", F.explode("prefix").alias("h")).join(y.select("b", "y", "y_cls", "y_n", F.explode("prefix").alias("h")), ["b", "h"]).where(may)
+    step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(1.05))).cast("int")
+    most = F.expr(f"cast(floor({100 + t} * x_c / {t}D - x_n + 1e-9) as int)")  # the largest |y| that the bound allows
+    low = F.greatest(F.lit(1), F.expr(f"cast(ceil({t} * x_n / 100D - 1e-9) as int)"))
+    ranged = x.drop("prefix").where(most >= low).withColumn("step", F.explode(F.sequence(step(low), step(most))))
+    inside = ranged.join(y.drop("prefix").withColumn("step", step(F.col("y_n"))), ["b", "step"]).where(f"{may} and {100 + t} * least(x_c, y_c) >= {t} * (x_n + y_n)")
+    both = outside.select("x", "y").union(inside.select("x", "y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(rep, cls): classes after their members' links, each class named by its least member.
 
@@ -165,52 +197,42 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     class_id: the least key of the class; cls: the class's own hash, for keys that aren't unique; copies: rows with an
     equal text; links: verified links found for the text; text64: xxhash64 of the text, to find the row again.
     """
-    rows = written(sketched(docs.withColumn("text64", F.xxhash64(F.col(text).cast("string"))), [key, "text64"], text, words))
-    reps = written(rows.groupBy("text_hash").agg(F.min(key).alias("key"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")).withColumn("rep", F.xxhash64("text_hash")))
-    # Texts are told apart by their own hashes: ids may be null or repeated
-    members = written(reps.select("rep", "shingles", F.explode("bands").alias("band")))
-    full = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(full, "band").select("band", "rep", "shingles", "n"))
-    weight = members.groupBy("rep").agg(F.sum("n").alias("met"))
-    members = written(members.drop("n").join(weight, "rep"))
-    classes = written(members.select("rep").distinct().withColumn("cls", F.col("rep")))
-    chosen = docs.select(F.col(text).cast("string").alias("text"))
-    with_hash = map_texts(chosen, lambda: lambda texts: [[xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts], texts], "text_hash binary, whole string", [], "text")
-    wanted = with_hash.withColumn("rep", F.xxhash64("text_hash")).join(classes.select("rep"), "rep", "left_semi")
+    hashed = docs.withColumn("rep", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    rows = written(sketched(hashed, [key, "rep"], text, words))
+    reps = written(rows.groupBy("rep").agg(F.min(key).alias("key"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    members = reps.select("rep", F.explode("bands").alias("band"))
+    shared = written(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    members = written(members.join(shared, "band"))
+    members = members.join(members.groupBy("rep").agg(F.sum("n").alias("met")), "rep")
+    led = members.groupBy("band").agg(F.max(F.struct("met", "rep")).alias("lead")).select("band", F.col("lead.rep").alias("b"))
+    pairs = written(members.select("band", F.col("rep").alias("a")).join(led, "band").where("a <> b").select("a", "b").distinct())
+    classes = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().withColumn("cls", F.col("rep")))
+    wanted = written(reps.join(classes, "rep", "left_semi").select(F.col("rep").alias("__rep"), F.col("key").alias("__key")))  # one row a text
+    if wanted.count() <= BROADCAST_REPS:  # their hashes, sent to where the texts are; beyond that, texts are shuffled
+        wanted = F.broadcast(wanted)
 
     def make():
         shingler = Shingler(words)
-        return lambda texts: [[shingler(t)[0].tobytes() for t in texts]]
-
-    sets = written(map_texts(wanted, make, "`set` binary", ["rep"], "whole").groupBy("rep").agg(F.first("set").alias("set")))
-    links, tried = None, None
-    for round_ in range(ROUNDS + 1):
-        named = members.join(classes, "rep")
-        mixed = written(named.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max(F.struct("met", "rep", "cls", "shingles")).alias("lead"), F.max_by(F.struct("rep", "cls", "shingles"), F.struct(F.xxhash64("cls"), "rep")).alias("other")).where("lo != hi"))
-        if mixed.isEmpty():
-            break
-        if round_ < ROUNDS:  # every member against its band's leader: the one that meets most, then one of another class
-            leader = F.col("lead") if round_ == 0 else F.col("other")
-            at = mixed.select("band", leader["rep"].alias("b"), leader["cls"].alias("b_cls"), leader["shingles"].alias("b_shingles"))
-            pairs = named.join(at, "band").where("cls != b_cls").select(F.col("rep").alias("a"), "b", F.col("shingles").alias("m"), F.col("b_shingles").alias("k"))
-        else:  # the rest exactly: all members of such bands across classes
-            left = named.join(mixed.select("band"), "band", "left_semi")
-            right = left.select("band", F.col("rep").alias("b"), F.col("cls").alias("b_cls"), F.col("shingles").alias("k"))
-            pairs = left.join(right, "band").where("cls < b_cls").select(F.col("rep").alias("a"), "b", F.col("shingles").alias("m"), "k")
-        # sets of very different size can't be similar enough
-        pairs = pairs.where(f"least(m, k) >= {similarity} * greatest(m, k)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        found = written(similar(pairs, sets, similarity))
-        links = found if links is None else links.union(found)
-        classes = merged(classes, found)
-    links = links if links is not None else members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+        return lambda texts: [[np.unique(shingler(t)[0].astype(np.uint32)).view(np.int32).tobytes() for t in texts]]
+
+    chosen = hashed.join(wanted, (F.col("rep") == F.col("__rep")) & F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    sets = map_texts(chosen, make, "`set` binary", ["rep"], text)
+    if not rows.groupBy("rep", key).count().where("count > 1").isEmpty():  # equal rows
+        sets = sets.dropDuplicates(["rep"])
+    sets = written(sets)
+    compared = written(overlaps(pairs, sets))
+    links = compared.where(similar(similarity)).select("a", "b")
+    classes = merged(classes, links)
+    more = written(leftover_pairs(compared, classes, similarity))
+    if not more.isEmpty():
+        found = written(overlaps(more, sets).where(similar(similarity)).select("a", "b"))
+        classes, links = merged(classes, found), links.union(found)
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "rep")
-    of_rep = reps.select("text_hash", "rep", "key", "copies").join(classes, "rep", "left").join(degree, "rep", "left")
+    of_rep = reps.select("rep", "key", "copies").join(classes, "rep", "left").join(degree, "rep", "left")
     of_rep = written(of_rep.withColumn("cls", F.coalesce("cls", "rep")))
     least = of_rep.groupBy("cls").agg(F.min("key").alias("class_id"))
-    named = of_rep.join(least, "cls").select("text_hash", "class_id", "cls", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return rows.select(key, "text64", "text_hash").join(named, "text_hash").drop("text_hash")
+    named = of_rep.join(least, "cls").select("rep", "class_id", "cls", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return rows.select(key, "rep").join(named, "rep").withColumnRenamed("rep", "text64")
 
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,7 +240,7 @@ def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     classes = written(classes_of(docs, key, text))
     first = F.struct(F.col(key).isNotNull(), key, "text64")
     chosen = written(classes.groupBy("cls").agg(F.min(first).alias("row"), F.count("*").alias("n")).select(F.col(f"row.{key}").alias("__key"), F.col("row.text64").alias("__text64")))
-    found = docs.withColumn("__hash", F.xxhash64(F.col(text).cast("string"))).join(chosen, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__text64")), "left_semi")
+    found = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))).join(chosen, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__text64")), "left_semi")
     if not classes.groupBy(key, "text64").count().where("count > 1").isEmpty():  # equal rows: one stays
         found = found.dropDuplicates([key, "__hash"])
     return found.drop("__hash")
