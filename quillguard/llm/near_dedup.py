@@ -155,16 +155,20 @@ def leftover_pairs(compared: DataFrame, classes: DataFrame, similarity: float) -
     # a link of x needs similarity * |x| shingles in common, so at least that many less those shared with the leader outside it
     need = F.expr(f"greatest(1, cast(ceil({t} * n_a / 100D - 1e-9) as int) - common)")
     named = named.withColumn("prefix", F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.size("rest") - need + 1)))
-    named = written(named.select("b", "a", "cls", "far", F.col("n_a").alias("n"), "common", "prefix"))
-    x = named.where("far").withColumnsRenamed({"a": "x", "cls": "x_cls", "n": "x_n", "common": "x_c"}).drop("far")
-    y = named.withColumnsRenamed({"a": "y", "cls": "y_cls", "n": "y_n", "common": "y_c"}).drop("far")
+    named = written(named.select("b", "a", "cls", "far", F.col("n_a").alias("n"), "common", F.size("rest").alias("r"), "prefix"))
+    x = named.where("far").withColumnsRenamed({"a": "x", "cls": "x_cls", "n": "x_n", "common": "x_c", "r": "x_r"}).drop("far")
+    y = named.withColumnsRenamed({"a": "y", "cls": "y_cls", "n": "y_n", "common": "y_c", "r": "y_r"}).drop("far")
     may = f"x_cls <> y_cls and least(x_n, y_n) * 100 >= {t} * greatest(x_n, y_n)"
-    outside = x.select("b", "x", "x_cls", "x_n", F.explode("prefix").alias("h")).join(y.select("b", "y", "y_cls", "y_n", F.explode("prefix").alias("h")), ["b", "h"]).where(may)
+    # how many shingles outside the leader a pair must share; its first in common lies before the last so many of either
+    lacks = f"(cast(ceil({t} * (x_n + y_n) / {100 + t}D - 1e-9) as int) - least(x_c, y_c))"
+    early = f"{lacks} >= 1 and x_at + {lacks} <= x_r and y_at + {lacks} <= y_r"
+    side = lambda df, s: df.select("b", s, f"{s}_cls", f"{s}_n", f"{s}_c", f"{s}_r", F.posexplode("prefix").alias(f"{s}_at", "h"))
+    outside = side(x, "x").join(side(y, "y"), ["b", "h"]).where(f"{may} and {early}")
     step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(1.05))).cast("int")
     most = F.expr(f"cast(floor({100 + t} * x_c / {t}D - x_n + 1e-9) as int)")  # the largest |y| that the bound allows
     low = F.greatest(F.lit(1), F.expr(f"cast(ceil({t} * x_n / 100D - 1e-9) as int)"))
-    ranged = x.drop("prefix").where(most >= low).withColumn("step", F.explode(F.sequence(step(low), step(most))))
-    inside = ranged.join(y.drop("prefix").withColumn("step", step(F.col("y_n"))), ["b", "step"]).where(f"{may} and {100 + t} * least(x_c, y_c) >= {t} * (x_n + y_n)")
+    ranged = x.drop("prefix", "x_r").where(most >= low).withColumn("step", F.explode(F.sequence(step(low), step(most))))
+    inside = ranged.join(y.drop("prefix", "y_r").withColumn("step", step(F.col("y_n"))), ["b", "step"]).where(f"{may} and {100 + t} * least(x_c, y_c) >= {t} * (x_n + y_n)")
     both = outside.select("x", "y").union(inside.select("x", "y"))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 

@@ -101,3 +101,23 @@ def redacted(spark, sf) -> DataFrame:
     from quillguard.operators.redact import redact_patterns
 
     return read(spark, sf, "documents").select("doc_id", F.md5(redact_patterns(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("page_verdicts")
+def page_verdicts(spark, sf) -> DataFrame:
+    """Visible text of web pages through the detectors."""
+    from quillguard.sources.warehouse import page_text
+
+    pages = read(spark, sf, "pages").select("page_id", page_text(F.col("html")).alias("text"))
+    return S.verdict(D.detect(pages, "text")).select("page_id", F.length("text").alias("n_chars"), "risk_score", "severity")
+
+
+@query("linear_classifier_sweep")
+def linear_classifier(spark, sf) -> DataFrame:
+    """A hashed linear classifier of the toxic label, trained on four fifths of the labelled documents, judged on the rest."""
+    from quillguard.operators import ml
+
+    labelled = read(spark, sf, "documents").select("doc_id", "text").join(read(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
+    rows = labelled.select("doc_id", "label", ml.terms(F.col("text")).alias("terms"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(5))
+    return ml.confusion(ml.probability(ml.train(rows.where(fold != 0)), rows.where(fold == 0)), [0.1, 0.25, 0.5, 0.75])
