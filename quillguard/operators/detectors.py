@@ -92,4 +92,4 @@ def detect(df: DataFrame, text: str) -> DataFrame:
         (t.rlike(SENSITIVE_PATH), S.signal("sensitive_access", 0.9, 0.9, "sensitive_path", detector="mcp_guard")),
         (t.rlike(AUTONOMY), S.signal("agent_autonomy", 0.7, 0.8, "autonomy_flag", detector="agent_safety")),
     )
-    return staged.withColumn("signals", found).drop(*(c for c in staged.columns if c.startswith("__")))
+    return staged.withColumn("signals", found).drop(*(c for c in staged.columns if c not in df.columns))

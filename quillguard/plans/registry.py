@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillguard.plans import detection, joins, rollups, upkeep  # noqa: F401  they register what they declare
+from quillguard.plans import detection, inventory, joins, rollups, upkeep  # noqa: F401  they register what they declare
 from quillguard.plans.base import ORACLES, QUERIES  # noqa: F401
