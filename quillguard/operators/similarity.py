@@ -11,9 +11,12 @@ SAMPLED = ("0", "4", "8", "c")  # one hash in four, by its first hex digit
 
 def shingles(text: Column, words: int = 5) -> Column:
     """Distinct sampled hashes of runs of words; empty for shorter texts."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.md5(F.array_join(F.slice(w, i, words), " ").cast("binary")))
-    return F.when(F.size(w) >= words, F.filter(F.array_distinct(runs), lambda h: F.substring(h, 1, 1).isin(*SAMPLED))).otherwise(F.expr("cast(array() as array<string>)"))
+    all_words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    run = lambda w, i: F.md5(F.concat_ws(" ", *(F.get(w, i + k) for k in range(words))).cast("binary"))
+    sampled = lambda w: F.filter(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: run(w, i))), lambda h: F.substring(h, 1, 1).isin(*SAMPLED))
+    none = F.expr("cast(array() as array<string>)")
+    # the words are bound by a one-element transform: named inside the inner lambda they would be extracted again for every run
+    return F.element_at(F.transform(F.array(all_words), lambda w: F.when(F.size(w) >= words, sampled(w)).otherwise(none)), 1)
 
 
 def best_origin(prompts: DataFrame, docs: DataFrame, prompt_id: str, doc_id: str, least: int = 4, above: float = 0.5) -> DataFrame:

@@ -94,10 +94,10 @@ m AS (SELECT d.id AS doc, p.id AS item, count(*) AS c FROM k d JOIN k p ON d.h =
 r AS (SELECT doc AS item_id, item AS doc_id, round(c / n.n, 2) AS containment, row_number() OVER (PARTITION BY doc ORDER BY c DESC, item) AS r FROM m JOIN n ON n.kind = 'd' AND n.id = m.doc WHERE n.n >= 4 AND c > 0.5 * n.n)
 SELECT item_id, doc_id, containment FROM r WHERE r = 1""")
 def origin(spark, sf) -> DataFrame:
-    """Passages (the prompts) with the document that holds most of their sampled shingles, more than half."""
+    """Passages (the prompts) with the document, of any length, that holds most of their sampled shingles, more than half."""
     from quillguard.operators.similarity import best_origin
 
-    docs = read(spark, sf, "documents").where("length(text) < 4000").select("doc_id", "text")
+    docs = read(spark, sf, "documents").select("doc_id", "text")
     return best_origin(read(spark, sf, "benchmark").select("item_id", "text"), docs, "item_id", "doc_id")
 
 
