@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text's shingles (five words, or all words of a shorter text) are weighted by 1 + ln(occurrences). ProbMinHash draws,
-for each shingle, the arrivals of a Poisson process whose rate is the weight; each arrival falls on one of COMPONENTS
-components, which keeps the shingle that arrived first. Two texts agree in a component with the probability Jaccard
-similarity of their weighted shingles as chance. A process ends as soon as its next arrival is later than every kept one.
+A text's distinct shingles (five words, or all words of a shorter text) have the weight 1 each, however often they occur.
+ProbMinHash draws, for each shingle, the arrivals of a Poisson process whose rate is the weight; each arrival falls on one
+of COMPONENTS components, which keeps the shingle that arrived first. Two texts agree in a component with the probability
+Jaccard similarity of their weighted shingles as chance; for equal weights that is the plain Jaccard similarity that links
+are verified by, so repeats never hide a link. A process ends as soon as its next arrival is later than every kept one.
 
 Components are banded; texts that share a band are candidates, and a candidate pair is a link if the exact Jaccard
 similarity of the shingle sets is SIMILARITY or more. Equal texts are one class without any comparison.
@@ -71,7 +72,8 @@ class Shingler:
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], components: int = COMPONENTS) -> np.ndarray:
-    """ProbMinHash signatures of many weighted sets at once: the kept shingle of each component (0 for empty sets)."""
+    """ProbMinHash signatures of many sets (shingles, occurrences), weighted by 1 + ln(occurrences): the kept shingle of
+    each component (0 for empty sets)."""
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s, _ in sets])
     kept = np.zeros((n, components), np.uint64)
@@ -115,7 +117,7 @@ def sketched(docs: DataFrame, keep: list[str], text: str = "text", words: int =
 
         def work(texts):
             sets = [shingler(t) for t in texts]
-            bands = bands_of(signatures(sets))
+            bands = bands_of(signatures([(s, np.ones_like(n)) for s, n in sets]))  # equal weights, as links are verified
             return [[len(s) for s, _ in sets], [b if len(s) else [] for b, (s, _) in zip(bands, sets)]]
 
         return work

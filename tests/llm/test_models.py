@@ -144,6 +144,23 @@ def test_classes(spark, docs):
     assert near_dedup.classes_of(df.limit(0)).count() == 0
 
 
+def test_repeated_passages_hide_no_class(spark):
+    """Copies in which one passage repeats far more often than the rest are as similar as their shingle sets."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(50_000)]
+    rows = []
+    for i in range(40):
+        base = rng.choice(vocabulary, 1000).tolist()
+        copy = list(base)
+        for p in range(20):
+            copy[50 * p + 20] = f"new{i}_{p}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy + copy[300:450] * 100))]
+    want = brute_classes(rows)
+    assert want == [k - k % 2 for k, _ in rows]
+    got = near_dedup.classes_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {k: c for (k, _), c in zip(rows, want)}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(3)
     x, y = (dict(zip(range(a, a + 60), rng.integers(1, 9, 60))) for a in (0, 20))
