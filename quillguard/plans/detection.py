@@ -60,8 +60,8 @@ def detector_verdicts(spark, sf) -> DataFrame:
 
 @query("conversation_verdicts")
 def conversation_verdicts(spark, sf) -> DataFrame:
-    """Gateway traffic: each turn scored, then a verdict per conversation side."""
-    found = S.verdict(D.detect(read(spark, sf, "conversations").where("role <> 'system'"), "text"))
+    """Gateway traffic: each turn scored, system prompts too, then a verdict per conversation side; no role is a side of its own."""
+    found = S.verdict(D.detect(read(spark, sf, "conversations"), "text"))
     return found.groupBy("conv_id", "role").agg(F.max("risk_score").alias("risk"), F.count_if(F.col("risk_score") >= 35).alias("alerts"))
 
 
