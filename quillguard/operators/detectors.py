@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillguard.functions import columns as C
 from quillguard.functions import scoring as S
+from quillguard.functions.text import entropy_tokens
 
 #: Public vendor formats; bounded repeats keep them linear.
 SECRETS = (
@@ -42,8 +43,10 @@ def has_term(text: Column, terms: tuple[str, ...]) -> Column:
 
 
 def n_terms(text: Column, terms: tuple[str, ...]) -> Column:
+    """How many of the terms a text holds, as it is or with digits read as letters; both forms are made once a text."""
     flat = F.regexp_replace(F.lower(text), r"\s+", " ")
-    return F.size(F.filter(F.lit(list(terms)), lambda t: F.contains(flat, t) | F.contains(C.leet_fold(flat), t)))
+    forms = F.transform(F.array(flat), lambda x: F.struct(x.alias("x"), C.leet_fold(x).alias("y")))
+    return F.element_at(F.transform(forms, lambda f: F.size(F.filter(F.lit(list(terms)), lambda t: F.contains(f["x"], t) | F.contains(f["y"], t)))), 1)
 
 
 def secret_labels(text: Column, table=SECRETS) -> Column:
@@ -51,21 +54,30 @@ def secret_labels(text: Column, table=SECRETS) -> Column:
     return F.filter(F.array(*(F.when(text.rlike(p), name) for name, p in table)), lambda x: x.isNotNull())
 
 
-def matches(text: Column, pattern: str) -> Column:
+def found_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def random_keys(text: Column) -> Column:
+    """Long random tokens of no known format: no plain hex, and no base64 of a text (which is read decoded instead)."""
+    decoded = lambda t: F.try_to_binary(F.concat(t, F.repeat(F.lit("="), F.pmod(-F.length(t), F.lit(4)))), F.lit("base64")).cast("string")
+    return F.filter(entropy_tokens(text), lambda t: ~t.rlike("^[0-9a-fA-F]+$") & ~F.coalesce(decoded(t).rlike(r"^[\x20-\x7E\s]+$"), F.lit(False)))
+
+
 def near(text: Column, word: str, pattern: str, within: int) -> Column:
     """A pattern within so many characters of a word, on either side."""
     return text.rlike(f"(?is)(?:{word}).{{0,{within}}}?(?:{pattern})|(?:{pattern}).{{0,{within}}}?(?:{word})")
 
 
-def detect(df: DataFrame, text: str) -> DataFrame:
+def detect(df: DataFrame, text: str, distinct: bool = False) -> DataFrame:
     """Adds signals: instruction override, jailbreak, exfiltration, secrets, personal and health data, markers, code, commands.
 
-    Null text has none. All expressions are built in, so a scan, its detectors and the scoring are one stage.
+    Null text has none. All expressions are built in, so a scan, its detectors and the scoring are one stage. The text is
+    read as it stands; pipelines.detect_decoded also reads what is folded, encoded or split. distinct: equal numbers,
+    addresses and lines count once, for texts that hold several views of one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
+    matches = lambda c, pattern: F.array_distinct(found_all(c, pattern)) if distinct else found_all(c, pattern)
     staged = df.withColumns({
         "__o": n_terms(t, OVERRIDE), "__j": n_terms(t, JAILBREAK), "__x": n_terms(t, EXFILTRATION), "__s": secret_labels(t, SECRETS + MORE_SECRETS),
         "__cards": F.size(F.filter(matches(t, "[0-9](?:[ -]?[0-9]){12,18}"), C.card_ok)),
@@ -73,7 +85,7 @@ def detect(df: DataFrame, text: str) -> DataFrame:
         "__phones": F.size(F.filter(matches(t, r"(?<![0-9])(?:\+1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"), lambda m: ~F.substring(C.digits(m), -7, 3).eqNullSafe("555"))),
         "__mails": F.size(F.filter(matches(t, EMAIL), lambda m: F.lower(F.substring_index(m, "@", -1)).isin(*PERSONAL))),
         "__health": F.size(F.filter(matches(t, r"(?<![0-9])[12][0-9]{9}(?![0-9])"), C.npi_ok)) + F.size(F.filter(matches(t, r"\b[A-Za-z][A-Za-z9][0-9]{7}\b"), C.dea_ok)),
-        "__code": F.size(matches(t, CODE)),
+        "__code": F.size(matches(t, CODE)), "__keys": random_keys(t),
     })
     up = lambda base, n: F.least(F.lit(1.0), F.lit(base) + 0.15 * F.col(n))
     found = S.signals(
@@ -82,6 +94,8 @@ def detect(df: DataFrame, text: str) -> DataFrame:
         (F.col("__x") > 0, S.signal("data_exfiltration", 0.8, up(0.6, "__x"), "data_exfiltration", detector="prompt_threats")),
         (t.rlike(INVISIBLE), S.signal("prompt_injection", 0.6, 0.7, "invisible_characters", detector="prompt_threats")),
         (F.size("__s") > 0, S.signal("secret_leak", 0.9, 0.85, "secret", detector="shadow_ai", evidence=F.array_join(F.slice("__s", 1, 4), ", "))),
+        ((F.size("__s") == 0) & (F.size("__keys") > 0), S.signal("secret_leak", 0.7, 0.7, "high_entropy", detector="shadow_ai", evidence=F.array_join(F.transform(F.slice("__keys", 1, 4), lambda k: F.concat(F.substring(k, 1, 10), F.lit("…"))), ", "))),
+        (t.rlike(IBAN), S.signal("pii_leak", 0.6, 0.75, "iban", detector="shadow_ai")),
         ((F.col("__cards") > 0) | F.col("__ssn"), S.signal("pii_leak", 0.8, 0.75, "identity_number", detector="shadow_ai")),
         (F.col("__phones") >= 3, S.signal("pii_leak", 0.5, 0.75, "phones", detector="shadow_ai")),
         (F.col("__mails") >= 3, S.signal("pii_leak", 0.55, 0.6, "bulk_email", detector="shadow_ai")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillguard.functions import columns as C
 from quillguard.functions import scoring as S
 from quillguard.operators import detectors as D
+from quillguard.operators.pipelines import detect_decoded
 from quillguard.plans.base import query, read
 
 LUHN_SQL = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(d)[i] AS INT) WHEN CAST(reverse(d)[i] AS INT) > 4 THEN CAST(reverse(d)[i] AS INT) * 2 - 9 ELSE CAST(reverse(d)[i] AS INT) * 2 END)) % 10 = 0"
@@ -53,15 +54,15 @@ def threat_terms(spark, sf) -> DataFrame:
 
 @query("detector_verdicts")
 def detector_verdicts(spark, sf) -> DataFrame:
-    """Every built-in text detector over whole documents, scored."""
-    found = D.detect(read(spark, sf, "documents").select("doc_id", "source", "text"), "text")
+    """The engine's text detectors (README) over whole documents, as they stand, folded, decoded and reshaped, scored."""
+    found = detect_decoded(read(spark, sf, "documents").select("doc_id", "source", "text"), "text")
     return S.verdict(found).select("doc_id", "risk_score", "severity", "recommended_action", "attack_intent", F.size("signals").alias("n_signals"), S.primary(F.col("signals")).alias("check"))
 
 
 @query("conversation_verdicts")
 def conversation_verdicts(spark, sf) -> DataFrame:
     """Gateway traffic: each turn scored, system prompts too, then a verdict per conversation side; no role is a side of its own."""
-    found = S.verdict(D.detect(read(spark, sf, "conversations"), "text"))
+    found = S.verdict(detect_decoded(read(spark, sf, "conversations"), "text"))
     return found.groupBy("conv_id", "role").agg(F.max("risk_score").alias("risk"), F.count_if(F.col("risk_score") >= 35).alias("alerts"))
 
 
@@ -109,7 +110,7 @@ def page_verdicts(spark, sf) -> DataFrame:
     from quillguard.sources.warehouse import page_text
 
     pages = read(spark, sf, "pages").select("page_id", page_text(F.col("html")).alias("text"))
-    return S.verdict(D.detect(pages, "text")).select("page_id", F.length("text").alias("n_chars"), "risk_score", "severity")
+    return S.verdict(detect_decoded(pages, "text")).select("page_id", F.length("text").alias("n_chars"), "risk_score", "severity")
 
 
 @query("linear_classifier_sweep")
