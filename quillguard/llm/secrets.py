@@ -2,9 +2,12 @@
 
 Base spans are what three patterns match. Beyond them a text holds weak parts: names of accounts, endpoints, and long
 mixed tokens, each too common to report alone. A weak part is reported only where a complementary part stands within
-SCOPE code points of it: an identifier with a secret, an endpoint with a secret. Parts are joined by interval: each lies
-in a scope cell of its text, and meets the parts of the same and the neighbouring cells; a semi-join keeps each weak
-part at most once, so no pairs are emitted however many parts stand together.
+SCOPE code points of it, from the end of the one to the start of the other: an identifier with a secret, an endpoint with
+a secret. A weak secret and an endpoint, the commonest of all, link (both ways) only if one of them is more telling: an
+endpoint that isn't http, or that names a user before its host; a token of STRONG code points or more with capitals and
+small letters. Parts are joined by interval: a part's start and end each lie in a cell of SCOPE code points, an end meets
+the starts in its own cell and the next, whatever the length of the parts; a semi-join emits no pairs, so each weak part
+is counted a few times at most however many parts stand together.
 
 Positions count code points, ends are exclusive. Null texts count as empty and have no spans. Rows with equal id and text
 are scanned alike, each giving its row. A null id matches a null id. Very long texts only cost their length, since parts
@@ -29,6 +32,8 @@ WEAK = {
 }
 HINT = r"(?i)(?:client_?id|account_?id|access_?key|user_?name|login)|AKIA|://"
 SCOPE = 400
+STRONG = 32
+TELLING = {"weak_endpoint": r"(?i)^(?!https?://)|^https?://[^/?#@]+@", "weak_secret": rf"^(?=.*[a-z])(?=.*[A-Z]).{{{STRONG},}}"}
 KINDS = [*BASE, *WEAK]
 SPAN = "struct<start:int,`order`:int,end:int,kind:string>"
 
@@ -66,16 +71,21 @@ def linked_spans(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, text_hash, linked): the weak parts that a complementary part stands near, of texts that have any."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     hinted = docs.where(F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(HINT)).select(F.col(id_).alias("id"), F.xxhash64(whole).alias("text_hash"), whole.alias("whole"))
-    parts = hinted.select("id", "text_hash", F.explode(F.concat(*base_spans(F.col("whole")).values(), *(matches(F.col("whole"), k, p) for k, p in WEAK.items()))).alias("s"))
-    parts = parts.distinct().select("id", "text_hash", "s", F.expr("s.kind in ('access', 'weak_id')").alias("is_id"), F.expr("s.kind in ('assign', 'hex', 'weak_secret')").alias("is_secret"), F.expr("s.kind like 'weak%'").alias("weak"))
-    cell = F.expr(f"cast(s.start div {SCOPE} as int)")
-    weak = parts.where("weak").withColumn("cell", cell)
-    near = parts.select(F.col("id").alias("id2"), F.col("text_hash").alias("hash2"), F.col("s").alias("t"), F.col("is_id").alias("is_id2"), F.col("is_secret").alias("is_secret2"), F.col("weak").alias("weak2"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell2"))
+    parts = hinted.select("id", "text_hash", "whole", F.explode(F.concat(*base_spans(F.col("whole")).values(), *(matches(F.col("whole"), k, p) for k, p in WEAK.items()))).alias("s"))
+    itself = F.substring(F.col("whole"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    telling = F.when(F.expr("s.kind = 'weak_endpoint'"), itself.rlike(TELLING["weak_endpoint"])).when(F.expr("s.kind = 'weak_secret'"), itself.rlike(TELLING["weak_secret"])).otherwise(True)
+    parts = parts.select("id", "text_hash", "s", telling.alias("telling")).distinct().select("*", F.expr("s.kind in ('access', 'weak_id')").alias("is_id"), F.expr("s.kind in ('assign', 'hex', 'weak_secret')").alias("is_secret"), F.expr("s.kind like 'weak%'").alias("weak"))
+    # parts that are apart: the end of one meets the start of the other, in the same cell of SCOPE or the next
+    cell = lambda c: F.expr(f"cast({c} div {SCOPE} as int)")
+    side = lambda after, c: F.struct(F.lit(after).alias("after"), c.alias("cell"))
+    weak = parts.where("weak").withColumn("at", F.explode(F.array(side(True, cell("s.end")), side(True, cell("s.end") + 1), side(False, cell("s.start")), side(False, cell("s.start") - 1))))
+    near = parts.select(F.col("id").alias("id2"), F.col("text_hash").alias("hash2"), F.col("s").alias("t"), F.col("telling").alias("telling2"), F.col("is_id").alias("is_id2"), F.col("is_secret").alias("is_secret2"), F.col("weak").alias("weak2"), F.explode(F.array(side(True, cell("s.start")), side(False, cell("s.end")))).alias("at2"))
+    weak, near = (df.select("*", f"{at}.after", f"{at}.cell").withColumnsRenamed({"after": f"after{n}", "cell": f"cell{n}"}).drop(at) for df, at, n in ((weak, "at", 1), (near, "at2", 2)))
     complementary = F.expr("""(is_id and is_secret2) or (is_secret and is_id2)
-        or (not is_id and not is_secret and is_secret2 and not weak2)""")
-    close = F.abs(F.col("s.start") - F.col("t.start")) <= SCOPE
-    apart = F.expr("s.end <= t.start or t.end <= s.start")
-    found = weak.join(near, weak.id.eqNullSafe(near.id2) & (weak.text_hash == near.hash2) & (weak.cell == near.cell2) & complementary & close & apart, "left_semi")
+        or (not is_id and not is_secret and is_secret2 and (not weak2 or telling or telling2))
+        or (is_secret and not is_id2 and not is_secret2 and (telling or telling2))""")
+    gap = F.when(F.col("after1"), F.col("t.start") - F.col("s.end")).otherwise(F.col("s.start") - F.col("t.end"))
+    found = weak.join(near, weak.id.eqNullSafe(near.id2) & (weak.text_hash == near.hash2) & (F.col("after1") == F.col("after2")) & (F.col("cell1") == F.col("cell2")) & complementary & gap.between(0, SCOPE), "left_semi").select("id", "text_hash", "s").distinct()
     return found.groupBy("id", "text_hash").agg(F.collect_list("s").alias("linked"))
 
 

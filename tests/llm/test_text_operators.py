@@ -86,6 +86,18 @@ def test_weak_parts_need_each_other(spark):
     assert got == {1: [], 2: [], 3: [], 4: [], 5: ["weak_endpoint"], 6: []}
 
 
+def test_weak_parts_of_any_length_and_endpoints(spark):
+    key, short = "aZ3kQ9xW7vB2nM5tR8yL1pD4aZ3kQ9xW", "Zm9vYmFyMTIzNDU2Nzg5MHF3ZXI="
+    signed = "https://x.example/a?sig=" + "q" * 3000
+    rows = [
+        (1, f"https://x.example/a {key}"), (2, f"{key} https://x.example/a"), (3, f"redis://x.example/0 {short}"), (4, f"https://bob@x.example/a {short}"), (5, f"{signed} token=abcdefghij"), (6, f"{signed} {key}"),
+        (7, f"login: {'b' * 900} {short}"), (8, f"https://x.example/a{' ' * 400}{key}"), (9, f"https://x.example/a{' ' * 401}{key}"), (10, f"{short} https://x.example/a"),
+    ]
+    got = {r.doc_id: [s.kind for s in r.found if s.kind.startswith("weak")] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    both = ["weak_endpoint", "weak_secret"]
+    assert got == {1: both, 2: both[::-1], 3: both, 4: both, 5: both[:1], 6: both, 7: ["weak_id", "weak_secret"], 8: both, 9: [], 10: []}
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
