@@ -2,8 +2,9 @@
 
 Only built-in functions and Spark's own tree learner: nothing leaves the JVM. The trees are fitted on at most SAMPLE
 distinct labelled URLs (those of the smallest hashes, over all rows); URLs that a rule judges are the labelled ones
-unless others are given. The statistics of host suffixes cover every labelled URL; of suffixes the SUFFIXES commonest
-are kept in a broadcast table of that many rows at most, and the others have the overall rate.
+unless others are given. The statistics of host suffixes cover every labelled URL and every suffix: those of the SUFFIXES
+commonest are broadcast, those of the others (if there are more) joined by key, salted; a suffix that no labelled URL has
+gets the overall rate.
 
 Null URLs and those without '://' have empty host and path and fit no rule; the trees judge them by the text there is.
 With no labelled URL at all the verdict is allow; where the labels name one verdict only, it is that one. Repeated rows
@@ -22,7 +23,7 @@ from quillguard.llm.common import table, written
 
 #: The rules (verdict, host/path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-SAMPLE, SUFFIXES, ROUNDS, DEPTH, SEED = 20_000, 1_000, 12, 4, 7
+SAMPLE, SUFFIXES, SALTS, ROUNDS, DEPTH, SEED = 20_000, 1_000, 16, 12, 4, 7
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "params", "has_fragment", "hyphens", "suffix_rate", "suffix_log_count"]
@@ -67,17 +68,27 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
-def suffix_statistics(labelled: DataFrame, most: int = SUFFIXES) -> tuple[DataFrame, float]:
-    """(suffix, suffix_rate, suffix_log_count) of the commonest suffixes, and the overall rate of blocked URLs."""
+def suffix_statistics(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """(suffix, suffix_rate, suffix_log_count) of every labelled suffix, and the overall rate of blocked URLs."""
     sums = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
     total = sums.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = (total.bad or 0.0) / total.n if total.n else 0.0
-    kept = sums.orderBy(F.desc("n"), "suffix").limit(most)
-    return kept.select("suffix", ((F.col("bad") + 10 * overall) / (F.col("n") + 10)).alias("suffix_rate"), F.log1p("n").alias("suffix_log_count")), overall
-
-
-def with_suffixes(df: DataFrame, stats: DataFrame, overall: float) -> DataFrame:
-    return df.join(F.broadcast(stats), "suffix", "left").fillna({"suffix_rate": overall, "suffix_log_count": 0.0})
+    return sums.select("suffix", ((F.col("bad") + 10 * overall) / (F.col("n") + 10)).alias("suffix_rate"), F.log1p("n").alias("suffix_log_count")), overall
+
+
+def with_suffixes(df: DataFrame, stats: DataFrame, overall: float, common: int = SUFFIXES) -> DataFrame:
+    """Adds each row's suffix_rate and suffix_log_count. The `common` commonest suffixes are broadcast; rows of others meet
+    the rest by suffix and salt, rows that are done (or whose suffix has no statistics) spread over the tasks."""
+    none = {"suffix_rate": overall, "suffix_log_count": 0.0}
+    first = stats.orderBy(F.desc("suffix_log_count"), "suffix").limit(common)
+    if stats.count() <= common:
+        return df.join(F.broadcast(first), "suffix", "left").fillna(none)
+    first = written(first)
+    rest = stats.join(F.broadcast(first.select("suffix")), "suffix", "left_anti").select(F.col("suffix").alias("__suffix"), F.col("suffix_rate").alias("__rate"), F.col("suffix_log_count").alias("__log"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+    done, row = F.col("suffix_rate").isNotNull(), F.monotonically_increasing_id()
+    met = df.join(F.broadcast(first), "suffix", "left").withColumns({"__key": F.when(~done, F.col("suffix")), "__at": F.when(done, row).otherwise(F.pmod(row, F.lit(SALTS)))})
+    met = met.join(rest, (F.col("__key") == F.col("__suffix")) & (F.col("__at") == F.col("__salt")), "left")
+    return met.withColumns({"suffix_rate": F.coalesce("suffix_rate", "__rate"), "suffix_log_count": F.coalesce("suffix_log_count", "__log")}).drop("__suffix", "__rate", "__log", "__salt", "__key", "__at").fillna(none)
 
 
 def judge(urls: DataFrame, keep: list[str], url: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:

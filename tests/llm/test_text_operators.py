@@ -230,3 +230,16 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule) == (host, path, best and best[1]) and (r.verdict == best[0] if best else r.verdict in ("allow", "block")), u
     assert url_filters.judge(df.limit(0), ["page_id"]).count() == 0
     assert {r.verdict for r in url_filters.judge(df.where("page_id < 5 and page_id > 2"), ["page_id"]).collect()} == {"allow"}
+
+
+def test_every_labelled_suffix_keeps_its_statistics(spark):
+    labelled = [(f"s{i}", float(i % 2)) for i in range(1500) for _ in range(1 + (i < 600))] + [("hot", 1.0)] * 50
+    stats, overall = url_filters.suffix_statistics(spark.createDataFrame(labelled, "suffix string, label double"))
+    n, bad = Counter(s for s, _ in labelled), Counter(s for s, y in labelled if y)
+    assert overall == pytest.approx(sum(bad.values()) / len(labelled))
+    rows = [(i, f"s{i % 1700}") for i in range(3400)] + [(-1, "hot"), (-2, ""), (-3, None)] + [(10_000 + i, "s1499") for i in range(300)]
+    got = url_filters.with_suffixes(spark.createDataFrame(rows, "k long, suffix string"), stats, overall).collect()
+    assert sorted(r.k for r in got) == sorted(k for k, _ in rows)
+    for r in got:
+        rate = (bad[r.suffix] + 10 * overall) / (n[r.suffix] + 10) if n[r.suffix] else overall
+        assert (r.suffix_rate, r.suffix_log_count) == (pytest.approx(rate), pytest.approx(np.log1p(n[r.suffix]))), r
