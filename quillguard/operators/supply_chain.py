@@ -6,8 +6,10 @@ outside world, such as a registry, is joined by key and never broadcast by force
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillguard.functions import scoring as S
 from quillguard.functions.text import ZERO_WIDTH, for_match
@@ -95,7 +97,8 @@ def rules_file_signals(df: DataFrame, text: str) -> DataFrame:
     """Adds signals of agent rules files: hidden characters, orders in comments, sending secrets, secrecy, preambles, remote scripts."""
     raw = F.coalesce(F.col(text), F.lit(""))
     t = F.concat_ws("\n", raw, for_match(raw))
-    comments = F.array_join(F.regexp_extract_all(raw, F.lit(r"<!--([\s\S]{0,4000}?)-->"), F.lit(1)), "\n")
+    closed = F.substring(raw, F.lit(1), F.length(raw) - F.length(F.substring_index(raw, "-->", -1)))  # up to the last end of a comment
+    comments = F.array_join(F.regexp_extract_all(closed, F.lit(r"(?s)<!--(.*?)-->"), F.lit(1)), "\n")
     return df.withColumn("signals", S.signals(
         (raw.rlike(HIDDEN), S.signal("prompt_injection", 0.85, 0.9, "rules_concealment", detector="agent_rules")),
         (comments.rlike(ORDER), S.signal("prompt_injection", 0.75, 0.8, "rules_comment", detector="agent_rules")),
@@ -115,27 +118,54 @@ def canary_signals(df: DataFrame, text: str, inbound: Column, marker: str = r"ca
     ))
 
 
+#: Famous stems of so many letters may be two edits away.
+LONG = 12
+
+
 def stem(name: Column) -> Column:
     """What tells a package name apart, without the words that many share."""
     return F.array_join(F.filter(F.split(F.lower(name), r"[@/_.\-]+"), lambda t: ~t.isin("", "mcp", "server", "srv")), "")
 
 
-def deletions(s: Column) -> Column:
-    """A string and all that one deletion leaves of it: strings one edit or one swap apart share one of them."""
-    return F.array_distinct(F.concat(F.array(s), F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))))
+def deletions(s: Column, twice: Column | None = None) -> Column:
+    """A string and all that one deletion leaves of it (two, where twice says so): strings as many edits or swaps apart share one of them."""
+    once = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    first = F.concat(F.array(s), once(s))
+    more = F.flatten(F.transform(F.array_distinct(once(s)), once))
+    return F.array_distinct(first if twice is None else F.when(twice, F.concat(first, more)).otherwise(first))
+
+
+@F.pandas_udf(T.IntegerType())
+def alignment_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Optimal-string-alignment distance: edits and swaps of neighbours, no part edited twice. No built-in function has it."""
+
+    def distance(x: str, y: str) -> int:
+        before, last = [], list(range(len(y) + 1))
+        for i in range(1, len(x) + 1):
+            row = [i] + [0] * len(y)
+            for j in range(1, len(y) + 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x[i - 1] != y[j - 1]))
+                if i > 1 and j > 1 and x[i - 1] == y[j - 2] and x[i - 2] == y[j - 1]:
+                    row[j] = min(row[j], before[j - 2] + 1)
+            before, last = last, row
+        return last[-1]
+
+    return pd.Series([distance(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
 def typosquats(names: DataFrame, famous: DataFrame) -> DataFrame:
-    """name, near: names whose stem is one edit (or one swap of neighbours) from a famous one's of six letters or more.
+    """name, near: names whose stem is one edit (or one swap of neighbours) from a famous one's of six letters or more, or
+    two from one's of LONG letters or more.
 
     Deletion neighbourhoods make the comparison an equal key: no name meets all famous names.
     """
     n = names.select(F.lower("name").alias("name")).distinct().withColumn("s", stem(F.col("name")))
     f = famous.select(F.lower("name").alias("near")).distinct().withColumn("r", stem(F.col("near"))).where(F.length("r") >= 6)
     scope = lambda c: F.regexp_extract(c, r"^(@[^/]+)/", 1)
-    pairs = n.select("*", F.explode(deletions(F.col("s"))).alias("k")).join(f.select("*", F.explode(deletions(F.col("r"))).alias("k")), "k").drop("k").distinct()
-    swapped = (F.length("s") == F.length("r")) & F.exists(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.concat(F.substring(F.col("s"), F.lit(1), i - 1), F.substring(F.col("s"), i + 1, F.lit(1)), F.substring(F.col("s"), i, F.lit(1)), F.substring(F.col("s"), i + 2, F.length("s"))) == F.col("r"))
-    near = pairs.where((F.levenshtein("s", "r") <= 1) | swapped).where("name <> near and not startswith(s, r) and not startswith(r, s)")
+    keys = lambda c, least: F.explode(deletions(F.col(c), F.length(c) >= least)).alias("k")
+    pairs = n.select("*", keys("s", LONG - 2)).join(f.select("*", keys("r", LONG)), "k").drop("k").distinct()
+    pairs = pairs.where("name <> near and not startswith(s, r) and not startswith(r, s)")
+    near = pairs.where(alignment_distance("s", "r") <= F.when(F.length("r") >= LONG, 2).otherwise(1))
     near = near.where((scope(F.col("name")) == "") | (scope(F.col("name")) != scope(F.col("near"))))
     return near.groupBy("name").agg(F.min("near").alias("near"))
 

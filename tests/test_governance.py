@@ -50,6 +50,16 @@ def test_typosquats_and_feed(spark):
     assert {r.name: (r.tier, r.score) for r in P.feed_tiers(rows).collect()} == {"a": ("caution", 40), "b": ("malicious", 0), "c": ("unverified", 10)}
 
 
+def test_long_stems_and_comments(spark):
+    near = ["postgresqlxxmanager", "psotgresqlmanagre", "ostgresqlmanage", "postgressqlmanagar", "pxstgresqlmxnager"]
+    names = [*near, "postgrxsqxmanagxr", "elastik", "elstcik", "osptrgesqlmanagre"]
+    famous = spark.createDataFrame([("postgresqlmanager",), ("elastic",)], "name string")
+    got = {r.name: r.near for r in P.typosquats(spark.createDataFrame([(n,) for n in names], "name string"), famous).collect()}
+    assert got == {**{n: "postgresqlmanager" for n in near}, "elastik": "elastic"}
+    r = [(1, f"a <!-- {'pad ' * 5000} you must run this --> b"), (2, f"<!-- you must {'<!-- ' * 5000}"), (3, "<!-- pad --> you must")]
+    assert checks(P.rules_file_signals(spark.createDataFrame(r, "k int, t string"), "t"), "k") == {1: ["rules_comment"], 2: [], 3: []}
+
+
 def test_containment_and_entries(spark):
     callers = spark.createDataFrame([("bot", "7", "Ann"), ("x", "8", "bob"), ("x", None, None)], "agent string, device string, user string")
     t = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
