@@ -44,37 +44,43 @@ def tokens(t):
 
 
 def test_language_model(spark, docs):
+    """Every order's counts, the cells of the deleted fold (whose tokens leave every denominator too), and the mixtures."""
     edge = spark.createDataFrame([(-1, None), (-2, ""), (-3, "The THE the"), (-3, "The THE the"), (None, "x y"), (-4, "w " * 30_000)], "doc_id long, text string")
-    df = docs.select("doc_id", "text").where("doc_id < 250").union(edge)
+    df = docs.select("doc_id", "text").where("doc_id < 250").union(edge).repartition(3)
     rows = df.collect()
-    got = sorted(lm_scoring.score_texts(df.withColumn("chunk", F.lit(1)), ["doc_id"]).collect(), key=lambda r: (str(r.doc_id), r.score))
+    got = sorted(lm_scoring.score_texts(df.withColumns({"chunk": F.lit(1), "n_tokens": F.lit(-5)}), ["doc_id"]).collect(), key=lambda r: (str(r.doc_id), r.score))
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
-    c, pairs, dc, dp = Counter(), Counter(), Counter(), Counter()
+    grams = lambda x: list(zip(["<s>", "<s>", *x], ["<s>", *x], x))
+    c, dc = Counter(), Counter()  # n-grams of every order as tuples
     for r in rows:
-        x = tokens(r.text)
+        counts = Counter(g[k:] for g in grams(tokens(r.text)) for k in range(3))
+        counts[("<s>",)] = counts[("<s>", "<s>")] = 1
         if fold(r.doc_id) != 1:
-            c.update(x)
-            pairs.update(zip(["<s>", *x], x))
+            c.update(counts)
         if fold(r.doc_id) == 2:
-            dc.update(x)
-            dp.update(zip(["<s>", *x], x))
-    n, v = sum(c.values()), len(c)
-    c["<s>"], dc["<s>"] = c["\n"], dc["\n"]
+            dc.update(counts)
+    words = [g for g in c if len(g) == 1 and g != ("<s>",)]
+    n, v = sum(c[g] for g in words), len(words)
+    held_n = n - sum(dc[g] for g in words)
     level = lambda p: 0 if p <= 0 else int(min(79, max(1, 79 + round(2 * math.log2(p)))))
     cells = Counter()
     for r in rows:
         if fold(r.doc_id) == 2:
-            x = tokens(r.text)
-            for a, b in zip(["<s>", *x], x):
-                ca = c[a] - dc[a]
-                cells[ca.bit_length(), level((pairs[a, b] - dp[a, b]) / max(1, ca)), level((c[b] - dc[b]) / n)] += 1
-    w = lm_scoring.learn([(*k, m) for k, m in sorted(cells.items())], 1 / (v + 1))
+            for g in grams(tokens(r.text)):
+                left = lambda x: c[x] - dc[x]
+                share = lambda k: left(g[k:]) / max(1, left(g[k:-1]))
+                cells[left(g[:-1]).bit_length(), left(g[1:-1]).bit_length(), level(share(0)), level(share(1)), level(left(g[2:]) / held_n)] += 1
+    frame = spark.createDataFrame([(*k, m) for k, m in cells.items()], "b3 int, b2 int, l3 int, l2 int, l1 int, n long")
+    lower, upper = lm_scoring.fitted(frame, 1 / (v + 1))
     want = []
     for r in rows:
         x = tokens(r.text)
-        base = sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in x)
-        score = sum(math.log10(w[c[a].bit_length()] @ [pairs[a, b] / max(1, c[a]), c[b] / n, 1 / (v + 1)]) for a, b in zip(["<s>", *x], x))
-        want.append((r.doc_id, fold(r.doc_id) == 1, len(x), sum(c[t] > 0 for t in x), n, base, score))
+        base = sum(math.log10((c[(t,)] + 0.5) / (n + 0.5 * (v + 1))) for t in x)
+        score = 0.0
+        for g in grams(x):
+            p = lower[c[g[1:-1]].bit_length()] @ [c[g[1:]] / max(1, c[g[1:-1]]), c[g[2:]] / n, 1 / (v + 1)]
+            score += math.log10(upper[c[g[:-1]].bit_length()] @ [c[g] / max(1, c[g[:-1]]), p])
+        want.append((r.doc_id, fold(r.doc_id) == 1, len(x), sum(c[(t,)] > 0 for t in x), n, base, score))
     for g, e in zip(got, sorted(want, key=lambda r: (str(r[0]), r[-1]))):
         assert tuple(g)[:5] == e[:5] and g.base_score == pytest.approx(e[5], rel=1e-9) and g.score == pytest.approx(e[6], rel=1e-6)
     held = [g for g in got if g.held_out]
