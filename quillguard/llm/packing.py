@@ -7,10 +7,12 @@ fill it exactly are consumed as often as the counts allow. What has no exact com
 also by counts. The plan and the slots it gives each length (a few times `room` intervals) are broadcast.
 
 Pieces find their slot by their rank within their length. Ranks come without any task seeing a whole length: pieces are
-dealt into even buckets by hash, numbered inside their bucket and length, and moved up by the counts of earlier buckets.
+dealt into even buckets by the hash of a number written with each, numbered inside their bucket and length, and moved up by
+the counts of earlier buckets.
 
 Null text counts as empty: one token, the end id. Repeated rows are repeated pieces. Documents longer than `room` are
-cut into full pieces; only the first may be shorter. An empty table gives an empty result. Other columns are ignored.
+cut into full pieces; only the first may be shorter. An empty table gives an empty result. Kept
+columns keep their values whatever their names (common.restored); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql import types as T
 
-from quillguard.llm.common import map_texts, table, written
+from quillguard.llm.common import KEPT, carried, map_texts, restored, table, written
 from quillguard.llm.token_counts import vocabulary
 
 ROOM, END_ID, MODEL, RANKS, CACHE, BUCKET_ROWS = 2048, 0, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 400_000, 20_000
@@ -79,7 +81,7 @@ class IdEncoder:
 
 
 def pieces(docs: DataFrame, keep: list[str], text: str = "text", room: int = ROOM, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """keep + piece, start, length, ids_crc32 of every piece of every document."""
+    """KEPT + piece, start, length, ids_crc32 of every piece of every document."""
     ranks = None if path else vocabulary(RANKS)
     path = path or vocabulary(MODEL)
 
@@ -100,8 +102,8 @@ def pieces(docs: DataFrame, keep: list[str], text: str = "text", room: int = ROO
 
         return work
 
-    made = map_texts(docs, make, "pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>", keep, text)
-    return made.select(*keep, F.inline("pieces"))
+    made = map_texts(carried(docs, keep, text=F.col(text)), make, "pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>", [KEPT])
+    return made.select(KEPT, F.inline("pieces"))
 
 
 def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:
@@ -203,24 +205,29 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {"key": (x[:, 0] << 48) + x[:, 1], "first": x[:, 1], "sequence": x[:, 2], "offset": x[:, 3]}
 
 
-def ranked(df: DataFrame, by: str, identity: list[str], rows: int) -> DataFrame:
-    """Adds rank, 0 upward within each value of by, however many rows a value has."""
+def ranked(df: DataFrame, by: str, rows: int) -> DataFrame:
+    """Adds rank, 0 upward within each value of by, however many rows a value has.
+
+    df is a written table with its rows' own numbers in `row`; their hash deals even buckets whatever the rows hold, so equal
+    rows and null ids spread like any others.
+    """
     buckets = max(256, -(-rows // BUCKET_ROWS))
-    dealt = df.withColumn("bucket", F.pmod(F.xxhash64(*identity), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("bucket", by).agg(F.count("*").alias("n"))
     before = counts.select("bucket", by, (F.sum("n").over(Window.partitionBy(by).orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = dealt.withColumn("inside", F.row_number().over(Window.partitionBy("bucket", by).orderBy(*identity)))
-    return inside.join(before, ["bucket", by]).withColumn("rank", F.col("before") + F.col("inside") - 1).drop("bucket", "inside", "before")
+    inside = dealt.withColumn("inside", F.row_number().over(Window.partitionBy("bucket", by).orderBy("row")))
+    return inside.join(before, ["bucket", by]).withColumn("rank", F.col("before") + F.col("inside") - 1).drop("bucket", "inside", "before", "row")
 
 
 def pack(docs: DataFrame, keep: list[str], text: str = "text", room: int = ROOM, path: str | None = None) -> DataFrame:
     """keep + piece, start, length, ids_crc32, sequence_id, offset."""
-    made = written(pieces(docs, keep, text, room, path=path))
+    made = written(pieces(docs, keep, text, room, path=path).withColumn("row", F.monotonically_increasing_id()))
     counts = {r.length: r.n for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most room rows
     known = made.sparkSession.sparkContext.broadcast(slots(plan(counts, room)))
-    placed = ranked(made, "length", [*keep, "piece", "start"], sum(counts.values()))
-    schema = T.StructType([*made.schema.fields, *T._parse_datatype_string("sequence_id long, offset long").fields])
-    names, length = schema.names, made.columns.index("length")
+    placed = ranked(made, "length", sum(counts.values()))
+    schema = T.StructType([*made.drop("row").schema.fields, *T._parse_datatype_string("sequence_id long, offset long").fields])
+    names = schema.names
+    length = names.index("length")
 
     def run(batches):
         at = known.value
@@ -229,7 +236,7 @@ def pack(docs: DataFrame, keep: list[str], text: str = "text", room: int = ROOM,
             i = np.searchsorted(at["key"], (b.column(length).to_numpy() << 48) + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(at["sequence"][i] + rank - at["first"][i]), pa.array(at["offset"][i])], names=names)
 
-    return placed.select(*made.columns, "rank").mapInArrow(run, schema)
+    return restored(placed.select(*names[:-2], "rank").mapInArrow(run, schema), names[1:])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
