@@ -14,16 +14,20 @@ others over its bands; a join spreads a large band. Members that aren't similar
 each other. Two members x and y of one leader L share at most min(|x & L|, |y & L|) shingles of L, so a link needs either
 sizes that allow that bound to reach SIMILARITY, or a shingle in common outside L, and of those so many that one lies in
 both prefixes of x - L and y - L, in hash order. Both are equal-key joins, and what they find is verified. No candidate
-pair of a shared band is lost this way, and copies of one text that only differ from it independently never meet.
+pair of a shared band is lost this way, and copies of one text that only differ from it independently never meet. Where more
+than CROWD members of a leader hold one shingle outside it, they are compared like a band again, with a leader of their own.
 
 Texts are told apart by 64 bits of hash, a text's shingles by 32 bits.
 
 Null texts count as empty. Texts without words are classes by equality. Repeated rows (equal id and text) give one row
-each. A null id is an id of its own, first in order. An empty table gives an empty result. Further columns are ignored.
+each. A null id is an id of its own, first in order. Very long texts are shingled whole. An empty table gives an empty
+result. Further columns are ignored by classes_of and kept as they are by kept, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillguard.llm.common import map_texts, table, written
+from quillguard.llm.common import KEPT, carried, map_texts, pieces_of, released, restored, table, written
 
-WORDS, SIMILARITY, BANDS, ROWS, CACHE, BROADCAST_REPS = 5, 0.8, 28, 5, 300_000, 2_000_000
+WORDS, SIMILARITY, BANDS, ROWS, CACHE, CROWD = 5, 0.8, 28, 5, 300_000, 100
 COMPONENTS = BANDS * ROWS
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,8 +137,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, found = batch.slice(at, 512), []
+            for part in pieces_of(batch, 2, 512):
+                found = []
                 for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     x, y = np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)
                     rest = np.setdiff1d(x, y, assume_unique=True)
@@ -150,14 +154,19 @@ def similar(similarity: float) -> str:
     return f"common * {100 + round(100 * similarity)} >= {round(100 * similarity)} * (n_a + n_b)"
 
 
-def leftover_pairs(compared: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of one leader and different classes, one of them not similar to it, that may be similar (see above)."""
+def leftover_pairs(compared: DataFrame, classes: DataFrame, similarity: float, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of one leader and different classes, one of them not similar to it, that may be similar (see above); and
+    (band, rep, n) of crowds: more than `crowd` members of one leader with one shingle outside it, which aren't paired here."""
     t = round(100 * similarity)
     named = compared.withColumn("far", ~F.expr(similar(similarity))).join(classes.withColumnRenamed("rep", "a"), "a")
     # a link of x needs similarity * |x| shingles in common, so at least that many less those shared with the leader outside it
     need = F.expr(f"greatest(1, cast(ceil({t} * n_a / 100D - 1e-9) as int) - common)")
     named = named.withColumn("prefix", F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.size("rest") - need + 1)))
     named = written(named.select("b", "a", "cls", "far", F.col("n_a").alias("n"), "common", F.size("rest").alias("r"), "prefix"))
+    met = named.select("b", "a", "far", F.explode("prefix").alias("h"))
+    groups = met.groupBy("b", "h").agg(F.count("*").alias("m"), F.bool_or("far").alias("far")).where(f"far and m > {crowd}")
+    crowds = written(groups.select("b", "h", "m"))
+    crowded = written(met.join(crowds, ["b", "h"]).select(F.xxhash64("b", "h").alias("band"), F.col("a").alias("rep"), F.col("m").alias("n")))
     x = named.where("far").withColumnsRenamed({"a": "x", "cls": "x_cls", "n": "x_n", "common": "x_c", "r": "x_r"}).drop("far")
     y = named.withColumnsRenamed({"a": "y", "cls": "y_cls", "n": "y_n", "common": "y_c", "r": "y_r"}).drop("far")
     may = f"x_cls <> y_cls and least(x_n, y_n) * 100 >= {t} * greatest(x_n, y_n)"
@@ -165,14 +174,15 @@ def leftover_pairs(compared: DataFrame, classes: DataFrame, similarity: float) -
     lacks = f"(cast(ceil({t} * (x_n + y_n) / {100 + t}D - 1e-9) as int) - least(x_c, y_c))"
     early = f"{lacks} >= 1 and x_at + {lacks} <= x_r and y_at + {lacks} <= y_r"
     side = lambda df, s: df.select("b", s, f"{s}_cls", f"{s}_n", f"{s}_c", f"{s}_r", F.posexplode("prefix").alias(f"{s}_at", "h"))
-    outside = side(x, "x").join(side(y, "y"), ["b", "h"]).where(f"{may} and {early}")
+    few = side(x, "x").join(crowds, ["b", "h"], "left_anti")
+    outside = few.join(side(y, "y"), ["b", "h"]).where(f"{may} and {early}")
     step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(1.05))).cast("int")
     most = F.expr(f"cast(floor({100 + t} * x_c / {t}D - x_n + 1e-9) as int)")  # the largest |y| that the bound allows
     low = F.greatest(F.lit(1), F.expr(f"cast(ceil({t} * x_n / 100D - 1e-9) as int)"))
     ranged = x.drop("prefix", "x_r").where(most >= low).withColumn("step", F.explode(F.sequence(step(low), step(most))))
     inside = ranged.join(y.drop("prefix", "y_r").withColumn("step", step(F.col("y_n"))), ["b", "step"]).where(f"{may} and {100 + t} * least(x_c, y_c) >= {t} * (x_n + y_n)")
     both = outside.select("x", "y").union(inside.select("x", "y"))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return written(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), crowded
 
 
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -185,16 +195,38 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     edges = written(named.union(named.select("y", "x")))
     if edges.isEmpty():
         return classes
-    labels = written(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")))
+    before = labels = written(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")))
     while True:
         near = edges.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m"))
         spread = labels.join(near, "x").select("x", F.least("l", "m").alias("l"))
         jumped = spread.join(labels.select(F.col("x").alias("l"), F.col("l").alias("ll")), "l", "left").select("x", F.least("l", F.coalesce("ll", "l")).alias("n"))
         new = written(jumped.join(labels, "x").select("x", F.col("n").alias("l"), (F.col("n") != F.col("l")).alias("changed")))
-        labels = new.select("x", "l")
+        released(before)
+        before, labels = new, new.select("x", "l")
         if new.where("changed").isEmpty():
             break
-    return written(classes.join(labels.withColumnRenamed("x", "cls"), "cls", "left").select("rep", F.coalesce("l", "cls").alias("cls")))
+    out = written(classes.join(labels.withColumnRenamed("x", "cls"), "cls", "left").select("rep", F.coalesce("l", "cls").alias("cls")))
+    released(before, edges)
+    return out
+
+
+def compared_with_leaders(members: DataFrame, sets: DataFrame, classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, links, crowds) after the members (band, rep, n) of each band met its leader, and what that leaves each other."""
+    pairs = led_pairs(members)
+    compared = written(overlaps(pairs, sets))
+    links = compared.where(similar(similarity)).select("a", "b")
+    classes = merged(classes, links)
+    more, crowds = leftover_pairs(compared, classes, similarity)
+    if not more.isEmpty():
+        found = written(overlaps(more, sets).where(similar(similarity)).select("a", "b"))
+        classes, links = merged(classes, found), links.union(found)
+    return classes, links, crowds
+
+
+def led_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member of a band (band, rep, n: its size) with the band's leader, the member that meets the most others."""
+    led = members.join(members.groupBy("rep").agg(F.sum("n").alias("met")), "rep").groupBy("band").agg(F.max(F.struct("met", "rep")).alias("lead")).select("band", F.col("lead.rep").alias("b"))
+    return written(members.select("band", F.col("rep").alias("a")).join(led, "band").where("a <> b").select("a", "b").distinct())
 
 
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -203,53 +235,52 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     class_id: the least key of the class; cls: the class's own hash, for keys that aren't unique; copies: rows with an
     equal text; links: verified links found for the text; text64: xxhash64 of the text, to find the row again.
     """
-    hashed = docs.withColumn("rep", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    rows = written(sketched(hashed, [key, "rep"], text, words))
-    reps = written(rows.groupBy("rep").agg(F.min(key).alias("key"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    hashed = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("rep", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = written(sketched(hashed, ["id", "rep"], "text", words))
+    reps = written(rows.groupBy("rep").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     members = reps.select("rep", F.explode("bands").alias("band"))
-    shared = written(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = written(members.join(shared, "band"))
-    members = members.join(members.groupBy("rep").agg(F.sum("n").alias("met")), "rep")
-    led = members.groupBy("band").agg(F.max(F.struct("met", "rep")).alias("lead")).select("band", F.col("lead.rep").alias("b"))
-    pairs = written(members.select("band", F.col("rep").alias("a")).join(led, "band").where("a <> b").select("a", "b").distinct())
-    classes = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().withColumn("cls", F.col("rep")))
-    wanted = written(reps.join(classes, "rep", "left_semi").select(F.col("rep").alias("__rep"), F.col("key").alias("__key")))  # one row a text
-    if wanted.count() <= BROADCAST_REPS:  # their hashes, sent to where the texts are; beyond that, texts are shuffled
-        wanted = F.broadcast(wanted)
+    classes = written(members.select("rep").distinct().withColumn("cls", F.col("rep")))
+    wanted = reps.join(classes, "rep", "left_semi").select("rep", "id")  # one row a text
 
     def make():
         shingler = Shingler(words)
         return lambda texts: [[np.unique(shingler(t)[0].astype(np.uint32)).view(np.int32).tobytes() for t in texts]]
 
-    chosen = hashed.join(wanted, (F.col("rep") == F.col("__rep")) & F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    sets = map_texts(chosen, make, "`set` binary", ["rep"], text)
-    if not rows.groupBy("rep", key).count().where("count > 1").isEmpty():  # equal rows
+    chosen = hashed.alias("d").join(wanted.alias("w"), F.expr("d.rep = w.rep and d.id <=> w.id"), "left_semi")
+    sets = map_texts(chosen, make, "`set` binary", ["rep"])
+    if not rows.groupBy("rep", "id").count().where("count > 1").isEmpty():  # equal rows
         sets = sets.dropDuplicates(["rep"])
     sets = written(sets)
-    compared = written(overlaps(pairs, sets))
-    links = compared.where(similar(similarity)).select("a", "b")
-    classes = merged(classes, links)
-    more = written(leftover_pairs(compared, classes, similarity))
-    if not more.isEmpty():
-        found = written(overlaps(more, sets).where(similar(similarity)).select("a", "b"))
-        classes, links = merged(classes, found), links.union(found)
+    links = []
+    while True:  # a crowd meets a leader of its own, who has the crowd's shingle; so each round they are fewer, or have less outside
+        classes, found, crowds = compared_with_leaders(members, sets, classes, similarity)
+        links.append(found)
+        if crowds.isEmpty():
+            break
+        released(members)
+        members = crowds
+    links = reduce(DataFrame.union, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "rep")
-    of_rep = reps.select("rep", "key", "copies").join(classes, "rep", "left").join(degree, "rep", "left")
+    of_rep = reps.select("rep", "id", "copies").join(classes, "rep", "left").join(degree, "rep", "left")
     of_rep = written(of_rep.withColumn("cls", F.coalesce("cls", "rep")))
-    least = of_rep.groupBy("cls").agg(F.min("key").alias("class_id"))
+    released(sets, members)
+    least = of_rep.groupBy("cls").agg(F.min("id").alias("class_id"))
     named = of_rep.join(least, "cls").select("rep", "class_id", "cls", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return rows.select(key, "rep").join(named, "rep").withColumnRenamed("rep", "text64")
+    return rows.select("id", "rep").join(named, "rep").select(F.col("id").alias(key), F.col("rep").alias("text64"), "class_id", "cls", "copies", "links")
 
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, with one row of each class: that of the least key, then of the least text hash."""
-    classes = written(classes_of(docs, key, text))
-    first = F.struct(F.col(key).isNotNull(), key, "text64")
-    chosen = written(classes.groupBy("cls").agg(F.min(first).alias("row"), F.count("*").alias("n")).select(F.col(f"row.{key}").alias("__key"), F.col("row.text64").alias("__text64")))
-    found = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))).join(chosen, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__text64")), "left_semi")
-    if not classes.groupBy(key, "text64").count().where("count > 1").isEmpty():  # equal rows: one stays
-        found = found.dropDuplicates([key, "__hash"])
-    return found.drop("__hash")
+    classes = written(classes_of(docs, key, text).select(F.col(key).alias("id"), "text64", "cls"))
+    first = F.struct(F.col("id").isNotNull(), "id", "text64")
+    chosen = written(classes.groupBy("cls").agg(F.min(first).alias("row")).select("row.id", "row.text64"))
+    rows = carried(docs, docs.columns, id=F.col(key), text64=F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    found = rows.alias("r").join(chosen.alias("c"), F.expr("r.id <=> c.id and r.text64 = c.text64"), "left_semi")
+    if not classes.groupBy("id", "text64").count().where("count > 1").isEmpty():  # equal rows: one stays
+        found = found.dropDuplicates(["id", "text64"])
+    return restored(found, [])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
