@@ -5,7 +5,9 @@ all formats; a validator then walks the format (chunks, checksums, sizes) and gi
 Media inside other bytes are carved at the proven extents, outermost first.
 
 Null and empty blobs have no type ('unknown'), no spans, and no samples. Rows are independent: ties and repeated rows
-give equal values. One narrow map, no shuffle; a lost executor repeats only its own tasks.
+give equal values. Very long texts and blobs are handled whole, one at a time. An empty table gives an empty result. Kept
+columns keep their values whatever their names (common.restored). One narrow map, no shuffle; a lost executor repeats only
+its own tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillguard.llm.common import map_texts, table
+from quillguard.llm.common import KEPT, carried, map_texts, pieces_of, restored, table
 
 UNKNOWN = "unknown"
 ROW = 192  # payloads are whole rows of 192 samples (64 RGB pixels)
@@ -214,7 +216,7 @@ def store_texts(docs: DataFrame, keep: list[str], text: str = "text", kinds: tup
 
         return work
 
-    return map_texts(docs, make, "n_bytes long, media binary", keep, text, step=64)
+    return restored(map_texts(carried(docs, keep, text=F.col(text)), make, "n_bytes long, media binary", [KEPT], step=64), ["n_bytes", "media"])
 
 
 def feature_of(found: Found, data: bytes) -> str:
@@ -235,16 +237,17 @@ def sniff_media(df: DataFrame, keep: list[str], media: str = "media", declared:
     from pyspark.sql.pandas.types import to_arrow_schema
     import pyarrow as pa
 
-    schema = T.StructType([*(df.schema[c] for c in keep), *T._parse_datatype_string("detected string, mislabelled boolean, spans array<struct<kind:string,start:long,end:long>>, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string").fields])
+    said = F.col(declared) if declared else F.lit(None)
+    carrier = carried(df, keep, media=F.col(media), declared=said.cast("string"))
+    schema = T.StructType([carrier.schema[KEPT], *T._parse_datatype_string("detected string, mislabelled boolean, spans array<struct<kind:string,start:long,end:long>>, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string").fields])
     kinds = to_arrow_schema(schema)
 
     def run(batches):
         sniffer = Sniffer()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, rows = batch.slice(at, 64), []
-                said = part.column(len(keep) + 1).to_pylist()
-                for blob, kind in zip(part.column(len(keep)).to_pylist(), said):
+            for part in pieces_of(batch, 1, 64):
+                rows = []
+                for blob, kind in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     blob = blob or b""
                     found = sniffer.sniff(blob)
                     spans = [{"kind": f.kind, "start": f.start, "end": f.end} for f in sniffer.spans(blob)]
@@ -253,21 +256,28 @@ def sniff_media(df: DataFrame, keep: list[str], media: str = "media", declared:
                         data = samples(blob, found)
                         row[5:] = [len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), feature_of(found, data)]
                     rows.append(row)
-                new = [pa.array(c, type=kinds.field(len(keep) + i).type) for i, c in enumerate(zip(*rows))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], schema=kinds)
+                new = [pa.array(c, type=kinds.field(1 + i).type) for i, c in enumerate(zip(*rows))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *new], schema=kinds)
 
-    said = F.col(declared) if declared else F.lit(None).cast("string")
-    return df.select(*keep, F.col(media).alias("__media"), said.alias("__declared")).mapInArrow(run, schema)
+    return restored(carrier.mapInArrow(run, schema), schema.names[1:])
 
 
 def carve(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     """One row per proven medium inside the blob: key, kind, start, end, bytes."""
-    spans = sniff_media(df.select(key, F.col(media).alias("media")), [key, "media"], "media").select(key, "media", F.explode("spans").alias("s"))
-    return spans.select(key, "s.kind", "s.start", "s.end", F.expr("substring(media, cast(s.start + 1 as int), cast(s.end - s.start as int))").alias("bytes"))
+    spans = sniff_media(df.select(F.struct(F.col(key).alias("key"), F.col(media).alias("blob")).alias("row")), ["row"], "row.blob").select("row", F.explode("spans").alias("s"))
+    return spans.select(F.col("row.key").alias(key), "s.kind", "s.start", "s.end", F.expr("substring(row.blob, cast(s.start + 1 as int), cast(s.end - s.start as int))").alias("bytes"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1: every document stored as 8-bit media under a generic declared type, sniffed and read back."""
-    stored = store_texts(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("declared", F.lit("octet-stream"))
-    found = sniff_media(stored, ["doc_id", "n_bytes"], "media", "declared")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "detected", "mislabelled")
+    """op1: every document stored as 8-bit media, sniffed and read back.
+
+    The types declared are those of names given in turn by doc_id, so that most are wrong and must be corrected; corrected
+    is what the bytes prove. carved: the media found inside, as kind:start:end.
+    """
+    stored = store_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+    names = F.array(*(F.lit(k) for k in [*KINDS, "jpeg", "gif"]))
+    declared = F.element_at(names, (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(len(KINDS) + 2)) + 1).cast("int"))
+    found = sniff_media(stored.withColumn("declared", declared), ["doc_id", "n_bytes", "declared"], "media", "declared")
+    carved = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    corrected = F.when(F.col("detected") == UNKNOWN, F.col("declared")).otherwise(F.col("detected"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "detected", "mislabelled", corrected.alias("corrected"), carved.alias("carved"))

@@ -10,8 +10,9 @@ The driver holds one row per source (the given weights are per source too) and n
 partial before they are shuffled, so a source with a third of all rows is no larger than any other.
 
 Null texts have size 0; a null source is a source of its own, last in order. Equal rows (same id and text) have equal
-hashes and are taken alike. A source without words has target 0. An empty table gives an empty result. Other columns
-are ignored. Reruns agree: hashes depend on the row alone.
+hashes and are taken alike. A source without words has target 0. An empty table gives an empty result. Very long texts are
+counted whole. Kept columns keep their values whatever their names (common.restored); others are ignored. Reruns agree:
+hashes depend on the row alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from quillguard.llm.common import table, word_count, written
+from quillguard.llm.common import KEPT, carried, restored, table, word_count, written
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 BITS, LEVEL = 60, 10  # of the hash, and of each level's buckets
@@ -94,17 +95,19 @@ def copies(h: Column) -> Column:
 
 def mix(docs: DataFrame, size: Column, keep: list[str], source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """keep (which identify a document) + size, source_size, target, taken (words) and copies (how often it is in the mix)."""
-    sized = written(docs.select(*keep, F.col(source).alias("source"), size.alias("size"), hash_of(keep).alias("h")))
-    plan = planned(sized, weights, share, most)
+    sized = written(carried(docs, keep, source=F.col(source), size=size, h=hash_of(keep)))
+    plan = planned(sized.drop(KEPT), weights, share, most)
     joined = sized.join(F.broadcast(plan), sized.source.eqNullSafe(plan.s)).withColumn("copies", copies(F.col("h")))
-    return joined.select(*keep, "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    return restored(joined.withColumn("taken", (F.col("size") * F.col("copies")).cast("long")), ["size", "source_size", "target", "taken", "copies"])
 
 
 def repeated(docs: DataFrame, size: Column, identity: list[str], source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mix itself: each document as often as it is taken, all columns as they are. Documents aren't shuffled."""
-    plan = planned(written(docs.select(F.col(source).alias("source"), size.alias("size"), hash_of(identity).alias("h"))), weights, share, most)
-    joined = docs.join(F.broadcast(plan), docs[source].eqNullSafe(plan.s))
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies(hash_of(identity)))).alias("__copy")).drop("__copy")
+    rows = carried(docs, docs.columns, source=F.col(source), h=hash_of(identity))
+    sized = written(docs.select(F.col(source).alias("source"), size.alias("size"), hash_of(identity).alias("h")))
+    plan = planned(sized, weights, share, most)
+    joined = rows.join(F.broadcast(plan), rows.source.eqNullSafe(plan.s))
+    return restored(joined.select(KEPT, F.explode(F.array_repeat(F.lit(0), copies(F.col("h")))).alias("copy")), [])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

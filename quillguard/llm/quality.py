@@ -10,7 +10,8 @@ words are distinct, and how often a word follows itself. The network
 (one hidden layer) is fitted in numpy on at most SAMPLE labelled documents outside the held-out fold, those of the
 smallest hashes; a fifth of them sets the temperature that divides its outputs. Scores read text and nothing else.
 
-Null texts count as empty. Empty texts have a score like any other. Repeated rows score alike. Where labels of both kinds
+Null texts count as empty. Empty texts have a score like any other, very long ones are pooled whole. Repeated rows score
+alike. Kept columns keep their values whatever their names (common.restored). Where labels of both kinds
 are missing, every score is the share of good labels (0.5 without any). An empty table gives an empty result.
 """
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillguard.llm.common import collect_blocks, fold_of, map_texts, table
+from quillguard.llm.common import KEPT, carried, collect_blocks, fold_of, map_texts, restored, table
 
 BUCKETS, DIMS, NONZERO, SAMPLE, HIDDEN, EPOCHS, ACCEPT, HELD_OUT = 1 << 14, 32, 6, 12_000, 24, 40, 0.3, 0
 CACHE = 300_000
@@ -89,7 +90,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
         return add, finish
 
-    parts = collect_blocks(docs, make, "bucket int, v array<long>", [text])
+    parts = collect_blocks(docs, make, "bucket int, v array<long>", text)
     total = parts.groupBy("bucket").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(DIMS))).alias("v"))
     table_ = np.zeros((BUCKETS, DIMS))
     for r in total.toLocalIterator():  # BUCKETS rows
@@ -153,8 +154,8 @@ def training_labels(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def score_quality(docs: DataFrame, keep: list[str], trained_on: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """keep + score and predicted. trained_on: the documents that labels speak of; word vectors are summed over docs."""
+def scored(docs: DataFrame, keep: list[str], trained_on: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """KEPT + score and predicted. trained_on: the documents that labels speak of; word vectors are summed over docs."""
     shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs, text))
 
     def pooled():
@@ -177,11 +178,21 @@ def score_quality(docs: DataFrame, keep: list[str], trained_on: DataFrame, label
 
         return work
 
-    return map_texts(docs, make, "score double", keep, text).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+    return map_texts(carried(docs, keep, text=F.col(text)), make, "score double", [KEPT]).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
+def score_quality(docs: DataFrame, keep: list[str], trained_on: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """keep + score and predicted, learned from the labels of trained_on."""
+    return restored(scored(docs, keep, trained_on, labels, text), ["score", "predicted"])
+
+
+def accepted(docs: DataFrame, trained_on: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that aren't rejected."""
+    return restored(scored(docs, docs.columns, trained_on, labels, text).where("predicted = 1"), [])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the quality score of every document."""
     docs = table(spark, sf_dir, "documents")
-    scored = score_quality(docs, ["doc_id"], docs, table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (fold_of("doc_id") == HELD_OUT).alias("held_out"), "score", "predicted")
+    found = score_quality(docs, ["doc_id"], docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", (fold_of("doc_id") == HELD_OUT).alias("held_out"), "score", "predicted")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillguard.llm.common import map_texts, table
+from quillguard.llm.common import KEPT, carried, map_texts, restored, table
 
 TRAIN_DOCS, TRAIN_LINES, ROUNDS, MIN_CONTENT = 2_500, 40, 150, 0.5
 SYMBOLS = "#*$%&|<>"
@@ -191,9 +191,10 @@ def judge(docs: DataFrame, keep: list[str], labels: DataFrame | None = None, tex
 
         return work
 
-    scored = map_texts(docs, make, f"{COUNTS}, content_share double", keep, text)
+    scored = map_texts(carried(docs, keep, text=F.col(text)), make, f"{COUNTS}, content_share double", [KEPT])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("content_share") >= min_content))
+    judged = scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("content_share") >= min_content))
+    return restored(judged, [c for c in judged.columns if c != KEPT])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ Tier one is broadcast: the lengths of the corpus's most frequent units, at most
 worker's own cache of what it had to encode, emptied beyond CACHE entries. No unit is ever shuffled on its own: a task
 sends at most TASK_TOP counts of its commonest units, which only decide what tier one holds, never a result.
 
-Null text counts as empty: 0 bytes, 0 tokens. Repeated rows give repeated rows. Other columns are ignored.
+Null text counts as empty: 0 bytes, 0 tokens. Repeated rows give repeated rows. Very long texts are counted whole. An
+empty table gives an empty result. Kept columns keep their values whatever their names (common.restored); others are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillguard.llm.common import collect_blocks, map_texts, table
+from quillguard.llm.common import KEPT, carried, collect_blocks, map_texts, restored, table
 
 FREQUENT, TASK_TOP, CACHE, LIMIT = 65_536, 4_096, 400_000, 4_096
 MODEL = "piece_bpe_32k.model"
@@ -82,7 +83,7 @@ def frequent_units(docs: DataFrame, text: str = "text", top: int = FREQUENT, tas
 
         return add, finish
 
-    sums = collect_blocks(docs, make, "unit string, n long", [text]).groupBy("unit").agg(F.sum("n").alias("n"))
+    sums = collect_blocks(docs, make, "unit string, n long", text).groupBy("unit").agg(F.sum("n").alias("n"))
     return sums.orderBy(F.desc("n"), "unit").limit(top)
 
 
@@ -111,8 +112,9 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", model: st
 
         return work
 
-    sized = docs.withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long"))
-    return map_texts(sized, make, "n_tokens long", [*keep, "n_bytes"], text).withColumn("over_limit", F.col("n_tokens") > limit)
+    sized = carried(docs, keep, text=F.col(text).cast("string")).withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    counted = map_texts(sized, make, "n_tokens long", [KEPT, "n_bytes"]).withColumn("over_limit", F.col("n_tokens") > limit)
+    return restored(counted, ["n_bytes", "n_tokens", "over_limit"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

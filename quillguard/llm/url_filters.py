@@ -8,7 +8,8 @@ gets the overall rate.
 
 Null URLs and those without '://' have empty host and path and fit no rule; the trees judge them by the text there is.
 With no labelled URL at all the verdict is allow; where the labels name one verdict only, it is that one. Repeated rows
-are judged alike. Tables with further columns lose them; empty tables give empty results.
+are judged alike, very long ones whole. Kept columns keep their values whatever their names (common.restored); others are
+ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillguard.llm.common import table, written
+from quillguard.llm.common import KEPT, carried, restored, table, written
 
 #: The rules (verdict, host/path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -97,12 +98,12 @@ def judge(urls: DataFrame, keep: list[str], url: str = "url", rules=RULES, label
     labelled: optional (url, verdict) rows to learn from, in place of the URLs that rules judge.
     """
     rule, by_rule = rule_columns(rules)
-    ruled = lexical(parsed(urls.select(*keep, url) if url not in keep else urls.select(*keep), url), url).withColumns({"rule": rule, "by_rule": by_rule})
-    known = ruled.where("by_rule is not null").select(url, "by_rule", "suffix", *FEATURES[:-2]) if labelled is None else lexical(parsed(labelled.select(F.col("url").alias(url), F.col("verdict").alias("by_rule")), url), url)
+    ruled = lexical(parsed(carried(urls, keep, url=F.col(url)))).withColumns({"rule": rule, "by_rule": by_rule})
+    known = ruled.where("by_rule is not null").select("url", "by_rule", "suffix", *FEATURES[:-2]) if labelled is None else lexical(parsed(labelled.select("url", F.col("verdict").alias("by_rule"))))
     known = known.withColumn("label", F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0))
     stats, overall = suffix_statistics(known)
     stats = written(stats)
-    sample = known.dropDuplicates([url]).orderBy(F.xxhash64(url), url).limit(SAMPLE)
+    sample = known.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
     sample = written(with_suffixes(sample, stats, overall).select("label", *FEATURES)).coalesce(1)
     classes = sorted(r.label for r in sample.select("label").distinct().collect())
     filled = with_suffixes(ruled, stats, overall)
@@ -117,7 +118,8 @@ def judge(urls: DataFrame, keep: list[str], url: str = "url", rules=RULES, label
         scored = model.transform(assemble.transform(filled)).withColumn("__chance", vector_to_array("__prob")[1])
         score = F.when(F.col("by_rule").isNull(), F.col("__chance"))
         other = F.when(F.col("__chance") >= 0.5, "block").otherwise("allow")
-    return scored.select(*keep, *(c for c in ("host", "path", "rule") if c not in keep), F.coalesce("by_rule", other).alias("verdict"), score.alias("block_score"))
+    found = scored.select(KEPT, "host", "path", "rule", F.coalesce("by_rule", other).alias("verdict"), score.alias("block_score"))
+    return restored(found, ["host", "path", "rule", "verdict", "block_score"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
