@@ -1,12 +1,13 @@
 """From raw documents to packed training sequences: each stage calls one operator of quillguard.llm.
 
-Every stage works on all that the one before it kept; all but the last return the columns of documents.
+Every stage works on all that the one before it kept; all but the last return the columns of documents, whatever further
+columns these have. Null texts count as empty, null ids are ids, repeated rows stay repeated but for one of each group of
+near-duplicates, very long texts are read whole, an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillguard.llm import mixing, near_dedup, packing, quality, secrets
 from quillguard.llm.common import table, word_count, written
@@ -16,8 +17,7 @@ ORACLE_SQL = None  # trained, hashed and packed results aren't SQL's; tests/llm
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    scored = quality.score_quality(docs, docs.columns, docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with secrets masked in its text; n_chars follows."""
-    found = secrets.scan(docs, docs.columns)
-    return found.withColumn("text", secrets.masked(F.col("text"), F.col("found"))).withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return secrets.without_secrets(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
