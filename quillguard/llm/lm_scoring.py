@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from quillguard.llm.common import KEPT, carried, fold_of, pieces_of, released, restored, table, written
 
 TEST_FOLD, DELETED_FOLD, FOLDS, ORDER = 1, 2, 5, 3
-CHUNK_BYTES, MIN_PARTS, PART_TOKENS = 8 << 20, 256, 1_000_000
+CHUNK_BYTES, MIN_PARTS, PART_TOKENS = 4 << 20, 256, 1_000_000
 ROUNDS, LEVELS, BUCKETS = 40, 80, 64  # of the learning; of an estimate's half powers of two, level 0: the estimate is 0; of contexts
 END, START = (np.uint64(xxhash.xxh64_intdigest(b)) for b in (b"\n", b"\n\n"))  # no word holds a line feed
 
@@ -165,7 +165,7 @@ def asked_of(chunks: DataFrame, parts: int) -> DataFrame:
                 rows = []
                 for n, (keys, _, place) in enumerate(chunk.lists):
                     used = np.bincount(place[trained], minlength=len(keys))
-                    rows += [(n + 1, part, number, deleted, keys[a:b].tobytes(), packed(used[a:b])) for part, a, b in chunk.spots(n)]
+                    rows += [(n + 1, part, number, deleted, keys[a:b].tobytes() if n == 0 else packed(np.diff(keys[a:b], prepend=np.uint32(0))), packed(used[a:b])) for part, a, b in chunk.spots(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=[c.split()[0] for c in ASKED.split(", ")])
 
     return chunks.select("chunk", "deleted", "tokens", "hashes", "rows").mapInArrow(run, ASKED)
@@ -174,7 +174,7 @@ def asked_of(chunks: DataFrame, parts: int) -> DataFrame:
 def answer(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
     """A part's counts over the corpus, to each chunk in its own order; to the deleted fold's chunks also that fold's."""
     asked = asked.sort_values(["deleted", "chunk"], ascending=[False, True])
-    lists = [np.frombuffer(k, np.uint64 if key[0] == 1 else np.uint32) for k in asked["keys"]]
+    lists = [np.frombuffer(k, np.uint64) if key[0] == 1 else np.cumsum(unpacked(k)) for k in asked["keys"]]  # longer n-grams come as steps
     _, place = np.unique(np.concatenate(lists), return_inverse=True)
     ends = np.cumsum([len(x) for x in lists])
     used = np.concatenate([unpacked(b) for b in asked["used"]])
@@ -283,9 +283,12 @@ def score_texts(docs: DataFrame, keep: list[str], text: str = "text", key: str =
         if not len(chunk):
             return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("b3", "b2", "l3", "l2", "l1", "n")})
         _, (one, two, three), (of_two, of_three) = looked_up(chunk.iloc[0].to_dict(), replies, parts, True)
-        cells = np.stack([buckets(of_three), buckets(of_two), level(ratio(three, of_three)), level(ratio(two, of_two)), level(one / max(1, kept_total))], 1)
-        cells, n = np.unique(cells, axis=0, return_counts=True)
-        return pd.DataFrame({**{c: cells[:, i] for i, c in enumerate(("b3", "b2", "l3", "l2", "l1"))}, "n": n})
+        code = buckets(of_three) * BUCKETS + buckets(of_two)
+        for q in (level(ratio(three, of_three)), level(ratio(two, of_two)), level(one / max(1, kept_total))):
+            code = code * LEVELS + q
+        code, n = np.unique(code, return_counts=True)
+        context, q = code // LEVELS**3, code % LEVELS**3
+        return pd.DataFrame({"b3": context // BUCKETS, "b2": context % BUCKETS, "l3": q // LEVELS**2, "l2": q // LEVELS % LEVELS, "l1": q % LEVELS, "n": n})
 
     held, asked_back = chunks.where("deleted").select(*chunk_of), answers.where("deleted").select("chunk", "n", "part", "used", "less")
     cells = dealt(held, tasks).cogroup(dealt(asked_back, tasks)).applyInPandas(weigh, "b3 int, b2 int, l3 int, l2 int, l1 int, n long")
