@@ -119,6 +119,26 @@ def dni_ok(code: Column) -> Column:
     return code.rlike("^[0-9]{8}[A-Za-z]$") & (F.substring(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), n % 23 + 1, F.lit(1)) == F.upper(F.substring(code, 9, 1)))
 
 
+def sin_ok(nine: Column) -> Column:
+    """Canadian insurance number: Luhn's sum of nine digits."""
+    return nine.rlike("^[0-9]{9}$") & luhn_ok(nine)
+
+
+#: Check letters of Singapore's numbers by series, and what a series adds to the sum.
+NRIC_LETTERS = {"S": ("JZIHGFEDCBA", 0), "T": ("JZIHGFEDCBA", 4), "F": ("XWUTRQPNMLK", 0), "G": ("XWUTRQPNMLK", 4), "M": ("XWUTRQPNJLK", 3)}
+
+
+def nric_ok(code: Column) -> Column:
+    """Singapore's identity number: a check letter by the weighted sum of seven digits."""
+    c = F.upper(code)
+    total = weighted_sum(F.substring(c, 2, 7), [2, 7, 6, 5, 4, 3, 2])
+    letter = None
+    for series, (letters, plus) in NRIC_LETTERS.items():
+        at = F.substring(F.lit(letters), (total + plus) % 11 + 1, F.lit(1))
+        letter = F.when(c.startswith(series), at) if letter is None else letter.when(c.startswith(series), at)
+    return c.rlike("^[STFGM][0-9]{7}[A-Z]$") & (F.substring(c, 9, 1) == letter)
+
+
 def mask(text: Column) -> Column:
     """Dots for short values, else the first and last four characters around dots."""
     dots = F.lit("•" * 4)

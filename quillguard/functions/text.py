@@ -11,6 +11,7 @@ import zlib
 from urllib.parse import unquote
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +24,16 @@ HEX = re.compile(r"(?:[0-9a-fA-F]{2}){8,}")
 LEVELS, BUDGET, PRINTABLE = 3, 512 * 1024, 0.85
 
 
+MARKS = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}]+")
+OTHER_DIGIT = regex.compile(r"[^\P{Nd}0-9]")
+
+
 def _fold(t: str) -> str:
     t = unicodedata.normalize("NFKC", t)
     if t.isascii():
         return t
-    kept = (c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) not in ("Cf", "Mn", "Me"))
-    return "".join(str(d) if (d := unicodedata.digit(c, None)) is not None else c for c in unicodedata.normalize("NFC", "".join(kept)))
+    bare = unicodedata.normalize("NFC", MARKS.sub("", unicodedata.normalize("NFKD", t)))
+    return OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), bare)
 
 
 @F.pandas_udf(T.StringType())
@@ -116,6 +121,101 @@ def despaced(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\b\S) (?=\S\b)", "")
 
 
+def wrapped(text: Column) -> Column:
+    """Lines that were broken inside a long token read as one."""
+    return F.regexp_replace(text, r"(?<=[A-Za-z0-9+/_-]{20})\\?\r?\n[ \t]*(?=[A-Za-z0-9+/_-]{8})", "")
+
+
+def json_strings(text: Column) -> Column:
+    """The string values of a text's JSON, whatever its shape, one a line; keys aren't values."""
+    strings = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.){0,4000}"(?:\s*:)?'), F.lit(0))
+    values = F.transform(F.filter(strings, lambda v: v.endswith('"') & (v != '""')), lambda v: F.substring(v, F.lit(2), F.length(v) - 2))
+    return F.array_join(F.transform(values, lambda v: F.regexp_replace(F.regexp_replace(v, r"\\[nrt]", " "), r'\\(["\\/])', "$1")), "\n")
+
+
+def reshaped_views(text: Column) -> Column:
+    """array<string> of a text's other readings that differ from it: glued strings, JSON values, apart characters, unwrapped
+    lines, backwards."""
+    views = [
+        F.when(text.rlike(r"""["']\s*\+\s*["']"""), glued(text)), F.when(text.rlike(r'^\s*[\[{]'), json_strings(text)), F.when(text.rlike(r"\b\S \S \S \S\b"), despaced(text)),
+        F.when(text.rlike(r"[A-Za-z0-9+/_-]{20}\\?\r?\n"), wrapped(text)), F.reverse(text),
+    ]
+    return F.filter(F.array(*views), lambda v: v.isNotNull() & (v != text) & (v != ""))
+
+
+#: Base64 of what starts like a picture, a document, an archive, a sound or a film, long enough for a body.
+MEDIA = r"(?:data:[a-z]+/[a-z0-9.+-]+;base64,)?(?:iVBORw0KGgo|/9j/|R0lGOD|JVBERi0|UEsDB|UklGR|SUkqA|T2dnU|ID3|AAAA[A-Za-z0-9+/]{4}Z0eX)[A-Za-z0-9+/\r\n]{100,}={0,2}"
+
+
+def without_media(text: Column) -> Column:
+    return F.when(text.rlike(MEDIA), F.regexp_replace(text, MEDIA, "[attachment omitted]")).otherwise(text)
+
+
+RUNS = "|".join(s[i : i + 4] for s in ("0123456789", "9876543210", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba", "qwertyuiop", "asdfghjkl") for i in range(len(s) - 3))
+
+
+def novel_chars(token: Column) -> Column:
+    """How many different characters of a token are left once runs of the alphabet, of digits or keys, and repeats are taken out."""
+    rest = F.regexp_replace(F.regexp_replace(F.lower(token), f"(?:{RUNS})+", ""), r"(.{1,4}?)\1{2,}", "")
+    return F.size(F.array_distinct(F.filter(F.split(rest, ""), lambda c: c != "")))
+
+
+def synthetic(token: Column) -> Column:
+    """Whether a token is filler, such as abcdefgh12345678 or xxxxxxxx."""
+    return novel_chars(token) < 8
+
+
+def wordlike(token: Column) -> Column:
+    """Whether most of a token's letters stand in runs that read like words: four letters or more with vowels, cased as names are."""
+    words = F.filter(F.regexp_extract_all(token, F.lit(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0)), lambda w: w.rlike("(?i)[aeiouy]") & ~w.rlike("(?i)[^aeiouy]{5,}"))
+    letters = F.length(F.regexp_replace(token, "[^A-Za-z]", ""))
+    return F.aggregate(words, F.lit(0), lambda acc, w: acc + F.length(w)) >= 0.7 * letters
+
+
+def excerpt(text: Column, start: Column, end: Column, around: int = 80, most: int = 400) -> Column:
+    """What stands around a span (code points, end exclusive), the span itself masked, tidied to one line of at most `most`."""
+    before = F.substring(text, F.greatest(start - around, F.lit(0)) + 1, F.least(start, F.lit(around)))
+    tidy = F.trim(F.regexp_replace(F.concat(before, F.lit("[…]"), F.substring(text, end + 1, F.lit(around))), r"\s+", " "))
+    return F.substring(tidy, 1, most)
+
+
+def stored_class(value: Column) -> Column:
+    """What a stored value looks like: empty, safe (a hash, a ciphertext, an encoded key), cleartext (random enough), other."""
+    from quillguard.functions.columns import entropy
+
+    safe = value.rlike(r"^\$(?:2[aby]|argon2|5|6|scrypt|pbkdf2)|^[0-9a-fA-F]{32}$|^[0-9a-fA-F]{40}$|^[0-9a-fA-F]{64}$|^vault:v[0-9]+:|^(?:AQICA|gAAAA)|^\{(?:SSHA|CRYPT|bcrypt)\}|^enc:")
+    return F.when(F.coalesce(F.trim(value), F.lit("")) == "", "empty").when(safe, "safe").when((F.length(value) >= 16) & (entropy(value) >= 3.2), "cleartext").otherwise("other")
+
+
+def credential_column(name: Column) -> Column:
+    return name.rlike(r"(?i)passw|secret|token|api_?key|private_?key|credential|auth") & ~name.rlike(r"(?i)_(?:id|at|type|count|expir|hash|hint|name)$|^is_|^has_")
+
+
+def inferred_pattern(examples: list[str], against: list[str] = ()) -> str | None:
+    """A pattern that all examples of a format match and no counter-example does: equal stretches literally, the others as
+    classes with their lengths. A handful of strings an analyst gives; null if they have no shape in common."""
+    kind = lambda c: "[0-9]" if c.isdigit() else "[a-z]" if c.islower() else "[A-Z]" if c.isupper() else re.escape(c)
+
+    def runs(s: str) -> list[tuple[str, str]]:
+        out: list[list] = []
+        for c in s:
+            if out and out[-1][0] == kind(c) and kind(c).startswith("["):
+                out[-1][1] += c
+            else:
+                out.append([kind(c), c])
+        return [tuple(r) for r in out]
+
+    shapes = [runs(e) for e in examples if e]
+    if not shapes or len({tuple(k for k, _ in s) for s in shapes}) != 1:
+        return None
+    parts = []
+    for column in zip(*shapes):
+        texts, sizes = {t for _, t in column}, {len(t) for _, t in column}
+        parts.append(re.escape(column[0][1]) if len(texts) == 1 else column[0][0] + (f"{{{min(sizes)}}}" if len(sizes) == 1 else f"{{{min(sizes)},{max(sizes)}}}"))
+    pattern = "^" + "".join(parts) + "$"
+    return None if any(re.match(pattern, x) for x in against) else pattern
+
+
 def windows(text: Column, size: int = 240, step: int = 120) -> Column:
     """Overlapping pieces of a text; the last reaches its end."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - size + step - 1, F.lit(0)), F.lit(step))

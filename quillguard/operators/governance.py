@@ -3,6 +3,8 @@ only as such (a row a rule); globs become anchored patterns once."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,4 +99,40 @@ def sanctioned(tool: Column, host: Column, tools: list[str], domains: list[str])
     return named if under is None else named | F.coalesce(under, F.lit(False))
 
 
+def browser_extension_signals(df: DataFrame, name: str, enabled: Column, known: list[str], approved: list[str]) -> DataFrame:
+    """Adds a signal where an enabled browser extension is a known AI one that isn't approved."""
+    n = F.lower(F.trim(name))
+    found = (enabled & n.isin(*[k.lower() for k in known] or [""]) & ~n.isin(*[a.lower() for a in approved] or [""]), S.signal("unsanctioned_ai", 0.5, 0.9, "browser_ai_extension", detector="ext_guard", evidence=n))
+    return df.withColumn("signals", S.signals(found))
+
+
+def server_signals(df: DataFrame, call: str, allowed: list[str]) -> DataFrame:
+    """Adds signals of tool calls (JSON with server, transport, pin_status): servers outside the allow list, where there is one
+    (less sure of local ones), and binaries that differ from their pin."""
+    c = F.from_json(call, "struct<server:string,transport:string,pin_status:string>")
+    server = F.lower(F.trim(F.coalesce(c["server"], F.lit(""))))
+    return df.withColumn("signals", S.signals(
+        (F.lit(bool(allowed)) & (server != "") & ~any_glob(server, allowed), S.signal("untrusted_server", 0.85, F.when(c["transport"].eqNullSafe("local"), 0.7).otherwise(0.9), "untrusted_server", detector="mcp_guard", evidence=server)),
+        (c["pin_status"] == "mismatch", S.signal("untrusted_server", 0.9, 0.9, "pin_mismatch", detector="mcp_guard", evidence=server)),
+    ))
+
+
+def low_signal_path(path: Column) -> Column:
+    """Whether a path is of tests, examples, documents or vendored code, where keys are mostly samples."""
+    return path.rlike(r"(?i)(?:^|/)(?:tests?|testdata|fixtures?|examples?|samples?|mocks?|docs?|vendor|node_modules|third_party)/|(?:^|/)(?:test_[^/]+|[^/]+[_.](?:test|spec))\.[a-z]+$|\.(?:md|rst|adoc)$")
+
+
+def clean_path(path: Column) -> Column:
+    """A path without repeated slashes, dots and the parts that .. takes back; words only, nothing is looked up."""
+    parts = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/+"), lambda p: ~p.isin("", "."))
+    step = lambda acc, p: F.when((p == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(p == "..", acc).otherwise(F.concat(acc, F.array(p)))
+    return F.array_join(F.aggregate(parts, F.expr("cast(array() as array<string>)"), step), "/")
+
+
+def path_match(path: Column, glob: str) -> Column:
+    """A path glob: ** for any folders, * and ? inside one name."""
+    body = re.escape(glob).replace(r"\*\*/", "(?:[^/]+/)*").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    return clean_path(path).rlike(f"^{body}$")
+
+
 __all__ = ["allowed_entries", "any_glob", "authorised", "command_parts", "contained", "glob_match", "lane", "left_the_boundary", "need_to_know", "sanctioned"]

@@ -16,9 +16,10 @@ def terms(text: Column) -> Column:
     """Words, pairs of words and runs of three letters, marked by kind."""
     flat = F.lower(F.coalesce(text, F.lit("")))
     words = F.filter(F.split(F.regexp_replace(flat, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws("_", F.lit("2"), F.try_element_at(words, i), F.try_element_at(words, i + 1)))
-    threes = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.concat(F.lit("3_"), F.substring(w, i, F.lit(3))))))
-    return F.concat(words, pairs, threes)
+    pairs = lambda ws: F.zip_with(ws, F.slice(ws, F.lit(2), F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.concat_ws("_", F.lit("2"), a, b))
+    threes = lambda ws: F.flatten(F.transform(ws, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.concat(F.lit("3_"), F.substring(w, i, F.lit(3))))))
+    # the words are bound once: named inside the inner lambdas they would be split again for every element
+    return F.element_at(F.transform(F.array(words), lambda ws: F.concat(ws, pairs(ws), threes(ws))), 1)
 
 
 def train(rows: DataFrame, rounds: int = 25) -> PipelineModel:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.functions import scoring as S
-from quillguard.functions.text import decoded_views, despaced, glued, keep_lines
+from quillguard.functions.text import decoded_views, keep_lines, reshaped_views
 from quillguard.operators import detectors as D
 
 HEAD = r"github\.event\.pull_request\.head\.(?:sha|ref)|github\.head_ref"
@@ -59,26 +59,27 @@ def reputation_signals(servers: DataFrame, name: str, feed: DataFrame, denied: l
 
 
 def detect_decoded(df: DataFrame, text: str) -> DataFrame:
-    """The text detectors over a text, its folded form, and what encoded runs of that hold; secrets of a vendor's format
-    also over split strings and spaced-out characters. Each check counts once, as it was found first.
+    """The text detectors over a text, folded (which leaves ASCII as it stands), and what encoded runs of it hold; secrets of a
+    vendor's format also over its other readings (split strings, JSON values, apart characters, broken lines, backwards,
+    upper case). Each check counts once, as it was found first; hidden characters are looked for before the folding.
 
     Only texts with an encoded run, an escape or a percent sign go through the decoder, and only those that aren't ASCII
     through folding.
     """
     raw = F.col(text)
-    staged = D.detect(df, text).withColumnRenamed("signals", "__plain").withColumn("__fold", keep_lines(raw))
+    staged = df.withColumn("__fold", keep_lines(raw))
     coded = F.col("__fold").rlike(r"[A-Za-z0-9+/_-]{16,}|(?:[0-9a-fA-F]{2}){8,}|\\[ux]|&#|%[0-9a-fA-F]{2}")
-    folded = F.when(F.col("__fold") != raw, F.col("__fold"))
-    staged = staged.withColumn("__decoded", F.when(coded, decoded_views(F.when(coded, F.col("__fold")))["text"]))
-    staged = staged.withColumn("__view", F.nullif(F.concat_ws("\n", folded, "__decoded"), F.lit("")))
-    both = D.detect(staged, "__view", distinct=True).withColumnRenamed("signals", "__more")
-    split = F.when(F.col("__fold").rlike(r"""["']\s*\+\s*["']"""), glued(F.col("__fold")))
-    spaced = F.when(F.col("__fold").rlike(r"\b\S \S \S \S\b"), despaced(F.col("__fold")))
-    both = both.withColumn("__labels", D.secret_labels(F.concat_ws("\n", split, spaced), D.SECRETS[1:] + D.MORE_SECRETS))
+    staged = staged.withColumn("__decoded", F.nullif(F.when(coded, decoded_views(F.when(coded, F.col("__fold")))["text"]), F.lit("")))
+    found = D.detect(staged.withColumn("__all", F.concat_ws("\n", "__fold", "__decoded")), "__all", F.col("__decoded").isNotNull())
+    hidden = S.signals((raw.rlike(D.INVISIBLE), S.signal("prompt_injection", 0.6, 0.7, "invisible_characters", detector="prompt_threats")))
+    # the views are a column of their own: inside the patterns' expressions they would be made anew for each
+    views = F.array_join(F.concat(reshaped_views(F.col("__fold")), F.array(F.upper("__fold"))), "\n")
+    found = found.withColumn("__views", F.when(~F.exists("signals", lambda s: s["check"] == "secret"), views))
+    found = found.withColumn("__labels", D.real_secret_labels(F.col("__views"), D.SECRETS[1:] + D.MORE_SECRETS))
     shaped = S.signals((F.size("__labels") > 0, S.signal("secret_leak", 0.9, 0.85, "secret", detector="shadow_ai", evidence=F.array_join(F.slice("__labels", 1, 4), ", "))))
-    other = lambda new, old: F.filter(new, lambda s: ~F.exists(old, lambda p: p["check"].eqNullSafe(s["check"])))
-    both = both.withColumn("__plain", F.concat("__plain", other("__more", "__plain")))
-    return both.withColumn("signals", F.concat("__plain", other(shaped, "__plain"))).drop("__plain", "__more", "__view", "__fold", "__decoded", "__labels")
+    kept = F.when(F.size("__labels") > 0, F.filter("signals", lambda s: s["check"] != "high_entropy")).otherwise(F.col("signals"))
+    other = F.filter(hidden, lambda s: ~F.exists("signals", lambda p: p["check"] == s["check"]))
+    return found.withColumn("signals", F.concat(kept, other, F.coalesce(shaped, F.expr(f"cast(array() as array<{S.SIGNAL}>)")))).drop("__all", "__fold", "__decoded", "__views", "__labels")
 
 
 def secret_reach(label: Column, rules: list[tuple[str, str, str]]) -> Column:

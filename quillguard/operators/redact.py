@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillguard.functions import columns as C
+
 #: Ordered (pattern, replacement); a group that is kept comes first.
 PATTERNS = (
     (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[PRIVATE KEY]"),
@@ -25,6 +27,77 @@ def redact_patterns(text: Column, patterns=PATTERNS) -> Column:
     return text
 
 
+def each_match(text: Column, pattern: str, new) -> Column:
+    """The text with every match m of a pattern replaced by new(m): matches are found, then what stands between them is joined."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    return F.when(F.size(hits) > 0, F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(new(h), F.lit("")))), "")).otherwise(text)
+
+
+def redact_text(text: Column) -> Column:
+    """Ordered redaction: key blocks, assigned secrets, vendors' formats, social security numbers, cards that are valid, health
+    ids with their check digits, random keys. A number without valid check digits stays."""
+    from quillguard.operators import detectors as D
+
+    text = redact_patterns(text)
+    known = [p for n, p in D.SECRETS[1:] + D.MORE_SECRETS if n != "connection_string" and "(?i)" not in p and n != "private_key"]
+    text = F.regexp_replace(text, "|".join(f"(?:{p})" for p in known), "[SECRET]")
+    text = each_match(text, "[0-9](?:[ -]?[0-9]){12,18}", lambda m: F.when(C.card_ok(m), "[CARD]").otherwise(m))
+    text = each_match(text, r"(?<![0-9])[12][0-9]{9}(?![0-9])", lambda m: F.when(C.npi_ok(m), "[PHI]").otherwise(m))
+    return each_match(text, r"[A-Za-z0-9_]{24,80}", lambda m: F.when(F.size(D.random_keys(m)) > 0, "[SECRET]").otherwise(m))
+
+
+#: Kinds of spans, the one that names a merged span first.
+SPAN_KINDS = ("secret", "ssn", "card", "email")
+
+
+def with_spans(df: DataFrame, text: str) -> DataFrame:
+    """Adds spans: array<struct<start,end,kind>> of sensitive values in code points, end exclusive; overlapping ones merged."""
+    from quillguard.operators import detectors as D
+
+    find = {"secret": [re.compile(p) for _, p in D.SECRETS + D.MORE_SECRETS], "ssn": [re.compile(PATTERNS[2][0])], "card": [re.compile("[0-9](?:[ -]?[0-9]){12,18}")], "email": [re.compile(EMAIL)]}
+
+    @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            found = sorted((m.start(), -m.end(), SPAN_KINDS.index(k)) for k, patterns in find.items() for p in patterns for m in p.finditer(t or ""))
+            merged: list[list[int]] = []
+            for a, b, k in found:
+                if merged and a < merged[-1][1]:
+                    merged[-1][1:] = [max(merged[-1][1], -b), min(merged[-1][2], k)]
+                else:
+                    merged.append([a, -b, k])
+            out.append([{"start": a, "end": b, "kind": SPAN_KINDS[k]} for a, b, k in merged])
+        return pd.Series(out)
+
+    return df.withColumn("spans", run(F.col(text)))
+
+
+def utf16(text: Column, at: Column) -> Column:
+    """A place in code points as one in UTF-16 units."""
+    return (F.octet_length(F.encode(F.substring(text, F.lit(1), at), "UTF-16BE")) / 2).cast("int")
+
+
+def masked_signals(signals: Column) -> Column:
+    """Signals without clear values: evidence redacted and shortened; what can't be redacted is emptied."""
+    from quillguard.functions.columns import mask
+
+    return F.transform(signals, lambda s: s.withField("evidence", F.coalesce(F.when(s["category"].isin("secret_leak", "pii_leak", "phi_leak"), mask(s["evidence"])).otherwise(redact_patterns(s["evidence"])), F.lit(""))).withField("detail", F.coalesce(redact_patterns(s["detail"]), F.lit(""))))
+
+
+def locatable(signals: Column, never: tuple[str, ...] = ("confidential_data", "source_code_leak")) -> Column:
+    """Whether redaction can cure a row: every sensitive signal is of a kind with spans, none of those that never are."""
+    sensitive = F.filter(signals, lambda s: s["category"].isin("secret_leak", "pii_leak", "phi_leak", *never))
+    return (F.size(sensitive) > 0) & F.forall(sensitive, lambda s: ~s["category"].isin(*never))
+
+
+def tokenize_payload(df: DataFrame, payload: str, key: bytes) -> DataFrame:
+    """As tokenize, over request payloads: values inside the JSON's strings become tokens, which need no escaping, so the payload
+    stays valid JSON and reverses as text; a top-level model name is never touched, since tokens only replace addresses."""
+    return tokenize(df, payload, key)
+
+
 def token(kind: str, value: str, key: bytes) -> str:
     """The same value always has the same token."""
     return f"QG_{kind}_{hmac.new(key, value.encode(), hashlib.sha256).hexdigest()[:8]}"

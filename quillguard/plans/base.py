@@ -43,6 +43,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files give fewer tasks, before work that costs far more than a shuffle of its rows; a table
+    of many files stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings view: id, actor, ts, surface, k, risk, tool, category, status, reason, severity."""
     e = read(spark, sf_dir, "events")

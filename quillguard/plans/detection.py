@@ -9,7 +9,7 @@ from quillguard.functions import columns as C
 from quillguard.functions import scoring as S
 from quillguard.operators import detectors as D
 from quillguard.operators.pipelines import detect_decoded
-from quillguard.plans.base import query, read
+from quillguard.plans.base import query, read, spread
 
 LUHN_SQL = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(d)[i] AS INT) WHEN CAST(reverse(d)[i] AS INT) > 4 THEN CAST(reverse(d)[i] AS INT) * 2 - 9 ELSE CAST(reverse(d)[i] AS INT) * 2 END)) % 10 = 0"
 SHAPE_SQL = """CASE WHEN d[1] = '4' THEN length(d) IN (13, 16, 19) WHEN CAST(d[1:2] AS INT) BETWEEN 51 AND 55 OR CAST(d[1:4] AS INT) BETWEEN 2221 AND 2720 THEN length(d) = 16 WHEN d[1:2] IN ('34', '37') THEN length(d) = 15
@@ -55,14 +55,14 @@ def threat_terms(spark, sf) -> DataFrame:
 @query("detector_verdicts")
 def detector_verdicts(spark, sf) -> DataFrame:
     """The engine's text detectors (README) over whole documents, as they stand, folded, decoded and reshaped, scored."""
-    found = detect_decoded(read(spark, sf, "documents").select("doc_id", "source", "text"), "text")
+    found = detect_decoded(spread(read(spark, sf, "documents").select("doc_id", "source", "text")), "text")
     return S.verdict(found).select("doc_id", "risk_score", "severity", "recommended_action", "attack_intent", F.size("signals").alias("n_signals"), S.primary(F.col("signals")).alias("check"))
 
 
 @query("conversation_verdicts")
 def conversation_verdicts(spark, sf) -> DataFrame:
     """Gateway traffic: each turn scored, system prompts too, then a verdict per conversation side; no role is a side of its own."""
-    found = S.verdict(detect_decoded(read(spark, sf, "conversations"), "text"))
+    found = S.verdict(detect_decoded(spread(read(spark, sf, "conversations").select("conv_id", "role", "text")), "text"))
     return found.groupBy("conv_id", "role").agg(F.max("risk_score").alias("risk"), F.count_if(F.col("risk_score") >= 35).alias("alerts"))
 
 
@@ -109,7 +109,7 @@ def page_verdicts(spark, sf) -> DataFrame:
     """Visible text of web pages through the detectors."""
     from quillguard.sources.warehouse import page_text
 
-    pages = read(spark, sf, "pages").select("page_id", page_text(F.col("html")).alias("text"))
+    pages = spread(read(spark, sf, "pages").select("page_id", "html")).select("page_id", page_text(F.col("html")).alias("text"))
     return S.verdict(detect_decoded(pages, "text")).select("page_id", F.length("text").alias("n_chars"), "risk_score", "severity")
 
 
@@ -119,6 +119,7 @@ def linear_classifier(spark, sf) -> DataFrame:
     from quillguard.operators import ml
 
     labelled = read(spark, sf, "documents").select("doc_id", "text").join(read(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
-    rows = labelled.select("doc_id", "label", ml.terms(F.col("text")).alias("terms"))
+    rows = spread(labelled).select("doc_id", "label", ml.terms(F.col("text")).alias("terms")).persist()  # the fit reads them again each round
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(5))
-    return ml.confusion(ml.probability(ml.train(rows.where(fold != 0)), rows.where(fold == 0)), [0.1, 0.25, 0.5, 0.75])
+    found = ml.probability(ml.train(rows.where(fold != 0)), rows.where(fold == 0))
+    return ml.confusion(found, [0.1, 0.25, 0.5, 0.75])

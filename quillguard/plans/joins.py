@@ -33,9 +33,9 @@ def with_findings(spark, sf) -> DataFrame:
     return read(spark, sf, "customer").select("c_custkey").join(read(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("coverage_anti_join", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("coverage_anti_join", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
 def uncovered(spark, sf) -> DataFrame:
-    return read(spark, sf, "customer").select("c_custkey", "c_nationkey").join(read(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return read(spark, sf, "customer").select("c_custkey", "c_nationkey").join(read(spark, sf, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("group_members", "SELECT n_name AS grp, r_name AS org, count(*) AS members FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
@@ -87,7 +87,7 @@ def chains(spark, sf) -> DataFrame:
     return chain_windows(findings(spark, sf).where("risk >= 15"), exfiltration="secret_leak", execution="source_code_leak")
 
 
-@query("origin_containment", """WITH w AS (SELECT 'd' AS kind, item_id AS id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark UNION ALL SELECT 'p', doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') FROM documents WHERE length(text) < 4000),
+@query("origin_containment", """WITH w AS (SELECT 'd' AS kind, item_id AS id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark UNION ALL SELECT 'p', doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') FROM documents),
 s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' ')))) AS h FROM w WHERE len(w) >= 5),
 k AS (SELECT * FROM s WHERE substr(h, 1, 1) IN ('0', '4', '8', 'c')), n AS (SELECT kind, id, count(*) AS n FROM k GROUP BY ALL),
 m AS (SELECT d.id AS doc, p.id AS item, count(*) AS c FROM k d JOIN k p ON d.h = p.h AND d.kind = 'd' AND p.kind = 'p' GROUP BY ALL),
@@ -114,10 +114,13 @@ def sanction(spark, sf) -> DataFrame:
     return hosts.join(hit, "host", "left")
 
 
-@query("link_host_harvest", """SELECT host, count(*) AS links, count(DISTINCT page_id) AS pages FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, 'https?://([A-Za-z0-9.-]+)', 1))) AS host FROM pages) WHERE host NOT LIKE '%.example.net' GROUP BY host""")
+@query("link_host_harvest", """WITH l AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS own, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages),
+h AS (SELECT page_id, CASE WHEN regexp_matches(link, '^https?://') THEN lower(regexp_extract(link, '://([^/?#]*)', 1)) ELSE own END AS host FROM l) SELECT host, count(*) AS links, count(DISTINCT page_id) AS pages FROM h WHERE host NOT LIKE '%.example.com' GROUP BY host""")
 def harvest(spark, sf) -> DataFrame:
-    links = read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("https?://([A-Za-z0-9.-]+)"), F.lit(1))).alias("host"))
-    return links.withColumn("host", F.lower("host")).where("host not like '%.example.net'").groupBy("host").agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"))
+    """Hosts that pages link to, their own where a link names none. Counts are by page first, so one host's pages spread."""
+    links = read(spark, sf, "pages").select("page_id", host_of(F.col("url")).alias("own"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link"))
+    hosts = links.select("page_id", F.when(F.col("link").rlike("^https?://"), host_of(F.col("link"))).otherwise(F.col("own")).alias("host")).where("host not like '%.example.com'")
+    return hosts.groupBy("host", "page_id").agg(F.count("*").alias("n")).groupBy("host").agg(F.sum("n").alias("links"), F.count("*").alias("pages"))
 
 
 @query("role_turn_pairs", """SELECT a.conv_id, a.turn, length(a.text) AS asked, length(b.text) AS answered FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'""")

@@ -31,4 +31,4 @@ def page_text(html: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(bare, r"(?i)</?(?:p|br|div|li|h[1-6]|tr|article|section)\b[^>]*>", "\n"), r"<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")

@@ -51,10 +51,17 @@ def recurrences(events: DataFrame, idle_days: int = 30) -> DataFrame:
     return keyed.select("fingerprint", "ts").groupBy("fingerprint").applyInPandasWithState(fold, "fingerprint string, seen_count long, created_at timestamp, last_seen timestamp", "n long, first timestamp, last timestamp", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_sink(key: list[str], target: str):
-    """A foreachBatch writer that a repeated batch doesn't change: each batch overwrites its own folder."""
+def batch_sink(key: list[str], target: str):
+    """A foreachBatch writer that a repeated batch doesn't change: each batch overwrites its own folder, with one row a key.
+    A key that comes back in a later batch stands there too; latest() merges them on reading."""
 
     def write(df: DataFrame, batch: int) -> None:
         df.dropDuplicates(key).write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
     return write
+
+
+def latest(landed: DataFrame, key: list[str]) -> DataFrame:
+    """One row a key of what batch_sink wrote: that of its last batch."""
+    rest = [c for c in landed.columns if c not in (*key, "batch")]
+    return landed.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*key, "row.*")
