@@ -69,6 +69,11 @@ def by_strength(found: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
+def top(found: Column, n: int = 3) -> Column:
+    """The n strongest signals."""
+    return F.slice(by_strength(found), 1, n)
+
+
 def primary(found: Column) -> Column:
     """The check of the strongest signal, 'unknown' without any; a null confidence counts as 1, a null weight as 0."""
     keyed = F.transform(found, lambda s, i: F.struct((F.coalesce(s["weight"], F.lit(0.0)) * F.coalesce(s["confidence"], F.lit(1.0))).alias("score"), (-i).alias("at"), F.coalesce(s["check"], s["category"]).alias("check")))

@@ -95,7 +95,7 @@ def sanctioned(tool: Column, host: Column, tools: list[str], domains: list[str])
     for d in domains:
         hit = (host == d) | host.endswith(f".{d}")
         under = hit if under is None else under | hit
-    named = F.lower(tool).isin(*[t.lower() for t in tools] or [""])
+    named = F.lower(tool).isin(*[t.lower() for t in tools]) if tools else F.lit(False)
     return named if under is None else named | F.coalesce(under, F.lit(False))
 
 
@@ -117,6 +117,15 @@ def server_signals(df: DataFrame, call: str, allowed: list[str]) -> DataFrame:
     ))
 
 
+def suppressed(tool: Column, category: Column, rules: str) -> Column:
+    """Whether rules of the form 'tool:category,category; tool:category' take a category out for a tool."""
+    out = F.lit(False)
+    for rule in filter(None, map(str.strip, rules.split(";"))):
+        name, _, categories = rule.partition(":")
+        out = out | ((F.lower(tool) == name.strip().lower()) & category.isin(*(c.strip() for c in categories.split(","))))
+    return out
+
+
 def low_signal_path(path: Column) -> Column:
     """Whether a path is of tests, examples, documents or vendored code, where keys are mostly samples."""
     return path.rlike(r"(?i)(?:^|/)(?:tests?|testdata|fixtures?|examples?|samples?|mocks?|docs?|vendor|node_modules|third_party)/|(?:^|/)(?:test_[^/]+|[^/]+[_.](?:test|spec))\.[a-z]+$|\.(?:md|rst|adoc)$")
