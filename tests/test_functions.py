@@ -110,3 +110,16 @@ def test_readers(spark, tmp_path):
     deps = I.dependencies(spark.createDataFrame([('{"dependencies":{"a":"1"},"devDependencies":{"a":"0","b":"2"},"scripts":{"postinstall":"x"}}',)], "j string"), "j").collect()
     assert {(d.name, d.version, d.install_script) for d in deps} == {("a", "1", True), ("b", "2", True)}
     assert I.mcp_servers(spark.createDataFrame([('{"mcpServers":{"fs":{"command":"npx","args":["x"]},"r":{"url":"https://x"}}}',)], "j string"), "j").count() == 2
+
+
+def test_folded_digits_are_decimal_ones():
+    from quillguard.functions.text import _fold
+
+    assert _fold("é٣፩ｉg​") == "e3፩ig"
+
+
+def test_inferred_patterns():
+    from quillguard.functions.text import inferred_pattern
+
+    assert inferred_pattern(["EMP-001", "EMP-742"]) == r"^EMP\-[0-9]{3}$" and inferred_pattern(["a1", "b22"]) == "^[a-z]{1}[0-9]{1,2}$"
+    assert inferred_pattern(["a1", "1a"]) is None and inferred_pattern(["a1", "b2"], ["c3"]) is None and inferred_pattern([]) is None

@@ -37,3 +37,12 @@ def test_taints(spark, sf_dir, tmp_path):
     got = drained(jobs.tainted_actions(s.where("surface = 'purchase'"), s.where("surface = 'error'")), "taints", "append", tmp_path)
     want = QUERIES["taint_asof"](spark, sf_dir).where("taint is not null")
     assert got.select("action").distinct().count() == want.count()
+
+
+def test_batches_are_merged_on_reading(spark, tmp_path):
+    from quillguard.streaming import jobs
+
+    write = jobs.batch_sink(["k"], str(tmp_path))
+    for batch, rows in ((0, [(1, "a"), (1, "a"), (2, "b")]), (1, [(1, "c")]), (1, [(1, "c")])):
+        write(spark.createDataFrame(rows, "k int, v string"), batch)
+    assert {(r.k, r.v) for r in jobs.latest(spark.read.parquet(str(tmp_path)), ["k"]).collect()} == {(1, "c"), (2, "b")}
