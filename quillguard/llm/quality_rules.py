@@ -3,22 +3,22 @@
 Each line with a word gets a few numbers (shape, repetition, place). The field's two labels are content and boilerplate;
 Viterbi decoding labels the lines of a document together, and the share of its words in content lines decides whether it
 is kept. The field is trained here, by gradient ascent on the conditional likelihood over at most TRAIN_DOCS labelled
-documents (those of the smallest hashes, of at most TRAIN_LINES lines each): every line of a bad document counts as
+documents (those of the smallest hashes, whole, as many as have TRAIN_LINES lines together): every line of a bad document counts as
 boilerplate, of a good one those that repeat an earlier line. Scoring reads every whole text, in one narrow map; a very long line or document only costs its own length.
 
 Null and empty texts have no words: every count is 0, base_failed is true, kept is false. Repeated rows are judged
-alike. Without labels of both kinds nothing is called boilerplate and the base rule alone decides.
+alike. An empty table gives an empty result. Kept columns keep their values whatever their names (common.restored). Without labels of both kinds nothing is called boilerplate and the base rule alone decides.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillguard.llm.common import KEPT, carried, map_texts, restored, table
 
-TRAIN_DOCS, TRAIN_LINES, ROUNDS, MIN_CONTENT = 2_500, 40, 150, 0.5
+TRAIN_DOCS, TRAIN_LINES, CHAIN, ROUNDS, MIN_CONTENT = 2_500, 60_000, 40, 150, 0.5
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -158,16 +158,21 @@ def train(features: list[np.ndarray], labels: list[int], rounds: int = ROUNDS, r
 
 
 def labelled_lines(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> tuple[list[np.ndarray], list[int]]:
-    """Line features and label (1: boilerplate) of the training documents, at most `most` of at most `lines` lines."""
-    chosen = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(f"text is not null and size(split(text, '\\n')) <= {lines}")
+    """Line features and label (1: boilerplate) of whole training documents: at most `most`, as many as have `lines` lines
+    together (one at least). A long document is several chains of CHAIN lines, so that none pads the others."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality is not null").orderBy(*order).limit(most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").orderBy(*order).limit(most)
+    upto = F.sum(F.size(F.split("text", "\n"))).over(Window.orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, -1))  # over at most `most` rows
+    texts = texts.withColumn("before", F.coalesce(upto, F.lit(0))).where(f"before < {lines}")
 
     def make():
         return lambda texts: [[TextLines(t).features.ravel() for t in texts]]
 
-    rows = map_texts(texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), make, "x array<double>", ["doc_id", "quality"]).collect()
+    rows = map_texts(texts, make, "x array<double>", ["doc_id", "quality"]).collect()
     rows = [r for r in sorted(rows, key=lambda r: (str(r.doc_id), r.x)) if r.x]
-    return [np.array(r.x).reshape(-1, N_FEATURES) for r in rows], [1 - r.quality for r in rows]
+    chains = [(np.array(r.x).reshape(-1, N_FEATURES)[at : at + CHAIN], 1 - r.quality) for r in rows for at in range(0, len(r.x) // N_FEATURES, CHAIN)]
+    return [x for x, _ in chains], [y for _, y in chains]
 
 
 def judge(docs: DataFrame, keep: list[str], labels: DataFrame | None = None, text: str = "text", field: tuple[np.ndarray, np.ndarray] | None = None, min_content: float = MIN_CONTENT) -> DataFrame:
