@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillguard.plans import cases, detection, inventory, joins, policies, rollups, upkeep  # noqa: F401  they register what they declare
+from quillguard.plans import cases, detection, inventory, joins, policies, rollups, scans, upkeep  # noqa: F401  they register what they declare
 from quillguard.plans.base import ORACLES, QUERIES  # noqa: F401

@@ -35,3 +35,14 @@ def labelled_examples(reviews: DataFrame) -> DataFrame:
     """Triage as an evaluation corpus: triaged is malicious, dismissed benign; open, bulk, expected and duplicate rows don't count."""
     usable = reviews.where("status <> 'open' and coalesce(via, '') <> 'bulk' and (status = 'triaged' or coalesce(reason, '') not in ('expected', 'accepted_risk', 'duplicate'))")
     return usable.withColumn("label", F.when(F.col("status") == "triaged", "malicious").otherwise("benign"))
+
+
+def evidence_pack(reports: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes each report as JSON lines below a path and gives the manifest (report, rows, digest). The digest is a sum over the
+    rows' hashes, so it doesn't depend on their order and no task sees a whole report."""
+    manifest = None
+    for name, report in sorted(reports.items()):
+        report.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+        row = report.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(F.to_json(F.struct(*report.columns))).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")).select(F.lit(name).alias("report"), "rows", "digest")
+        manifest = row if manifest is None else manifest.unionByName(row)
+    return manifest

@@ -77,6 +77,20 @@ def last_user_prompt(request: Column) -> Column:
     return F.coalesce(F.try_element_at(user, F.lit(-1))["content"], turns["prompt"])
 
 
+def inference_prompt(request: Column, most: int = 60) -> Column:
+    """The prompt of an inference request of any shape: chat, completion, else its inputs' strings, else all of its strings (so
+    many at most, the limit being the feature); a request that isn't JSON is its own prompt."""
+    from quillguard.functions.text import json_strings
+
+    chat = F.from_json(request, "struct<messages:array<struct<role:string,content:string>>,prompt:string,inputs:string,dataframe_records:string,instances:string,input:string>")
+    users = F.filter(chat["messages"], lambda m: (m["role"] == "user") & (F.trim(m["content"]) != ""))
+    text_of = lambda c: F.when(c.rlike(r"^\s*\["), json_strings(F.regexp_replace(c, r'"type"\s*:\s*"[a-z_]+"', '"type":""'))).otherwise(c)
+    harvest = lambda c: F.nullif(F.array_join(F.slice(F.filter(F.split(json_strings(c), "\n"), lambda s: F.trim(s) != ""), 1, most), "\n"), F.lit(""))
+    part = F.coalesce(*(F.when(chat[k].rlike(r"^\s*[\[{]"), harvest(chat[k])).otherwise(F.nullif(chat[k], F.lit(""))) for k in ("inputs", "dataframe_records", "instances", "input")))
+    found = F.coalesce(text_of(F.try_element_at(users, F.lit(-1))["content"]), F.when(F.trim(chat["prompt"]) != "", text_of(chat["prompt"])), part, harvest(request))
+    return F.when(F.trim(request).startswith("{"), F.coalesce(found, F.lit(""))).otherwise(F.trim(request))
+
+
 def since(df: DataFrame, ts: str, watermark, patterns: list[str] = [], text: str = "query_text") -> DataFrame:  # noqa: B006
     """An incremental poll: rows after the watermark whose text is like any of some patterns; both reach the scan."""
     rows = df.where(F.col(ts) > F.lit(watermark))
@@ -93,10 +107,10 @@ def column_samples(df: DataFrame, share: float = 1.0, seed: int = 7) -> DataFram
     return rows.unpivot([], texts, "column", "value").where("value is not null")
 
 
-def mcp_servers(df: DataFrame, column: str) -> DataFrame:
-    """Servers of agent configurations."""
+def mcp_servers(df: DataFrame, column: str, key: list[str] = []) -> DataFrame:  # noqa: B006
+    """Servers of agent configurations, with the key of the configuration's row."""
     servers = F.from_json(column, "struct<mcpServers:map<string,struct<command:string,args:array<string>,url:string>>>")["mcpServers"]
-    return df.select(F.explode(servers).alias("server", "x")).select("server", "x.command", "x.args", "x.url", F.when(F.col("x.url").isNotNull(), "remote").otherwise("local").alias("transport"))
+    return df.select(*key, F.explode(servers).alias("server", "x")).select(*key, "server", "x.command", "x.args", "x.url", F.when(F.col("x.url").isNotNull(), "remote").otherwise("local").alias("transport"))
 
 
 def dependencies(df: DataFrame, column: str) -> DataFrame:

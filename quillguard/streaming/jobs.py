@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,6 +53,65 @@ def recurrences(events: DataFrame, idle_days: int = 30) -> DataFrame:
     return keyed.select("fingerprint", "ts").groupBy("fingerprint").applyInPandasWithState(fold, "fingerprint string, seen_count long, created_at timestamp, last_seen timestamp", "n long, first timestamp, last timestamp", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def chains(findings: DataFrame, seconds: int = 1800, anchor: int = 60, most: int = 300, late: str = LATE) -> DataFrame:
+    """actor, stages, ts of every finding whose actor's last seconds hold two stages and an anchor, as it arrives. Input: actor,
+    ts, category, risk. A chain that comes back is folded on reading: groupBy(actor, stages).
+
+    State holds an actor's last seconds, the newest rows of them at most, and goes when they have passed. Rows of a batch are
+    taken in order of time, those of one second together; a row that arrives after newer ones sees what is still held.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        found = []
+        for at, same in rows.groupby(rows["ts"].dt.floor("s"), sort=True):
+            now = int(at.timestamp())
+            held = [h for h in held if h[0] >= now - seconds] + [[now, c, int(r)] for c, r in zip(same["category"], same["risk"])]
+            held = sorted(held, key=lambda h: h[0])[-most:]
+            seen = [h for h in held if h[0] <= now]
+            stages = sorted({c for _, c, _ in seen})
+            if len(stages) >= 2 and max(r for _, _, r in seen) >= anchor:
+                found += [(key[0], ",".join(stages), ts) for ts in same["ts"]]
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(held[-1][0] * 1000, state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
+        yield pd.DataFrame(found, columns=["actor", "stages", "ts"])
+
+    rows = findings.withWatermark("ts", late).select("actor", "ts", "category", "risk")
+    return rows.groupBy("actor").applyInPandasWithState(step, "actor string, stages string, ts timestamp", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: What a chunk's end may hold of a token that the next chunk finishes; a whole token has eight digits after its kind.
+BEGUN = re.compile(r"Q(?:G(?:_(?:[A-Z]{1,12}(?:_[0-9a-f]{0,7})?)?)?)?$")
+
+
+def detokenized(chunks: DataFrame) -> DataFrame:
+    """reply, seq, text: replies that arrive in chunks, tokens turned back into values. Input: reply, seq, chunk, last and
+    tokens (a map, with each chunk or null). Only what may be a token's beginning is held back, until the next chunk or the last.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        carry, known = json.loads(state.get[0]) if state.exists else ["", {}]
+        rows, out = pd.concat(list(batches)).sort_values("seq"), []
+        for seq, chunk, last, tokens in zip(rows["seq"], rows["chunk"], rows["last"], rows["tokens"]):
+            known.update(dict(tokens) if tokens is not None else {})
+            text = carry + (chunk or "")
+            begun = None if last else BEGUN.search(text)
+            carry = text[begun.start():] if begun else ""
+            text = text[: begun.start()] if begun else text
+            out.append((key[0], seq, re.sub(r"QG_[A-Z]{1,12}_[0-9a-f]{8}", lambda m: known.get(m[0], m[0]), text)))
+        if rows["last"].any():
+            state.remove()
+        else:
+            state.update((json.dumps([carry, known]),))
+        yield pd.DataFrame(out, columns=["reply", "seq", "text"])
+
+    return chunks.groupBy("reply").applyInPandasWithState(step, "reply string, seq int, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def batch_sink(key: list[str], target: str):
     """A foreachBatch writer that a repeated batch doesn't change: each batch overwrites its own folder, with one row a key.
     A key that comes back in a later batch stands there too; latest() merges them on reading."""
