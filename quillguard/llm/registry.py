@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillguard.llm import lm_scoring, media, mixing, near_dedup, packing, quality, quality_rules, secrets, token_counts, url_filters
+from quillguard.llm import decontamination, lm_scoring, media, mixing, near_dedup, packing, periodic_runs, quality, quality_rules, secrets, token_counts, url_filters
 
 QUERIES = {
     "op1_media_columns": media.query,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filters.query,
     "op9_token_counts": token_counts.query,
     "op10_source_mixing": mixing.query,
+    "op11_benchmark_decontamination": decontamination.query,
+    "op12_periodic_runs": periodic_runs.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_benchmark_decontamination": decontamination.ORACLE}
