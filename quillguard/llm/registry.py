@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillguard.llm import decontamination, lm_scoring, media, mixing, near_dedup, packing, periodic_runs, quality, quality_rules, secrets, token_counts, url_filters
+from quillguard.llm import collocations, decontamination, lm_scoring, media, mixing, near_dedup, packing, periodic_runs, quality, quality_rules, secrets, token_counts, url_filters
 
 QUERIES = {
     "op1_media_columns": media.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_source_mixing": mixing.query,
     "op11_benchmark_decontamination": decontamination.query,
     "op12_periodic_runs": periodic_runs.query,
+    "op13_phrase_collocations": collocations.query,
 }
-ORACLES: dict[str, str] = {"op11_benchmark_decontamination": decontamination.ORACLE}
+ORACLES: dict[str, str] = {"op11_benchmark_decontamination": decontamination.ORACLE, "op13_phrase_collocations": collocations.ORACLE}
