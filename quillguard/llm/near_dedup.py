@@ -1,21 +1,22 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text's distinct shingles (five words, or all words of a shorter text) have the weight 1 each, however often they occur.
-ProbMinHash draws, for each shingle, the arrivals of a Poisson process whose rate is the weight; each arrival falls on one
-of COMPONENTS components, which keeps the shingle that arrived first. Two texts agree in a component with the probability
-Jaccard similarity of their weighted shingles as chance; for equal weights that is the plain Jaccard similarity that links
-are verified by, so repeats never hide a link. A process ends as soon as its next arrival is later than every kept one.
+A text's shingles (five words, or all words of a shorter text) weigh by how often they occur: 1 for one occurrence, growing with
+the logarithm up to 2. ProbMinHash draws, for each shingle, the arrivals of a Poisson process whose rate is the weight; each
+arrival falls on one of COMPONENTS components, which keeps the shingle that arrived first. Two texts agree in a component with
+the probability Jaccard similarity of their weighted shingles as chance. A process ends as soon as its next arrival is later
+than every kept one.
 
 Components are banded; texts that share a band are candidates, and a candidate pair is a link if the exact Jaccard
-similarity of the shingle sets is SIMILARITY or more. Equal texts are one class without any comparison.
+similarity of the shingle sets is SIMILARITY or more. Weights of 2 at most keep the probability Jaccard similarity of such a
+pair near its plain one: at 0.7 or more where one text repeats what the other doesn't, at 0.59 where each repeats half of what
+they share, so a pair of 0.8 shares a band with a chance of 0.997 or 0.9. Equal texts are one class without any comparison.
 
-No group is ever expanded into all pairs. Each band compares its members with one leader, the member that meets the most
-others over its bands; a join spreads a large band. Members that aren't similar to their leader may still be similar to
-each other. Two members x and y of one leader L share at most min(|x & L|, |y & L|) shingles of L, so a link needs either
-sizes that allow that bound to reach SIMILARITY, or a shingle in common outside L, and of those so many that one lies in
-both prefixes of x - L and y - L, in hash order. Both are equal-key joins, and what they find is verified. No candidate
-pair of a shared band is lost this way, and copies of one text that only differ from it independently never meet. Where more
-than CROWD members of a leader hold one shingle outside it, they are compared like a band again, with a leader of their own.
+No group is expanded into all pairs. Each band compares its members with one leader, the member that meets the most others
+over its bands; a join spreads a large band. Members that aren't similar to their leader may still be similar to each other:
+where the others of a band are of several classes, they are banded again, by FINE_ROWS components of the plain shingle sets in
+FINE_BANDS bands, which a pair of 0.8 shares with a chance of 0.93 and one of 0.5 with 0.001. Each of those bands again has a
+leader, drawn anew for each band, and there are ROUNDS such rounds. So a member is compared at most BANDS + ROUNDS * FINE_BANDS
+times, however large its group and whatever its shape.
 
 Texts are told apart by 64 bits of hash, a text's shingles by 32 bits.
 
@@ -26,18 +27,20 @@ result. Further columns are ignored by classes_of and kept as they are by kept,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillguard.llm.common import KEPT, carried, map_texts, pieces_of, released, restored, table, written
 
-WORDS, SIMILARITY, BANDS, ROWS, CACHE, CROWD = 5, 0.8, 28, 5, 300_000, 100
+WORDS, SIMILARITY, BANDS, ROWS, CACHE = 5, 0.8, 32, 5, 300_000
+FINE_BANDS, FINE_ROWS, ROUNDS = 96, 16, 2
 COMPONENTS = BANDS * ROWS
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,9 +78,18 @@ class Shingler:
         return np.unique(out, return_counts=True)
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]], components: int = COMPONENTS) -> np.ndarray:
-    """ProbMinHash signatures of many sets (shingles, occurrences), weighted by 1 + ln(occurrences): the kept shingle of
-    each component (0 for empty sets)."""
+def by_logarithm(occurrences: np.ndarray) -> np.ndarray:
+    return 1 + np.log(occurrences)
+
+
+def up_to_two(occurrences: np.ndarray) -> np.ndarray:
+    """1 for one occurrence, 2 for 55 or more."""
+    return 1 + np.minimum(np.log(occurrences), 4) / 4
+
+
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], components: int = COMPONENTS, weight: Callable = by_logarithm) -> np.ndarray:
+    """ProbMinHash signatures of many sets (shingles, occurrences), weighted by their occurrences: the kept shingle of each
+    component (0 for empty sets)."""
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s, _ in sets])
     kept = np.zeros((n, components), np.uint64)
@@ -85,7 +97,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], components: int = COMP
     if not len(owner):
         return kept
     item = np.concatenate([s for s, _ in sets])
-    rate = np.concatenate([1 + np.log(c) for _, c in sets])
+    rate = weight(np.concatenate([c for _, c in sets]))
     state, time, flat_first, flat_kept = item.copy(), np.zeros(len(item)), first.ravel(), kept.ravel()
     with np.errstate(over="ignore"):
         while len(item):
@@ -121,7 +133,7 @@ def sketched(docs: DataFrame, keep: list[str], text: str = "text", words: int =
 
         def work(texts):
             sets = [shingler(t) for t in texts]
-            bands = bands_of(signatures([(s, np.ones_like(n)) for s, n in sets]))  # equal weights, as links are verified
+            bands = bands_of(signatures(sets, weight=up_to_two))
             return [[len(s) for s, _ in sets], [b if len(s) else [] for b, (s, _) in zip(bands, sets)]]
 
         return work
@@ -130,10 +142,10 @@ def sketched(docs: DataFrame, keep: list[str], text: str = "text", words: int =
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, n_a, n_b, common, and rest: the shingles of a that b lacks, ordered."""
+    """a, b, n_a, n_b and common: how many shingles each has, and both."""
     one = pairs.select("a", "b").join(sets.withColumnsRenamed({"rep": "b", "set": "set_b"}), "b")
     both = one.join(sets.withColumnsRenamed({"rep": "a", "set": "set_a"}), "a").select("a", "b", "set_a", "set_b")
-    schema = T.StructType([*both.schema.fields[:2], *T._parse_datatype_string("n_a int, n_b int, common int, rest array<int>").fields])
+    schema = T.StructType([*both.schema.fields[:2], *T._parse_datatype_string("n_a int, n_b int, common int").fields])
 
     def run(batches):
         for batch in batches:
@@ -141,10 +153,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 found = []
                 for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     x, y = np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)
-                    rest = np.setdiff1d(x, y, assume_unique=True)
-                    found.append((len(x), len(y), len(x) - len(rest), rest))
-                n_a, n_b, common, rest = zip(*found) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(common, pa.int32()), pa.array(rest, pa.list_(pa.int32()))], names=schema.names)
+                    found.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(c, pa.int32()) for c in zip(*found))], names=schema.names)
 
     return both.mapInArrow(run, schema)
 
@@ -154,37 +164,6 @@ def similar(similarity: float) -> str:
     return f"common * {100 + round(100 * similarity)} >= {round(100 * similarity)} * (n_a + n_b)"
 
 
-def leftover_pairs(compared: DataFrame, classes: DataFrame, similarity: float, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of one leader and different classes, one of them not similar to it, that may be similar (see above); and
-    (band, rep, n) of crowds: more than `crowd` members of one leader with one shingle outside it, which aren't paired here."""
-    t = round(100 * similarity)
-    named = compared.withColumn("far", ~F.expr(similar(similarity))).join(classes.withColumnRenamed("rep", "a"), "a")
-    # a link of x needs similarity * |x| shingles in common, so at least that many less those shared with the leader outside it
-    need = F.expr(f"greatest(1, cast(ceil({t} * n_a / 100D - 1e-9) as int) - common)")
-    named = named.withColumn("prefix", F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.size("rest") - need + 1)))
-    named = written(named.select("b", "a", "cls", "far", F.col("n_a").alias("n"), "common", F.size("rest").alias("r"), "prefix"))
-    met = named.select("b", "a", "far", F.explode("prefix").alias("h"))
-    groups = met.groupBy("b", "h").agg(F.count("*").alias("m"), F.bool_or("far").alias("far")).where(f"far and m > {crowd}")
-    crowds = written(groups.select("b", "h", "m"))
-    crowded = written(met.join(crowds, ["b", "h"]).select(F.xxhash64("b", "h").alias("band"), F.col("a").alias("rep"), F.col("m").alias("n")))
-    x = named.where("far").withColumnsRenamed({"a": "x", "cls": "x_cls", "n": "x_n", "common": "x_c", "r": "x_r"}).drop("far")
-    y = named.withColumnsRenamed({"a": "y", "cls": "y_cls", "n": "y_n", "common": "y_c", "r": "y_r"}).drop("far")
-    may = f"x_cls <> y_cls and least(x_n, y_n) * 100 >= {t} * greatest(x_n, y_n)"
-    # how many shingles outside the leader a pair must share; its first in common lies before the last so many of either
-    lacks = f"(cast(ceil({t} * (x_n + y_n) / {100 + t}D - 1e-9) as int) - least(x_c, y_c))"
-    early = f"{lacks} >= 1 and x_at + {lacks} <= x_r and y_at + {lacks} <= y_r"
-    side = lambda df, s: df.select("b", s, f"{s}_cls", f"{s}_n", f"{s}_c", f"{s}_r", F.posexplode("prefix").alias(f"{s}_at", "h"))
-    few = side(x, "x").join(crowds, ["b", "h"], "left_anti")
-    outside = few.join(side(y, "y"), ["b", "h"]).where(f"{may} and {early}")
-    step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(1.05))).cast("int")
-    most = F.expr(f"cast(floor({100 + t} * x_c / {t}D - x_n + 1e-9) as int)")  # the largest |y| that the bound allows
-    low = F.greatest(F.lit(1), F.expr(f"cast(ceil({t} * x_n / 100D - 1e-9) as int)"))
-    ranged = x.drop("prefix", "x_r").where(most >= low).withColumn("step", F.explode(F.sequence(step(low), step(most))))
-    inside = ranged.join(y.drop("prefix", "y_r").withColumn("step", step(F.col("y_n"))), ["b", "step"]).where(f"{may} and {100 + t} * least(x_c, y_c) >= {t} * (x_n + y_n)")
-    both = outside.select("x", "y").union(inside.select("x", "y"))
-    return written(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), crowded
-
-
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(rep, cls): classes after their members' links, each class named by its least member.
 
@@ -210,23 +189,50 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def compared_with_leaders(members: DataFrame, sets: DataFrame, classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, links, crowds) after the members (band, rep, n) of each band met its leader, and what that leaves each other."""
-    pairs = led_pairs(members)
-    compared = written(overlaps(pairs, sets))
-    links = compared.where(similar(similarity)).select("a", "b")
-    classes = merged(classes, links)
-    more, crowds = leftover_pairs(compared, classes, similarity)
-    if not more.isEmpty():
-        found = written(overlaps(more, sets).where(similar(similarity)).select("a", "b"))
-        classes, links = merged(classes, found), links.union(found)
-    return classes, links, crowds
+def led(members: DataFrame, *order: Column) -> DataFrame:
+    """members (band, rep) with b, the band's leader: the last one in order."""
+    leader = members.groupBy("band").agg(F.max(F.struct(*order, "rep")).alias("lead")).select("band", F.col("lead.rep").alias("b"))
+    return members.join(leader, "band").select("band", "rep", "b")
+
+
+def links_of(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    return written(overlaps(pairs, sets).where(similar(similarity)).select("a", "b"))
+
 
+def unresolved(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, cls) of members (band, rep, b) of bands in which others than the leader are of several classes."""
+    named = members.join(classes, "rep")
+    mixed = named.where("rep <> b").groupBy("band").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("band")
+    return named.join(mixed, "band", "left_semi").select("rep", "cls").distinct()
 
-def led_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each member of a band (band, rep, n: its size) with the band's leader, the member that meets the most others."""
-    led = members.join(members.groupBy("rep").agg(F.sum("n").alias("met")), "rep").groupBy("band").agg(F.max(F.struct("met", "rep")).alias("lead")).select("band", F.col("lead.rep").alias("b"))
-    return written(members.select("band", F.col("rep").alias("a")).join(led, "band").where("a <> b").select("a", "b").distinct())
+
+def fine_members(sets: DataFrame, turn: int) -> DataFrame:
+    """(band, rep, cls) of texts (rep, set, cls) in finer bands than the first, other ones each turn."""
+    seed = np.uint64(turn * 0x51ED2701 + 1)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces_of(batch, 2, 128):
+                found = [scrambled(np.frombuffer(x, np.int32).view(np.uint32).astype(np.uint64) * MULT + seed) for x in part.column(2).to_pylist()]
+                bands = bands_of(signatures([(x, np.ones(len(x))) for x in found], FINE_BANDS * FINE_ROWS), FINE_BANDS)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(bands), pa.list_(pa.int64()))], names=["rep", "cls", "bands"])
+
+    fine = sets.select("rep", "cls", "set").mapInArrow(run, "rep long, cls long, bands array<long>")
+    return fine.select(F.explode("bands").alias("band"), "rep", "cls")
+
+
+def found_again(members: DataFrame, sets: DataFrame, classes: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Links (a, b) between members (band, rep, b) that their leaders left in several classes."""
+    left = unresolved(members, classes)
+    fine = written(fine_members(sets.join(left, "rep"), turn))
+    mixed = fine.groupBy("band").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("band")
+    met = fine.join(mixed, "band", "left_semi")
+    named = left.withColumnsRenamed({"rep": "b", "cls": "cls_b"})
+    pairs = led(met.select("band", "rep"), F.xxhash64("band", "rep")).select(F.col("rep").alias("a"), "b").distinct()
+    apart = pairs.join(left.withColumnRenamed("rep", "a"), "a").join(named, "b").where("cls <> cls_b")
+    links = links_of(apart, sets, similarity)
+    released(fine)
+    return links
 
 
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -240,7 +246,9 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     reps = written(rows.groupBy("rep").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     members = reps.select("rep", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(shared, "band"))
+    members = members.join(shared, "band")
+    meets = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    members = written(led(members.join(meets, "rep"), F.col("met")))
     classes = written(members.select("rep").distinct().withColumn("cls", F.col("rep")))
     wanted = reps.join(classes, "rep", "left_semi").select("rep", "id")  # one row a text
 
@@ -253,15 +261,13 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     if not rows.groupBy("rep", "id").count().where("count > 1").isEmpty():  # equal rows
         sets = sets.dropDuplicates(["rep"])
     sets = written(sets)
-    links = []
-    while True:  # a crowd meets a leader of its own, who has the crowd's shingle; so each round they are fewer, or have less outside
-        classes, found, crowds = compared_with_leaders(members, sets, classes, similarity)
-        links.append(found)
-        if crowds.isEmpty():
-            break
-        released(members)
-        members = crowds
-    links = reduce(DataFrame.union, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = members.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    found = [links_of(pairs, sets, similarity)]
+    classes = merged(classes, found[0])
+    for turn in range(ROUNDS):
+        found.append(found_again(members, sets, classes, similarity, turn))
+        classes = merged(classes, found[-1])
+    links = reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "rep")
     of_rep = reps.select("rep", "id", "copies").join(classes, "rep", "left").join(degree, "rep", "left")
     of_rep = written(of_rep.withColumn("cls", F.coalesce("cls", "rep")))
