@@ -1,24 +1,32 @@
-"""Redaction by patterns, and reversible tokens."""
+"""Where a text's sensitive values stand, redaction by these spans, and reversible tokens of texts and request payloads.
 
-from __future__ import annotations
+One finder serves them all, made of built-in expressions: patterns with the tests their values must pass, so a number without
+valid check digits is neither marked nor cut out.
+"""
 
-import hashlib
-import hmac
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.functions import columns as C
+from quillguard.functions import spans as P
+from quillguard.functions.keyed import TOKEN, token
 
 #: Ordered (pattern, replacement); a group that is kept comes first.
 PATTERNS = (
     (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[PRIVATE KEY]"),
     (r"""(?i)((?:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?)[A-Za-z0-9+/_.=-]{8,}""", "$1[SECRET]"),
-    (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[SSN]"),
+    (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[SSN]"),
 )
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
+#: Kinds of values, the one that names a merged span first, and what stands in for them.
+SPAN_KINDS = ("block", "secret", "ssn", "card", "health", "email")
+NAMES = {"block": "secret"}
+MARKERS = {"block": "[PRIVATE KEY]", "secret": "[SECRET]", "ssn": "[SSN]", "card": "[CARD]", "health": "[PHI]", "email": "[EMAIL]"}
+PERSONAL = ("ssn", "card", "health", "email")
+#: Marks, joiners and modifiers that belong to the character before them; a span takes them along.
+CLINGING = r"[\p{M}\x{200d}\x{fe0e}\x{fe0f}\x{1f3fb}-\x{1f3ff}]*"
 
 
 def redact_patterns(text: Column, patterns=PATTERNS) -> Column:
@@ -34,49 +42,56 @@ def each_match(text: Column, pattern: str, new) -> Column:
     return F.when(F.size(hits) > 0, F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(new(h), F.lit("")))), "")).otherwise(text)
 
 
-def redact_text(text: Column) -> Column:
-    """Ordered redaction: key blocks, assigned secrets, vendors' formats, social security numbers, cards that are valid, health
-    ids with their check digits, random keys. A number without valid check digits stays."""
+def finders(kinds: tuple[str, ...]) -> list[tuple[str, str, object, tuple[str, ...]]]:
+    """(kind, pattern, which matches count, plain strings of which a text with a match holds one) of some kinds."""
     from quillguard.operators import detectors as D
 
-    text = redact_patterns(text)
-    known = [p for n, p in D.SECRETS[1:] + D.MORE_SECRETS if n != "connection_string" and "(?i)" not in p and n != "private_key"]
-    text = F.regexp_replace(text, "|".join(f"(?:{p})" for p in known), "[SECRET]")
-    text = each_match(text, "[0-9](?:[ -]?[0-9]){12,18}", lambda m: F.when(C.card_ok(m), "[CARD]").otherwise(m))
-    text = each_match(text, r"(?<![0-9])[12][0-9]{9}(?![0-9])", lambda m: F.when(C.npi_ok(m), "[PHI]").otherwise(m))
-    return each_match(text, r"[A-Za-z0-9_]{24,80}", lambda m: F.when(F.size(D.random_keys(m)) > 0, "[SECRET]").otherwise(m))
+    real = lambda m: ~m.rlike(D.PLACEHOLDER)
+    formats = [("secret", p, real, D.sure(name, p)) for name, p in D.SECRETS + D.MORE_SECRETS]
+    every = [
+        ("block", PATTERNS[0][0], None, ("PRIVATE KEY",)), *formats, ("secret", r"[A-Za-z0-9_]{24,80}", lambda m: F.size(D.random_keys(m)) > 0, ()),
+        ("ssn", PATTERNS[2][0], lambda m: C.ssn_ok(C.digits(m)), ()), ("card", "[0-9](?:[ -]?[0-9]){12,18}", C.card_ok, ()),
+        ("health", r"(?<![0-9])[12][0-9]{9}(?![0-9])", C.npi_ok, ()), ("email", EMAIL, None, ("@",)),
+    ]
+    return [f for f in every if f[0] in kinds]
 
 
-#: Kinds of spans, the one that names a merged span first.
-SPAN_KINDS = ("secret", "ssn", "card", "email")
+def spans_of(text: Column, kinds: tuple[str, ...] = SPAN_KINDS, patterns: dict[str, str] | None = None) -> Column:
+    """array<struct<start,end,kind>> of sensitive values, kind a number: that of SPAN_KINDS, or of patterns if these are given."""
+    from quillguard.operators import detectors as D
 
+    chosen = [(k, p, None, ()) for k, p in patterns.items()] if patterns else finders(kinds)
+    order = list(patterns) if patterns else list(SPAN_KINDS)
+    none = F.expr(f"cast(array() as {P.SPANS})")
 
-def with_spans(df: DataFrame, text: str) -> DataFrame:
-    """Adds spans: array<struct<start,end,kind>> of sensitive values in code points, end exclusive; overlapping ones merged."""
-    from quillguard.operators import detectors as D
+    def found(t, kind, pattern, valid, sure):
+        bare = (lambda m: valid(F.regexp_replace(m, f"{CLINGING}$", ""))) if valid else None
+        each = F.transform(P.matches(t, f"(?:{pattern}){CLINGING}", bare), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(order.index(kind)).alias("kind")))
+        return F.when(D.holds_any(t, sure), each).otherwise(none) if sure else each
+
+    return P.let(F.coalesce(text, F.lit("")), lambda t: P.merged(F.concat(*(found(t, *f) for f in chosen))))
+
+
+def kind_of(number: Column, kinds=SPAN_KINDS) -> Column:
+    return F.get(F.array(*(F.lit(NAMES.get(k, k)) for k in kinds)), number)
 
-    find = {"secret": [re.compile(p) for _, p in D.SECRETS + D.MORE_SECRETS], "ssn": [re.compile(PATTERNS[2][0])], "card": [re.compile("[0-9](?:[ -]?[0-9]){12,18}")], "email": [re.compile(EMAIL)]}
 
-    @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            found = sorted((m.start(), -m.end(), SPAN_KINDS.index(k)) for k, patterns in find.items() for p in patterns for m in p.finditer(t or ""))
-            merged: list[list[int]] = []
-            for a, b, k in found:
-                if merged and a < merged[-1][1]:
-                    merged[-1][1:] = [max(merged[-1][1], -b), min(merged[-1][2], k)]
-                else:
-                    merged.append([a, -b, k])
-            out.append([{"start": a, "end": b, "kind": SPAN_KINDS[k]} for a, b, k in merged])
-        return pd.Series(out)
+def with_spans(df: DataFrame, text: str, kinds: tuple[str, ...] = SPAN_KINDS) -> DataFrame:
+    """Adds spans: array<struct<start,end,kind>> of sensitive values in code points, end exclusive; overlapping ones merged."""
+    return df.withColumn("spans", F.transform(spans_of(F.col(text), kinds), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind_of(s["kind"]).alias("kind"))))
+
 
-    return df.withColumn("spans", run(F.col(text)))
+def redact_text(text: Column, kinds: tuple[str, ...] = SPAN_KINDS[:-1]) -> Column:
+    """The text with its sensitive values' markers in their place: key blocks, assigned secrets (the name stays), vendors'
+    formats, random keys, social security numbers, cards and health ids that are valid."""
+    head = PATTERNS[1][0].removesuffix("[A-Za-z0-9+/_.=-]{8,}")
+    marker = lambda s: F.concat(F.regexp_extract(s["text"], f"^{head}", 1), F.get(F.array(*(F.lit(MARKERS[k]) for k in SPAN_KINDS)), s["kind"]))
+    return P.let(text, lambda t: P.replaced(t, P.with_text(t, spans_of(t, kinds), "kind"), marker))
 
 
 def utf16(text: Column, at: Column) -> Column:
     """A place in code points as one in UTF-16 units."""
-    return (F.octet_length(F.encode(F.substring(text, F.lit(1), at), "UTF-16BE")) / 2).cast("int")
+    return at + F.size(F.filter(P.matches(text, r"[\x{10000}-\x{10ffff}]"), lambda m: m["start"] < at))
 
 
 def masked_signals(signals: Column) -> Column:
@@ -86,39 +101,111 @@ def masked_signals(signals: Column) -> Column:
     return F.transform(signals, lambda s: s.withField("evidence", F.coalesce(F.when(s["category"].isin("secret_leak", "pii_leak", "phi_leak"), mask(s["evidence"])).otherwise(redact_patterns(s["evidence"])), F.lit(""))).withField("detail", F.coalesce(redact_patterns(s["detail"]), F.lit(""))))
 
 
-def locatable(signals: Column, never: tuple[str, ...] = ("confidential_data", "source_code_leak")) -> Column:
-    """Whether redaction can cure a row: every sensitive signal is of a kind with spans, none of those that never are."""
-    sensitive = F.filter(signals, lambda s: s["category"].isin("secret_leak", "pii_leak", "phi_leak", *never))
-    return (F.size(sensitive) > 0) & F.forall(sensitive, lambda s: ~s["category"].isin(*never))
+#: What removing values from a text doesn't change: acts of agents, servers, posture.
+NEVER = ("dangerous_action", "agent_autonomy", "tool_poisoning", "untrusted_server", "sensitive_access", "posture_gap", "oversharing", "dependency_risk", "ci_risk")
 
 
-def tokenize_payload(df: DataFrame, payload: str, key: bytes) -> DataFrame:
-    """As tokenize, over request payloads: values inside the JSON's strings become tokens, which need no escaping, so the payload
-    stays valid JSON and reverses as text; a top-level model name is never touched, since tokens only replace addresses."""
-    return tokenize(df, payload, key)
+def locatable(signals: Column, never: tuple[str, ...] = NEVER, by: tuple[str, ...] = ("shadow_ai",)) -> Column:
+    """Whether redaction may cure a row: it has signals of values, all from detectors whose matches have a place in the text,
+    and none that no redaction changes. Whether it does, a second verdict over the redacted text decides."""
+    values = F.filter(signals, lambda s: s["category"].isin("secret_leak", "pii_leak", "phi_leak"))
+    return (F.size(values) > 0) & F.forall(values, lambda s: s["detector"].isin(*by)) & ~F.exists(signals, lambda s: s["category"].isin(*never))
 
 
-def token(kind: str, value: str, key: bytes) -> str:
-    """The same value always has the same token."""
-    return f"QG_{kind}_{hmac.new(key, value.encode(), hashlib.sha256).hexdigest()[:8]}"
+def tokenized(text: Column, key: bytes, kinds: tuple[str, ...] = PERSONAL, patterns: dict[str, str] | None = None) -> Column:
+    """struct<tokenized, tokens>: the text with tokens for its values, and what each token stands for. A null text stays null."""
+    names = [*patterns] if patterns else [*SPAN_KINDS]
+    named = lambda s: F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), token(F.get(F.array(*map(F.lit, names)), x["kind"]), x["text"], key).alias("token")))
+    pairs = lambda s: F.map_from_entries(F.array_distinct(F.transform(s, lambda x: F.struct(x["token"].alias("key"), x["text"].alias("value")))))
+    return P.let(text, lambda t: P.let(named(P.with_text(t, spans_of(t, kinds, patterns), "kind")), lambda s: F.struct(P.replaced(t, s, lambda x: x["token"]).alias("tokenized"), pairs(s).alias("tokens"))))
 
 
 def tokenize(df: DataFrame, text: str, key: bytes, patterns: dict[str, str] | None = None) -> DataFrame:
     """Adds tokenized and tokens (map token -> value), so that detokenize gives the text back."""
-    compiled = {k: re.compile(p) for k, p in (patterns or {"EMAIL": EMAIL}).items()}
+    return df.withColumn("__t", tokenized(F.col(text), key, patterns=patterns)).select(*df.columns, "__t.tokenized", "__t.tokens")
 
-    @F.pandas_udf("struct<tokenized:string,tokens:map<string,string>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            seen: dict[str, str] = {}
-            for kind, p in compiled.items():
-                t = p.sub(lambda m: seen.setdefault(k := token(kind, m[0], key), m[0]) and k, t) if t is not None else None
-            out.append((t, seen))
-        return pd.DataFrame(out, columns=["tokenized", "tokens"])
 
-    return df.withColumn("__t", run(text)).select(*df.columns, "__t.tokenized", "__t.tokens")
+def detokenize(text: Column, tokens: Column) -> Column:
+    """The text with known tokens turned back, each once; what a value holds isn't read again. Unknown tokens stay."""
+    return each_match(text, TOKEN, lambda m: F.coalesce(F.try_element_at(tokens, m), m))
 
 
-def detokenize(text: Column, tokens: Column) -> Column:
-    return F.aggregate(F.map_entries(tokens), text, lambda acc, e: F.replace(acc, e["key"], e["value"]))
+LITERAL = r'"(?:[^"\\]++|\\.)*+"'
+#: Where public request formats keep what a person or a tool wrote; what names, types and ids are called there.
+PROMPT = r"^\$\.(?:messages|system|input|inputs|instructions|prompt|contents|systemInstruction|system_instruction|query|question)\b"
+NEVER_PATH = r"^\$\.(?:model|tools|tool_choice|functions|metadata)\b"
+NAME_KEY = r"\.(?:model|role|type|id|name|tool_call_id|tool_use_id|call_id|mime_type|mimeType|media_type|format|object|status)$"
+TOOL_VALUES = r"\.(?:arguments|args|response)\b|\]\.input\b"
+
+
+def literals(payload: Column) -> Column:
+    """array<struct<start,end,text,value,path>> of a JSON text's strings: value decoded; path where it stands ($.a.b[] for an
+    element of a list), null for a key.
+
+    A fold over the strings and the marks between them keeps the containers that are open and the last key.
+    """
+    state = "struct<open:array<string>,key:string,paths:array<string>>"
+    value = lambda m: F.get(F.from_json(F.concat(F.lit("["), m, F.lit("]")), "array<string>"), F.lit(0))
+    make = lambda a, k, p: F.struct(a.alias("open"), k.alias("key"), p.alias("paths"))
+
+    def mark(s, c):
+        inner = F.concat(s["open"], F.array(F.concat(s["key"], F.when(c == "[", "[]").otherwise(""))))
+        outer = F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+        return make(F.when(c.isin("{", "["), inner).when(c.isin("}", "]"), outer).otherwise(s["open"]), F.lit(""), s["paths"])
+
+    def step(s, x):
+        marks = F.filter(F.split(F.regexp_replace(x["gap"], r"[^\[\]{},]", ""), ""), lambda c: c != "")
+        path = lambda at: F.replace(F.array_join(F.filter(F.concat(F.array(F.lit("$")), at["open"], F.array(at["key"])), lambda p: p != ""), "."), F.lit(".[]"), F.lit("[]"))
+        return P.let(F.aggregate(marks, s, mark), lambda at: make(at["open"], F.when(x["key"], x["value"]).otherwise(at["key"]), F.concat(at["paths"], F.array(F.when(~x["key"], path(at))))))
+
+    def walked(found, gaps):
+        each = F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).rlike(r"^\s*:").alias("key"), value(m["text"]).alias("value")))
+        start = F.expr(f"cast(struct(cast(array() as array<string>), '', cast(array() as array<string>)) as {state})")
+        return P.let(each, lambda e: P.let(F.aggregate(e, start, step), lambda s: F.transform(found, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.get(e, i)["value"].alias("value"), F.get(s["paths"], i).alias("path")))))
+
+    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string,value:string,path:string>>)")
+    return P.let(payload, lambda t: P.let(P.matches(t, LITERAL), lambda found: F.when(F.size(found) > 0, walked(found, F.split(t, LITERAL, -1))).otherwise(none)))
+
+
+def encoded(text: Column) -> Column:
+    """A text as a JSON string, quotes included."""
+    return F.when(text.isNotNull(), P.let(F.to_json(F.array(text)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2)))
+
+
+def is_json(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"^\s*[\[{]"), F.lit(False)) & F.try_parse_json(text).isNotNull()
+
+
+def written_by_someone(paths: Column) -> Column:
+    """For each path whether its string is what a person or a tool wrote, not a name, type or id. In a payload of no known
+    format every string is."""
+    p = lambda x, pattern: F.coalesce(x.rlike(pattern), F.lit(False))
+    known = lambda all_: F.exists(all_, lambda x: p(x, PROMPT))
+    return P.let(paths, lambda a: P.let(known(a), lambda k: F.transform(a, lambda x: x.isNotNull() & ~p(x, NEVER_PATH) & (~k | p(x, PROMPT)) & (p(x, TOOL_VALUES) | ~p(x, NAME_KEY)))))
+
+
+def tokenized_payload(payload: Column, key: bytes, kinds: tuple[str, ...] = PERSONAL, patterns: dict[str, str] | None = None) -> Column:
+    """As tokenized, over a request payload: strings that a person or a tool wrote are decoded, tokenized and encoded again; keys,
+    names, ids, numbers and everything between strings stay byte for byte. A text that isn't a JSON object or list is
+    tokenized as a text."""
+    T = "struct<tokenized:string,tokens:map<string,string>>"
+    each = lambda found, ok: F.transform(found, lambda m, i: F.when(F.get(ok, i), tokenized(m["value"], key, kinds, patterns)).otherwise(F.lit(None).cast(T)))
+    new = lambda found, done: F.filter(F.transform(found, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.get(done, i)["tokenized"].alias("text"), F.coalesce(F.size(F.get(done, i)["tokens"]), F.lit(0)).alias("n"))), lambda m: m["n"] > 0)
+    tokens = lambda done: F.map_from_entries(F.array_distinct(F.flatten(F.transform(F.filter(done, lambda d: d.isNotNull()), lambda d: F.map_entries(d["tokens"])))))
+    walk = lambda t: P.let(literals(t), lambda found: P.let(each(found, written_by_someone(F.transform(found, lambda m: m["path"]))), lambda done: F.struct(P.replaced(t, new(found, done), lambda m: encoded(m["text"])).alias("tokenized"), tokens(done).alias("tokens"))))
+    return F.when(is_json(payload), walk(payload)).otherwise(tokenized(payload, key, kinds, patterns))
+
+
+def tokenize_payload(df: DataFrame, payload: str, key: bytes, patterns: dict[str, str] | None = None) -> DataFrame:
+    """Adds tokenized and tokens of request payloads; detokenize_payload gives the payload back."""
+    return df.withColumn("__t", tokenized_payload(F.col(payload), key, patterns=patterns)).select(*df.columns, "__t.tokenized", "__t.tokens")
+
+
+def detokenize_payload(payload: Column, tokens: Column) -> Column:
+    """A payload with known tokens turned back inside its strings, values encoded as they must be there; a string that is JSON
+    itself, as a tool call's arguments are, stays JSON."""
+    escaped = lambda v: P.let(encoded(v), lambda e: F.substring(e, F.lit(2), F.length(e) - 2))
+    back = lambda v: F.when(is_json(v), each_match(v, TOKEN, lambda m: F.coalesce(escaped(F.try_element_at(tokens, m)), m))).otherwise(detokenize(v, tokens))
+    touched = lambda found: F.filter(found, lambda m: m["path"].isNotNull() & m["text"].rlike(TOKEN))
+    whole = P.let(payload, lambda t: P.replaced(t, touched(literals(t)), lambda m: encoded(back(m["value"]))))
+    return F.when(is_json(payload), whole).otherwise(detokenize(payload, tokens))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.functions import scoring as S
+from quillguard.functions import spans as P
 from quillguard.operators import detectors as D
 from quillguard.operators import redact as R
 
@@ -48,10 +49,7 @@ def hop(subject: Column, actor: Column) -> Column:
 
 def without_spans(text: Column, spans: Column) -> Column:
     """A text with every span (in order, none overlapping) replaced by its kind in brackets."""
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(spans, F.greatest(i, F.lit(1)))["end"])
-    parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    rest = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
+    return P.replaced(text, spans, lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
 
 def redaction_plans(scored: DataFrame, text: str) -> DataFrame:
