@@ -4,10 +4,11 @@ A shard is some millions of words of one language within a task. Prefix doubling
 neighbours in that order that share k words or more form the interval of a k-gram, and its length is the k-gram's count there.
 Counts are summed over shards by phrase.
 
-A phrase of LEAST occurrences has only words and pairs of as many. So three passes over the texts count words, then pairs of
-frequent words (by hashes, as a filter only), then whole phrases of up to WORDS words inside stretches of frequent pairs. Which
-words and pairs are frequent goes back to the shards as a bitmap of one size for any corpus (2 ** BITS bits); where two share
-a bit, or where so many are frequent that the bitmap fills up, more is counted than needed, and the counts stay exact.
+A phrase of LEAST occurrences has only words, pairs and triples of as many. So four passes over the texts count words, then
+pairs of frequent words and triples of frequent pairs (by hashes, as a filter only), then whole phrases: pairs, and up to WORDS
+words inside stretches of frequent triples. Which words, pairs and triples are frequent goes back to the shards as a bitmap of
+one size for any corpus (2 ** BITS bits); where two share a bit, or where so many are frequent that the bitmap fills up, more
+is counted than needed, and the counts stay exact.
 
 Words are counted within pieces of a text, between punctuation marks and line ends. Null texts have no words, a null language
 is `und`; repeated rows count as often as they stand. Very long texts are read whole and sorted in overlapping parts. An empty
@@ -159,20 +160,41 @@ def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def frequent_only(shard: Shard, frequent: bytes, pairs: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's symbols with a 0 for rare words, and between rare pairs if these are known; and the hashes of word ids."""
+def chained(symbols: np.ndarray, good: np.ndarray, k: int) -> np.ndarray:
+    """The stretches in which each k symbols are good, a 0 behind each; good: the places where such k begin."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
+    size = edge[1::2] - edge[::2] + k
+    at = np.repeat(edge[::2] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    out = symbols[np.minimum(at, max(0, len(symbols) - 1))]
+    out[np.cumsum(size) - 1] = 0
+    return out
+
+
+def frequent_words(shard: Shard, frequent: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's symbols in stretches of frequent words, and the hashes of word ids."""
     h = shard.hashes()
     known = marked(frequent, h)
     known[0] = False
     symbols = shard.symbols()
-    symbols = np.where(known[symbols], symbols, 0)
-    if pairs is not None and len(symbols) > 1:
-        a, b = symbols[:-1], symbols[1:]
-        rare = (a != 0) & (b != 0)
-        rare[rare] = ~marked(pairs, paired(h[a[rare]], h[b[rare]]))
-        symbols = np.insert(symbols, np.flatnonzero(rare) + 1, 0)
-    # of several zeros one does
-    return symbols[np.concatenate([[True], (symbols[1:] != 0) | (symbols[:-1] != 0)])], h
+    return chained(symbols, known[symbols], 1), h
+
+
+def frequent_runs(symbols: np.ndarray, h: np.ndarray, frequent: bytes, k: int) -> np.ndarray:
+    """The stretches of the symbols whose pairs (or triples) are frequent."""
+    n = max(0, len(symbols) - k + 1)
+    whole = np.ones(n, bool)
+    for j in range(k):
+        whole &= symbols[j : j + n] != 0
+    at = np.flatnonzero(whole)
+    whole[at] = marked(frequent, spelt_hash(symbols, h, at, k))
+    return chained(symbols, whole, k)
+
+
+def spelt_hash(symbols: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    out = h[symbols[at]]
+    for j in range(1, k):
+        out = paired(out, h[symbols[at + j]])
+    return out
 
 
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", words: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -188,21 +210,35 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", words
     frequent = context.broadcast(bitmap(every.where(F.col("f") >= least), "h"))
 
     def of_pairs(shard):
-        symbols, h = frequent_only(shard, frequent.value)
-        for _, at, n in intervals(symbols, 2, 2):
-            yield [paired(h[symbols[at]], h[symbols[at + 1]]).view(np.int64), n]
+        symbols, h = frequent_words(shard, frequent.value)
+        for k, at, n in intervals(symbols, 2, 2):
+            yield [spelt_hash(symbols, h, at, k).view(np.int64), n]
+
+    def often(of):
+        counts = over_shards(docs, lang, text, of, "h long, n long").groupBy("h").agg(F.sum("n").alias("f"))
+        return context.broadcast(bitmap(counts.where(F.col("f") >= least), "h"))
+
+    pairs = often(of_pairs)
+
+    def of_triples(shard):
+        symbols, h = frequent_words(shard, frequent.value)
+        symbols = frequent_runs(symbols, h, pairs.value, 2)
+        for k, at, n in intervals(symbols, 3, 3):
+            yield [spelt_hash(symbols, h, at, k).view(np.int64), n]
 
-    pairs = over_shards(docs, lang, text, of_pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    often = context.broadcast(bitmap(pairs, "h"))
+    triples = often(of_triples) if words > 2 else None
 
     def of_phrases(shard):
-        symbols, _ = frequent_only(shard, frequent.value, often.value)
+        symbols, h = frequent_words(shard, frequent.value)
+        symbols = frequent_runs(symbols, h, pairs.value, 2)
         spelt = shard.words()
-        for k, at, n in intervals(symbols, 2, words):
-            for i in range(0, len(at), 1 << 16):
-                some = at[i : i + (1 << 16)]
-                rows = np.stack([symbols[some + j] for j in range(k)], 1).tolist()
-                yield [shard.lang, [" ".join([spelt[w] for w in r]) for r in rows], np.full(len(rows), k), n[i : i + (1 << 16)]]
+        longer = frequent_runs(symbols, h, triples.value, 3) if triples else symbols[:0]
+        for line, shortest, longest in ((symbols, 2, 2), (longer, 3, words)):
+            for k, at, n in intervals(line, shortest, longest):
+                for i in range(0, len(at), 1 << 16):
+                    some = at[i : i + (1 << 16)]
+                    rows = np.stack([line[some + j] for j in range(k)], 1).tolist()
+                    yield [shard.lang, [" ".join([spelt[w] for w in r]) for r in rows], np.full(len(rows), k), n[i : i + (1 << 16)]]
 
     phrases = over_shards(docs, lang, text, of_phrases, "lang string, phrase string, k int, n long").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f"))
     single = every.select("lang", "phrase", F.lit(1).alias("k"), "f")

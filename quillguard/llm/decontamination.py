@@ -305,7 +305,7 @@ def without_spans(df: DataFrame, text: str = "text", spans: str = "spans") -> Da
     words = F.regexp_extract_all(t, F.lit(word), F.lit(0))
     at = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(spans), i - 1)["end"]).cast("int")
     until = lambda i: F.when(i == F.size(spans), F.size(words)).otherwise(F.get(F.col(spans), i)["start"]).cast("int")
-    stretch = lambda i: F.array_join(F.zip_with(F.slice(words, at(i) + 1, until(i) - at(i)), F.slice(gaps, at(i) + 2, until(i) - at(i)), F.concat), "")
+    stretch = lambda i: F.array_join(F.zip_with(F.slice(words, at(i) + 1, until(i) - at(i)), F.slice(gaps, at(i) + 2, until(i) - at(i)), lambda w, g: F.concat(w, g)), "")
     left = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), stretch), ""))
     return df.withColumn(text, F.when(F.size(spans) > 0, left).otherwise(F.col(text)))
 
