@@ -4,11 +4,11 @@ A shard is some millions of words of one language within a task. Prefix doubling
 neighbours in that order that share k words or more form the interval of a k-gram, and its length is the k-gram's count there.
 Counts are summed over shards by phrase.
 
-A phrase of LEAST occurrences has only words, pairs and triples of as many. So four passes over the texts count words, then
-pairs of frequent words and triples of frequent pairs (by hashes, as a filter only), then whole phrases: pairs, and up to WORDS
-words inside stretches of frequent triples. Which words, pairs and triples are frequent goes back to the shards as a bitmap of
-one size for any corpus (2 ** BITS bits); where two share a bit, or where so many are frequent that the bitmap fills up, more
-is counted than needed, and the counts stay exact.
+A phrase of LEAST occurrences has only words and pairs of as many. So four passes over the texts count words, then pairs of
+frequent words, then stretches of three to WORDS words inside frequent pairs (both by hashes, as a filter only), and last the
+frequent phrases as they are spelt. What is frequent goes back to the shards as a bitmap of one size for any corpus (2 ** BITS
+bits); where two share a bit, or where so many are frequent that the bitmap fills up, more is counted than needed, and the
+counts stay exact.
 
 Words are counted within pieces of a text, between punctuation marks and line ends. Null texts have no words, a null language
 is `und`; repeated rows count as often as they stand. Very long texts are read whole and sorted in overlapping parts. An empty
@@ -179,15 +179,12 @@ def frequent_words(shard: Shard, frequent: bytes) -> tuple[np.ndarray, np.ndarra
     return chained(symbols, known[symbols], 1), h
 
 
-def frequent_runs(symbols: np.ndarray, h: np.ndarray, frequent: bytes, k: int) -> np.ndarray:
-    """The stretches of the symbols whose pairs (or triples) are frequent."""
-    n = max(0, len(symbols) - k + 1)
-    whole = np.ones(n, bool)
-    for j in range(k):
-        whole &= symbols[j : j + n] != 0
+def frequent_pairs(symbols: np.ndarray, h: np.ndarray, frequent: bytes) -> np.ndarray:
+    """The stretches of the symbols whose pairs are frequent."""
+    whole = (symbols[:-1] != 0) & (symbols[1:] != 0)
     at = np.flatnonzero(whole)
-    whole[at] = marked(frequent, spelt_hash(symbols, h, at, k))
-    return chained(symbols, whole, k)
+    whole[at] = marked(frequent, spelt_hash(symbols, h, at, 2))
+    return chained(symbols, whole, 2)
 
 
 def spelt_hash(symbols: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -220,25 +217,22 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", words
 
     pairs = often(of_pairs)
 
-    def of_triples(shard):
+    def of_longer(shard):
         symbols, h = frequent_words(shard, frequent.value)
-        symbols = frequent_runs(symbols, h, pairs.value, 2)
-        for k, at, n in intervals(symbols, 3, 3):
+        symbols = frequent_pairs(symbols, h, pairs.value)
+        for k, at, n in intervals(symbols, 3, words):
             yield [spelt_hash(symbols, h, at, k).view(np.int64), n]
 
-    triples = often(of_triples) if words > 2 else None
+    longer = often(of_longer)
 
     def of_phrases(shard):
         symbols, h = frequent_words(shard, frequent.value)
-        symbols = frequent_runs(symbols, h, pairs.value, 2)
+        symbols = frequent_pairs(symbols, h, pairs.value)
         spelt = shard.words()
-        longer = frequent_runs(symbols, h, triples.value, 3) if triples else symbols[:0]
-        for line, shortest, longest in ((symbols, 2, 2), (longer, 3, words)):
-            for k, at, n in intervals(line, shortest, longest):
-                for i in range(0, len(at), 1 << 16):
-                    some = at[i : i + (1 << 16)]
-                    rows = np.stack([line[some + j] for j in range(k)], 1).tolist()
-                    yield [shard.lang, [" ".join([spelt[w] for w in r]) for r in rows], np.full(len(rows), k), n[i : i + (1 << 16)]]
+        for k, at, n in intervals(symbols, 2, words):
+            some = np.flatnonzero(marked(longer.value, spelt_hash(symbols, h, at, k))) if k > 2 else np.arange(len(at))
+            rows = np.stack([symbols[at[some] + j] for j in range(k)], 1).tolist()
+            yield [shard.lang, [" ".join([spelt[w] for w in r]) for r in rows], np.full(len(rows), k), n[some]]
 
     phrases = over_shards(docs, lang, text, of_phrases, "lang string, phrase string, k int, n long").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f"))
     single = every.select("lang", "phrase", F.lit(1).alias("k"), "f")
