@@ -33,11 +33,13 @@ def contained(callers: DataFrame, rules: DataFrame, now: Column) -> DataFrame:
 
 
 def allowed_entries(actions: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
-    """Actions with entry_id of the first allow entry that covers them: (entry_id, actor or null, tool, expires_at, revoked)."""
+    """Actions, each row as often as it stands, with entry_id of the first allow entry that covers them: (entry_id, actor or
+    null, tool, expires_at, revoked). Entries are a row per tool, and per tool and actor, before they are joined by these."""
     live = entries.where(~F.coalesce("revoked", F.lit(False)) & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
-    e = live.select("entry_id", F.col("actor").alias("e_actor"), F.col("tool").alias("e_tool"))
-    hit = actions.join(F.broadcast(e), (F.col("tool") == F.col("e_tool")) & (F.col("e_actor").isNull() | (F.col("actor") == F.col("e_actor"))), "left")
-    return hit.groupBy(*actions.columns).agg(F.min("entry_id").alias("entry_id"))
+    anyone = live.where("actor is null").groupBy("tool").agg(F.min("entry_id").alias("__any"))
+    own = live.where("actor is not null").groupBy("tool", "actor").agg(F.min("entry_id").alias("__own"))
+    hit = actions.join(anyone, "tool", "left").join(own, ["tool", "actor"], "left")
+    return hit.select(*actions.columns, F.least("__any", "__own").alias("entry_id"))
 
 
 def command_parts(command: Column) -> Column:

@@ -9,7 +9,8 @@ from quillguard.functions import scoring as S
 from quillguard.functions.text import decoded_views, keep_lines, reshaped_views
 from quillguard.operators import detectors as D
 
-HEAD = r"github\.event\.pull_request\.head\.(?:sha|ref)|github\.head_ref"
+#: Names that the CI vendor's documentation gives to what a fork's author controls.
+HEAD = r"\bgithub\.(?:head_ref|event\.(?:pull_request\.head\.(?:ref|sha|label|repo\.(?:full_name|clone_url))|workflow_run\.head_(?:branch|sha|commit\.id)))\b"
 UNPINNED = r"uses:\s*[\w.-]+/[\w./-]+@(?![0-9a-f]{40}\b)\S+"
 MOVING = r"uses:\s*[\w.-]+/[\w./-]+@(?:main|master|latest|HEAD)\b"
 AI_STEPS = ("openai", "gemini", "copilot", "aider")
@@ -64,12 +65,13 @@ def detect_decoded(df: DataFrame, text: str) -> DataFrame:
     upper case). Each check counts once, as it was found first; hidden characters are looked for before the folding.
 
     Only texts with an encoded run, an escape or a percent sign go through the decoder, and only those that aren't ASCII
-    through folding.
+    through folding. Where the decoder's budget ended before the text did, a marker of no weight (decoding_unfinished) says so.
     """
     raw = F.col(text)
     staged = df.withColumn("__fold", keep_lines(raw))
     coded = F.col("__fold").rlike(r"[A-Za-z0-9+/_-]{16,}|(?:[0-9a-fA-F]{2}){8,}|\\[ux]|&#|%[0-9a-fA-F]{2}")
-    staged = staged.withColumn("__decoded", F.nullif(F.when(coded, decoded_views(F.when(coded, F.col("__fold")))["text"]), F.lit("")))
+    staged = staged.withColumn("__read", F.when(coded, decoded_views(F.when(coded, F.col("__fold")))))
+    staged = staged.withColumns({"__decoded": F.nullif(F.col("__read.text"), F.lit("")), "__unread": F.coalesce(F.col("__read.exhausted"), F.lit(False))})
     found = D.detect(staged.withColumn("__all", F.concat_ws("\n", "__fold", "__decoded")), "__all", F.col("__decoded").isNotNull())
     hidden = S.signals((raw.rlike(D.INVISIBLE), S.signal("prompt_injection", 0.6, 0.7, "invisible_characters", detector="prompt_threats")))
     # the views are a column of their own: inside the patterns' expressions they would be made anew for each
@@ -79,13 +81,13 @@ def detect_decoded(df: DataFrame, text: str) -> DataFrame:
     shaped = S.signals((F.size("__labels") > 0, S.signal("secret_leak", 0.9, 0.85, "secret", detector="shadow_ai", evidence=F.array_join(F.slice("__labels", 1, 4), ", "))))
     kept = F.when(F.size("__labels") > 0, F.filter("signals", lambda s: s["check"] != "high_entropy")).otherwise(F.col("signals"))
     other = F.filter(hidden, lambda s: ~F.exists("signals", lambda p: p["check"] == s["check"]))
-    return found.withColumn("signals", F.concat(kept, other, F.coalesce(shaped, F.expr(f"cast(array() as array<{S.SIGNAL}>)")))).drop("__all", "__fold", "__decoded", "__views", "__labels")
+    unread = S.signals((F.col("__unread"), S.signal("detector_error", 0.0, 0.0, "decoding_unfinished", detector="decode")))
+    return found.withColumn("signals", F.concat(kept, other, F.coalesce(shaped, F.expr(f"cast(array() as array<{S.SIGNAL}>)")), unread)).drop("__all", "__fold", "__read", "__decoded", "__unread", "__views", "__labels")
 
 
 def secret_reach(label: Column, rules: list[tuple[str, str, str]]) -> Column:
     """struct<kind, severity> of a secret's label by the first prefix (prefix, kind, severity) that fits; unknown is high."""
-    out = F
-    for prefix, kind, severity in rules:
-        out = out.when(label.startswith(prefix), F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity")))
-    unknown = F.struct(F.lit("unknown").alias("kind"), F.lit("high").alias("severity"))
-    return out.otherwise(unknown) if rules else unknown
+    out = F.struct(F.lit("unknown").alias("kind"), F.lit("high").alias("severity"))
+    for prefix, kind, severity in reversed(rules):
+        out = F.when(label.startswith(prefix), F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))).otherwise(out)
+    return out

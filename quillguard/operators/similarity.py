@@ -22,12 +22,14 @@ def shingles(text: Column, words: int = 5) -> Column:
 def best_origin(prompts: DataFrame, docs: DataFrame, prompt_id: str, doc_id: str, least: int = 4, above: float = 0.5) -> DataFrame:
     """prompt_id, doc_id, containment: the document that holds most of a prompt's shingles, if more than `above` of them.
 
-    Only documents that share a hash with some prompt survive the first semi-join, so a passage that no prompt holds
-    costs nothing; matches are counted per pair before they are ranked.
+    Hashes of documents that no prompt holds go in a semi-join, before anything meets; matches are counted per pair before they
+    are ranked. A hash that many prompts and many documents hold meets as often as both have it: what is asked is a count for
+    each such pair.
     """
     p = prompts.select(prompt_id, F.explode(shingles(F.col("text"))).alias("h"))
     sizes = p.groupBy(prompt_id).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     d = docs.select(doc_id, F.explode(shingles(F.col("text"))).alias("h"))
+    d = d.join(p.select("h").distinct(), "h", "left_semi")
     hits = p.join(d, "h").groupBy(prompt_id, doc_id).agg(F.count("*").alias("c")).join(sizes, prompt_id).where(F.col("c") > above * F.col("n"))
     best = hits.groupBy(prompt_id).agg(F.max(F.struct(F.col("c"), (-F.col(doc_id)).alias("older"), "n")).alias("b"))
     return best.select(prompt_id, (-F.col("b.older")).alias(doc_id), F.round(F.col("b.c") / F.col("b.n"), 2).alias("containment"))

@@ -184,10 +184,11 @@ def archive(spark, sf) -> DataFrame:
 
 @query("late_gaps", """, o AS (SELECT actor, ts, lag(ts) OVER (PARTITION BY actor ORDER BY ts, id) AS prev FROM f) SELECT actor, count(*) AS gaps, max(date_diff('second', prev, ts)) AS longest FROM o WHERE date_diff('second', prev, ts) > 86400 GROUP BY 1""", True)
 def gaps(spark, sf) -> DataFrame:
-    """Gaps of more than a day in what was landed for an actor, to be backfilled."""
-    w = Window.partitionBy("actor").orderBy("ts", "id")
+    """Gaps of more than a day in what was landed for an actor, to be backfilled. They lie between days, so a day's first and last
+    moments are all that is ordered of an actor."""
     at = F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp")))
-    o = findings(spark, sf).select("actor", (at - F.lag(at).over(w)).alias("gap"))
+    days = findings(spark, sf).groupBy("actor", F.to_date("ts").alias("day")).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    o = days.select("actor", (F.col("first") - F.lag("last").over(Window.partitionBy("actor").orderBy("day"))).alias("gap"))
     return o.where("gap > 86400").groupBy("actor").agg(F.count("*").alias("gaps"), F.max("gap").alias("longest"))
 
 

@@ -84,17 +84,24 @@ def chains(findings: DataFrame, seconds: int = 1800, anchor: int = 60, most: int
     return rows.groupBy("actor").applyInPandasWithState(step, "actor string, stages string, ts timestamp", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-#: What a chunk's end may hold of a token that the next chunk finishes; a whole token has eight digits after its kind.
-BEGUN = re.compile(r"Q(?:G(?:_(?:[A-Z]{1,12}(?:_[0-9a-f]{0,7})?)?)?)?$")
+#: What a chunk's end may hold of a token that the next chunk finishes; a whole token has sixteen digits after its kind, or eight.
+BEGUN = re.compile(r"Q(?:G(?:_(?:[A-Z]{1,12}(?:_[0-9a-f]{0,15})?)?)?)?$")
 
 
-def detokenized(chunks: DataFrame) -> DataFrame:
+def detokenized(chunks: DataFrame, idle_minutes: int = 30) -> DataFrame:
     """reply, seq, text: replies that arrive in chunks, tokens turned back into values. Input: reply, seq, chunk, last and
-    tokens (a map, with each chunk or null). Only what may be a token's beginning is held back, until the next chunk or the last.
+    tokens (a map, with each chunk or null). Only what may be a token's beginning is held back, until the next chunk or the last;
+    a reply that gets no chunk for idle_minutes ends with what is held, under its last number.
     """
+    from quillguard.functions.keyed import TOKEN
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        carry, known = json.loads(state.get[0]) if state.exists else ["", {}]
+        carry, known, at = json.loads(state.get[0]) if state.exists else ["", {}, 0]
+        if state.hasTimedOut:
+            state.remove()
+            if carry:
+                yield pd.DataFrame([(key[0], at, known.get(carry, carry))], columns=["reply", "seq", "text"])
+            return
         rows, out = pd.concat(list(batches)).sort_values("seq"), []
         for seq, chunk, last, tokens in zip(rows["seq"], rows["chunk"], rows["last"], rows["tokens"]):
             known.update(dict(tokens) if tokens is not None else {})
@@ -102,14 +109,15 @@ def detokenized(chunks: DataFrame) -> DataFrame:
             begun = None if last else BEGUN.search(text)
             carry = text[begun.start():] if begun else ""
             text = text[: begun.start()] if begun else text
-            out.append((key[0], seq, re.sub(r"QG_[A-Z]{1,12}_[0-9a-f]{8}", lambda m: known.get(m[0], m[0]), text)))
+            out.append((key[0], seq, re.sub(TOKEN, lambda m: known.get(m[0], m[0]), text)))
         if rows["last"].any():
             state.remove()
         else:
-            state.update((json.dumps([carry, known]),))
+            state.update((json.dumps([carry, known, int(rows["seq"].iloc[-1])]),))
+            state.setTimeoutDuration(idle_minutes * 60_000)
         yield pd.DataFrame(out, columns=["reply", "seq", "text"])
 
-    return chunks.groupBy("reply").applyInPandasWithState(step, "reply string, seq int, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("reply").applyInPandasWithState(step, "reply string, seq int, text string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def batch_sink(key: list[str], target: str):
