@@ -191,29 +191,82 @@ def credential_column(name: Column) -> Column:
     return name.rlike(r"(?i)passw|secret|token|api_?key|private_?key|credential|auth") & ~name.rlike(r"(?i)_(?:id|at|type|count|expir|hash|hint|name)$|^is_|^has_")
 
 
+def runs_of_kinds(text: str) -> list[tuple[str, str]]:
+    """(kind, stretch) of an example: runs of digits, small or capital letters; any other character by itself."""
+    kind = lambda c: "[0-9]" if c in "0123456789" else "[a-z]" if "a" <= c <= "z" else "[A-Z]" if "A" <= c <= "Z" else re.escape(c)
+    out: list[list[str]] = []
+    for c in text:
+        if out and out[-1][0] == kind(c) and kind(c).startswith("["):
+            out[-1][1] += c
+        else:
+            out.append([kind(c), c])
+    return [(k, t) for k, t in out]
+
+
+def aligned(profile: list[list], shape: list[tuple[str, str]], seen: int) -> list[list]:
+    """A profile of examples, a column [kinds and their stretches, how many examples have it] a run, with one more example: runs of
+    one kind meet, best where the stretch is the same; runs of different kinds may share a column; all others stand alone."""
+    n, m = len(profile), len(shape)
+    separator = lambda k: not k.startswith("[")
+
+    def gain(column, run):
+        kinds = column[0]
+        if run[0] in kinds:
+            return 3 + (run[1] in kinds[run[0]]) + separator(run[0])
+        return -9 if separator(run[0]) or any(map(separator, kinds)) else -1
+
+    best = [[(0, "")] * (m + 1) for _ in range(n + 1)]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            ways = [(best[i - 1][j - 1][0] + gain(profile[i - 1], shape[j - 1]), "both")] if i and j else []
+            ways += [(best[i - 1][j][0] - 1, "old")] if i else []
+            ways += [(best[i][j - 1][0] - 1, "new")] if j else []
+            best[i][j] = max(ways, key=lambda w: w[0], default=(0, ""))
+    out, i, j = [], n, m
+    while i or j:
+        way = best[i][j][1]
+        i, j = i - (way != "new"), j - (way != "old")
+        kinds, count = ({k: set(v) for k, v in profile[i][0].items()}, profile[i][1]) if way != "new" else ({}, 0)
+        if way != "old":
+            kinds.setdefault(shape[j][0], set()).add(shape[j][1])
+            count += 1
+        out.append([kinds, count])
+    return out[::-1]
+
+
 def inferred_pattern(examples: list[str], against: list[str] = ()) -> str | None:
     """A pattern that all examples of a format match and no counter-example does: equal stretches literally, the others as
-    classes with their lengths. A handful of strings an analyst gives; null if they have no shape in common."""
-    kind = lambda c: "[0-9]" if c.isdigit() else "[a-z]" if c.islower() else "[A-Z]" if c.isupper() else re.escape(c)
-
-    def runs(s: str) -> list[tuple[str, str]]:
-        out: list[list] = []
-        for c in s:
-            if out and out[-1][0] == kind(c) and kind(c).startswith("["):
-                out[-1][1] += c
-            else:
-                out.append([kind(c), c])
-        return [tuple(r) for r in out]
-
-    shapes = [runs(e) for e in examples if e]
-    if not shapes or len({tuple(k for k, _ in s) for s in shapes}) != 1:
+    classes with their lengths; runs that only some examples have are optional, and where examples differ in kind, the kinds
+    are alternatives. The shortest pattern that rejects the counter-examples, lengths as a range first, then one by one. A
+    handful of strings an analyst gives; null if half of the runs or more aren't common to all."""
+    shapes = sorted((runs_of_kinds(e) for e in dict.fromkeys(examples) if e), key=len, reverse=True)
+    if not shapes:
         return None
-    parts = []
-    for column in zip(*shapes):
-        texts, sizes = {t for _, t in column}, {len(t) for _, t in column}
-        parts.append(re.escape(column[0][1]) if len(texts) == 1 else column[0][0] + (f"{{{min(sizes)}}}" if len(sizes) == 1 else f"{{{min(sizes)},{max(sizes)}}}"))
-    pattern = "^" + "".join(parts) + "$"
-    return None if any(re.match(pattern, x) for x in against) else pattern
+    profile: list[list] = [[{k: {t}}, 1] for k, t in shapes[0]]
+    for seen, shape in enumerate(shapes[1:], 1):
+        profile = aligned(profile, shape, seen)
+    common = sum(count == len(shapes) and len(kinds) == 1 for kinds, count in profile)
+    if 2 * common <= len(profile):
+        return None
+
+    def one(kind: str, texts: set[str], exact: bool, agreed: bool) -> str:
+        sizes = sorted({len(t) for t in texts})
+        if not kind.startswith("[") or (agreed and len(texts) == 1):
+            return re.escape(next(iter(texts)))
+        if exact and len(sizes) > 1:
+            return "(?:" + "|".join(f"{kind}{{{n}}}" for n in sizes) + ")"
+        return kind + (f"{{{sizes[0]}}}" if len(sizes) == 1 else f"{{{sizes[0]},{sizes[-1]}}}")
+
+    def whole(exact: bool) -> str:
+        out = ""
+        for kinds, count in profile:
+            parts = [one(k, t, exact, len(kinds) == 1 and count > 1) for k, t in sorted(kinds.items())]
+            part = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+            out += part if count == len(shapes) else f"(?:{part})?"
+        return f"^{out}$"
+
+    fits = [p for p in sorted({whole(False), whole(True)}, key=len) if all(re.match(p, e) for e in examples if e) and not any(re.match(p, x) for x in against)]
+    return fits[0] if fits else None
 
 
 def windows(text: Column, size: int = 240, step: int = 120) -> Column:

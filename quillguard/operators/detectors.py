@@ -152,12 +152,16 @@ def found_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def random_keys(text: Column) -> Column:
+def random_keys(text: Column, words: bytes | None = None) -> Column:
     """Long random tokens of no known format: no plain hex, no base64 of a text (which is read decoded instead), no media,
-    no made-up filler, no runs of words, no ids of eight-four-four form."""
+    no made-up filler, no runs of words, no ids of eight-four-four form. words: a sketch of the corpus's words (functions.words),
+    by which identifiers, run-together words, names and encoded prose go too."""
+    from quillguard.functions.words import speaks
+
     decoded = lambda t: F.try_to_binary(F.concat(t, F.repeat(F.lit("="), F.pmod(-F.length(t), F.lit(4)))), F.lit("base64")).cast("string")
     odd = lambda t: ~t.rlike("^[0-9a-fA-F]+$") & ~synthetic(t) & ~wordlike(t) & ~F.coalesce(decoded(t).rlike(r"^[\x20-\x7E\s]+$"), F.lit(False))
-    return F.filter(entropy_tokens(without_media(text)), odd)
+    found = F.filter(entropy_tokens(without_media(text)), odd)
+    return F.filter(found, lambda t: ~speaks(t, words)) if words else found
 
 
 def near(text: Column, word: str, pattern: str, within: int) -> Column:
@@ -172,13 +176,17 @@ def keyed_numbers(text: Column, within: int = 120) -> Column:
     return F.coalesce(F.filter(some, lambda c: c.isNotNull()), F.expr("cast(array() as array<string>)"))
 
 
-def detect(df: DataFrame, text: str, distinct: Column | None = None) -> DataFrame:
+def detect(df: DataFrame, text: str, distinct: Column | None = None, words: bytes | None = None, business: list[str] | None = None) -> DataFrame:
     """Adds signals: instruction override, jailbreak, exfiltration, secrets, personal and health data, markers, code, commands.
 
     Null text has none. All expressions are built in, so a scan, its detectors and the scoring are one stage. The text is
     read as it stands; pipelines.detect_decoded also reads what is folded, encoded or split. distinct: whether equal numbers,
-    addresses and lines count once, for texts that hold several views of one.
+    addresses and lines count once, for texts that hold several views of one. words: see random_keys. business: the common words
+    of code (scans.domain_identifiers); where they are given, two lines of code whose identifiers speak of a business are
+    source code too.
     """
+    from quillguard.operators.scans import domain_identifiers
+
     t = F.coalesce(F.col(text), F.lit(""))
     matches = lambda c, pattern: found_all(c, pattern) if distinct is None else F.when(distinct, F.array_distinct(found_all(c, pattern))).otherwise(found_all(c, pattern))
     flat, leet = F.col("__flat"), F.col("__leet")
@@ -190,8 +198,10 @@ def detect(df: DataFrame, text: str, distinct: Column | None = None) -> DataFram
         "__mails": F.when(F.contains(t, F.lit("@")), F.size(F.filter(matches(t, EMAIL), lambda m: F.lower(F.substring_index(m, "@", -1)).isin(*PERSONAL) & ~m.rlike(ROLE_PARTS) & ~m.rlike(RESERVED)))).otherwise(0),
         "__health": F.size(F.filter(matches(t, r"(?<![0-9])[12][0-9]{9}(?![0-9])"), C.npi_ok)) + F.size(F.filter(matches(t, r"\b[A-Za-z][A-Za-z9][0-9]{7}\b"), C.dea_ok)),
         "__patient": F.when(t.rlike(HEALTH_WORDS), F.when(t.rlike(MBI), 1).otherwise(0) + F.when(t.rlike(RECORD_NUMBER), 1).otherwise(0) + F.when(t.rlike(DIAGNOSIS), 1).otherwise(0)).otherwise(0),
-        "__code": F.size(matches(t, CODE)), "__schema": F.when(t.rlike(SCHEMA), 2).otherwise(0) + F.when(t.rlike(INTERNAL), 2).otherwise(0), "__keys": random_keys(t), "__keyed": keyed_numbers(t),
+        "__code": F.size(matches(t, CODE)), "__schema": F.when(t.rlike(SCHEMA), 2).otherwise(0) + F.when(t.rlike(INTERNAL), 2).otherwise(0), "__keys": random_keys(t, words), "__keyed": keyed_numbers(t),
     })
+    if business is not None:
+        staged = staged.withColumn("__schema", F.col("__schema") + F.when((F.col("__code") >= 2) & (F.size(domain_identifiers(t, business)) >= 2), 2).otherwise(0))
     up = lambda base, n: F.least(F.lit(1.0), F.lit(base) + 0.15 * F.col(n))
     blob = t.rlike(r"[A-Za-z0-9+/]{60,}={0,2}") & ~t.rlike(MEDIA) & ~t.rlike(r"[0-9a-fA-F]{60,}")
     found = S.signals(

@@ -72,3 +72,44 @@ def backfill_spans(spark, sf) -> DataFrame:
     # each row lies in one span: the latest that begins before it
     counted = rows.join(plan.select("tool", F.col("start").alias("s"), F.col("end").alias("e")), "tool").where("at >= s and at < e").groupBy("tool", F.col("s").alias("start")).agg(F.count("*").alias("rows"))
     return plan.join(counted, ["tool", "start"], "left").select("tool", "start", "end", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+LABELLED_SQL = "l AS (SELECT doc_id, quality, toxic, source, CASE WHEN doc_id % 10 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(CAST((doc_id * 7919) % 40000 AS BIGINT)) END AS ts FROM labels JOIN documents USING (doc_id))"
+
+
+@query("exact_splits", f"""WITH {LABELLED_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY quality, source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= floor(count(*) OVER (PARTITION BY quality, source) * 0.2) AS stratified FROM l),
+t AS (SELECT doc_id, row_number() OVER (ORDER BY ts DESC, doc_id DESC) <= greatest(1, floor(count(*) OVER () * 0.2)) AS latest FROM l WHERE ts IS NOT NULL)
+SELECT doc_id, stratified, coalesce(latest, false) AS latest FROM s LEFT JOIN t USING (doc_id)""")
+def splits(spark, sf) -> DataFrame:
+    """Labelled documents held out: a fifth of each label and source, exactly, by hash; and the latest fifth of those that have
+    a time."""
+    from quillguard.operators import gates
+
+    minutes = F.make_interval(mins=((F.col("doc_id") * 7919) % 40000).cast("int"))
+    rows = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "source"), "doc_id").select("doc_id", "quality", "source", F.when(F.col("doc_id") % 10 != 0, F.lit("2024-01-01").cast("timestamp") + minutes).alias("ts"))
+    both = gates.stratified(rows, ["quality", "source"], "doc_id").withColumnRenamed("held", "stratified")
+    return gates.latest(both, "ts", "doc_id").select("doc_id", "stratified", F.col("held").alias("latest"))
+
+
+@query("confidential_fallback")
+def confidential_fallback(spark, sf) -> DataFrame:
+    """Documents by checks of confidential prose: markers, and where none spoke a classifier, if it passed its gate on the latest
+    fifth of the labelled documents. The label is that of toxic documents; the rule it competes with are the markers."""
+    from quillguard.functions import scoring as S
+    from quillguard.operators import detectors as D
+    from quillguard.operators import gates, ml
+    from quillguard.plans.base import spread
+
+    texts = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    marked = S.signals((F.col("text").rlike(D.MARKERS), S.signal("confidential_data", 0.6, 0.65, "marker", detector="shadow_ai")))
+    found = texts.select("doc_id", marked.alias("signals"), ml.terms(F.col("text")).alias("terms"))
+    minutes = F.make_interval(mins=((F.col("doc_id") * 7919) % 40000).cast("int"))
+    labels = read(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("label"), (F.lit("2024-01-01").cast("timestamp") + minutes).alias("ts"))
+    held = gates.latest(labels, "ts", "doc_id")
+    rows = texts.join(held, "doc_id").select("label", "held", F.col("text").rlike(D.MARKERS).alias("rule"), ml.terms(F.col("text")).alias("terms"))
+    model = ml.train(rows.where("not held"))
+    seen = ml.probability(model, rows.where("held"))
+    gate = gates.judged(seen, F.col("label") == 1, F.col("p") >= gates.FROM, F.col("rule"), F.lit(False)).first()
+    told = gates.admitted(gate["verdict"], ml.probability(model, found))
+    checks = F.filter(F.transform("signals", lambda s: s["check"]), lambda c: c.isin("marker", "confidential_ml"))
+    return told.select(F.lit(gate["verdict"]).alias("gate"), F.explode_outer(checks).alias("check")).groupBy("gate", "check").agg(F.count("*").alias("documents"))
