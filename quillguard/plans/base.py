@@ -31,6 +31,8 @@ def query(name: str, sql: str | None = None, findings: bool = False) -> Callable
     """Registers a query; findings: the SQL reads the view f."""
 
     def add(fn):
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
         QUERIES[name] = fn
         if sql:
             ORACLES[name] = (FINDINGS_SQL if findings else "") + sql
