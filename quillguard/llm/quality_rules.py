@@ -162,9 +162,11 @@ def labelled_lines(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, l
     together (one at least). A long document is several chains of CHAIN lines, so that none pads the others."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality is not null").orderBy(*order).limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").orderBy(*order).limit(most)
-    upto = F.sum(F.size(F.split("text", "\n"))).over(Window.orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, -1))  # over at most `most` rows
-    texts = texts.withColumn("before", F.coalesce(upto, F.lit(0))).where(f"before < {lines}")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where("text is not null")
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "h").agg(F.max(F.size(F.split("text", "\n"))).alias("n")).orderBy(*order, "h").limit(most)
+    upto = F.sum("n").over(Window.orderBy(*order, "h").rowsBetween(Window.unboundedPreceding, -1))  # over at most `most` rows of numbers
+    kept = sizes.withColumn("before", F.coalesce(upto, F.lit(0))).where(f"before < {lines}").select("doc_id", "h", "quality")
+    texts = texts.join(F.broadcast(kept), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])  # equal rows teach once
 
     def make():
         return lambda texts: [[TextLines(t).features.ravel() for t in texts]]
