@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillguard.functions import scoring as S
 from quillguard.operators import detectors as D
+from quillguard.operators import scans as X
 from quillguard.plans.base import query, read, spread
 from quillguard.plans.detection import GROUP_SQL, LUHN_SQL, SHAPE_SQL
 
@@ -67,8 +69,8 @@ def any_of(column: str, patterns) -> str:
     return "(" + " OR ".join(f"regexp_matches({column}, {quoted(p)})" for p in patterns) + ")"
 
 
-def checks_sql(source: str) -> str:
-    """name, checks of rows (name, t): each check of LISTED worked out over t."""
+def checked_sql() -> dict[str, str]:
+    """For each check of LISTED the SQL that works it out over t, flat and leet."""
     phrase = lambda patterns: f"({any_of('flat', patterns)} OR coalesce({any_of('leet', patterns)}, false))"
     real = lambda p: f"len(list_filter(regexp_extract_all(t, {quoted(p)}), lambda m: NOT regexp_matches(m, {quoted(D.PLACEHOLDER)}))) > 0"
     edged = lambda p, edge: f"regexp_extract_all(t, {quoted(f'(?:^|[^{edge}])({p})(?:[^{edge}]|$)')}, 1)"
@@ -89,15 +91,51 @@ def checks_sql(source: str) -> str:
     phones = f"len(list_filter({edged('(?:[+]1[ .-]?)?[(]?[2-9][0-9]{2}[)]?[ .-][0-9]{3}[ .-][0-9]{4}', '0-9')}, lambda m: substr({digits('m')}, length({digits('m')}) - 6, 3) <> '555')) >= 3"
     ssns = some(edged("[0-9]{3}-[0-9]{2}-[0-9]{4}", "0-9-"), ssn(digits("m")))
     path = D.SENSITIVE_PATH.removesuffix(r"(?!\.pub)")
-    found = {
+    return {
         "instruction_override": phrase(D.OVERRIDE), "jailbreak": phrase(D.JAILBREAK), "data_exfiltration": phrase(D.EXFILTRATION), "invisible_characters": f"regexp_matches(t, {quoted(D.INVISIBLE)})", "secret": "(" + " OR ".join(real(p) for _, p in D.SECRETS + D.MORE_SECRETS) + ")",
         "iban": f"regexp_matches(t, {quoted(D.IBAN)})", "nino": f"regexp_matches(t, {quoted(D.NINO)})", "identity_number": f"({cards} OR {ssns})", "keyed_number": f"({keyed})", "phones": phones, "bulk_email": mails, "health_identifier": health, "marker": f"regexp_matches(t, {quoted(D.MARKERS)})",
         "source_code": f"({n(D.CODE, 3)} OR regexp_matches(t, {quoted(D.SCHEMA)}) OR regexp_matches(t, {quoted(D.INTERNAL)}))", "dangerous_command": f"regexp_matches(t, {quoted(D.DANGEROUS)})", "sensitive_path": f"regexp_matches(t, {quoted(path)})", "autonomy_flag": f"regexp_matches(t, {quoted(D.AUTONOMY)})",
     }
-    listed = ", ".join(f"CASE WHEN {found[c]} THEN '{c}' END" for c in LISTED)
+
+
+def flattened_sql(source: str) -> str:
+    """CTEs that end with l: rows of source (t among their columns) with flat and leet."""
     flat = f"regexp_replace(regexp_replace(lower(t), '\\s+', ' ', 'g'), {quoted(D.MENTION)}, ' ', 'g')"
-    return f"""WITH s AS ({source}), f AS (SELECT name, t, {flat} AS flat FROM s), l AS (SELECT *, CASE WHEN regexp_matches(flat, '[a-z][013457@$][a-z]') THEN translate(flat, '013457@$', 'oieastas') END AS leet FROM f)
-SELECT name, array_to_string(list_sort(list_filter([{listed}], lambda c: c IS NOT NULL)), ',') AS checks FROM l"""
+    return f"""WITH s AS ({source}), f AS (SELECT *, {flat} AS flat FROM s), l AS (SELECT *, CASE WHEN regexp_matches(flat, '[a-z][013457@$][a-z]') THEN translate(flat, '013457@$', 'oieastas') END AS leet FROM f)"""
+
+
+def checks_sql(source: str) -> str:
+    """name, checks of rows (name, t)."""
+    found = checked_sql()
+    return f"""{flattened_sql(source)}
+SELECT name, array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN {found[c]} THEN '{c}' END" for c in LISTED)}], lambda c: c IS NOT NULL)), ',') AS checks FROM l"""
+
+
+#: Weight and confidence of each check, in the order in which signals are made; {n}: how many patterns or lines.
+WEIGHED = (
+    ("instruction_override", "0.8", "least(1.0, 0.62 + 0.15 * n_o)"), ("jailbreak", "0.75", "least(1.0, 0.5 + 0.15 * n_j)"), ("data_exfiltration", "0.8", "least(1.0, 0.6 + 0.15 * n_x)"), ("invisible_characters", "0.6", "0.7"), ("secret", "0.9", "0.85"), ("iban", "0.6", "0.75"), ("nino", "0.6", "0.75"), ("identity_number", "0.8", "0.75"), ("keyed_number", "0.55", "0.75"),
+    ("phones", "0.5", "0.75"), ("bulk_email", "0.55", "0.6"), ("health_identifier", "0.8", "0.75"), ("marker", "0.6", "0.65"), ("source_code", "0.55", "least(1.0, 0.55 + 0.1 * n_c)"), ("dangerous_command", "0.95", "0.9"), ("sensitive_path", "0.9", "0.9"), ("autonomy_flag", "0.7", "0.8"),
+)
+ATTACKS = ("instruction_override", "jailbreak", "data_exfiltration", "invisible_characters", "dangerous_command")
+
+
+def verdicts_sql(source: str, only: tuple[str, ...] = LISTED) -> str:
+    """CTEs that end with v: rows of source (t among their columns) with risk_score, severity, recommended_action, attack_intent,
+    n_signals and first (the strongest check), by some of the checks."""
+    found = {c: q if c in only else "false" for c, q in checked_sql().items()}
+    count = lambda patterns: " + ".join(f"CAST(regexp_matches(flat, {quoted(p)}) OR coalesce(regexp_matches(leet, {quoted(p)}), false) AS INT)" for p in patterns)
+    lines = f"len(regexp_extract_all(t, {quoted(D.CODE)})) + 2 * CAST(regexp_matches(t, {quoted(D.SCHEMA)}) AS INT) + 2 * CAST(regexp_matches(t, {quoted(D.INTERNAL)}) AS INT)"
+    double = lambda x: f"CAST({x} AS DOUBLE)"
+    each = ", ".join(f"CASE WHEN {found[c]} THEN {double(w)} * CAST({k} AS DOUBLE) ELSE 0.0::DOUBLE END AS c{i}" for i, (c, w, k) in enumerate(WEIGHED)).replace("0.15 *", "0.15::DOUBLE *").replace("0.1 *", "0.1::DOUBLE *").replace("0.62 +", "0.62::DOUBLE +").replace("0.5 +", "0.5::DOUBLE +").replace("0.6 +", "0.6::DOUBLE +").replace("0.55 +", "0.55::DOUBLE +")
+    risk = "(1.0::DOUBLE - " + " * ".join(f"(1 - c{i})" for i in range(len(WEIGHED))) + ")"
+    attack = "(1.0::DOUBLE - " + " * ".join(f"(1 - c{i})" for i, (c, _, _) in enumerate(WEIGHED) if c in ATTACKS) + ")"
+    most = f"greatest({', '.join(f'c{i}' for i in range(len(WEIGHED)))})"
+    first = " ".join(f"WHEN c{i} = {most} THEN '{c}'" for i, (c, _, _) in enumerate(WEIGHED))
+    score = f"CAST(round_even(CAST(least(1.0, {risk}) * 100 AS DOUBLE), 0) AS INTEGER)"
+    band = lambda r, names: f"CASE WHEN {r} >= 80 THEN '{names[0]}' WHEN {r} >= 60 THEN '{names[1]}' WHEN {r} >= 35 THEN '{names[2]}' WHEN {r} >= 15 THEN '{names[3]}' ELSE '{names[4]}' END"
+    return f"""{flattened_sql(source)}, n AS (SELECT *, {count(D.OVERRIDE)} AS n_o, {count(D.JAILBREAK)} AS n_j, {count(D.EXFILTRATION)} AS n_x, {lines} AS n_c FROM l), w AS (SELECT *, {each} FROM n),
+r AS (SELECT *, {score} AS risk_score FROM w), v AS (SELECT *, {band('risk_score', ('critical', 'high', 'suspicious', 'low', 'benign'))} AS severity, {band('risk_score', ('block', 'quarantine', 'quarantine', 'monitor', 'allow'))} AS recommended_action, {attack} >= 0.45 AS attack_intent,
+{' + '.join(f'CAST(c{i} > 0 AS INT)' for i in range(len(WEIGHED)))} AS n_signals, CASE WHEN {most} = 0 THEN 'unknown' {first} END AS first FROM r)"""
 
 
 def listed(df: DataFrame) -> DataFrame:
@@ -118,3 +156,54 @@ def turns(spark, sf) -> DataFrame:
     """What the text detectors find in each turn of a conversation, with what is planted there."""
     name = F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
     return listed(read(spark, sf, "conversations").select(name.alias("name"), F.concat(planted(F.concat(F.lit("c"), name)), F.lit(" "), "text").alias("t")))
+
+
+DOCUMENTS_SQL = f"SELECT 'd' || doc_id AS name, source, text || chr(10) || {planted_sql(quoted('d') + ' || doc_id')} AS t FROM documents"
+LEAKS = ("secret", "iban", "nino", "identity_number", "keyed_number", "phones", "bulk_email", "health_identifier")
+
+
+def planted_documents(spark, sf) -> DataFrame:
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    return spread(read(spark, sf, "documents").select(name.alias("name"), "source", F.concat("text", F.lit("\n"), planted(name)).alias("t")))
+
+
+def found_in(df: DataFrame) -> DataFrame:
+    """df with the signals of listed checks."""
+    return D.detect(df, "t").withColumn("signals", F.filter("signals", lambda s: s["check"].isin(*LISTED)))
+
+
+@query("document_scores", verdicts_sql(DOCUMENTS_SQL) + " SELECT name, risk_score, severity, recommended_action, attack_intent, n_signals, first FROM v")
+def scores(spark, sf) -> DataFrame:
+    """The verdict on each document with what is planted there: saturating score, bands, intent, and the strongest check."""
+    v = S.verdict(found_in(planted_documents(spark, sf)))
+    return v.select("name", "risk_score", "severity", "recommended_action", "attack_intent", F.size("signals").alias("n_signals"), S.primary(F.col("signals")).alias("first"))
+
+
+ANSWER_SQL = "CASE WHEN severity IN ('high', 'critical') THEN 2 WHEN severity = 'suspicious' THEN 1 ELSE 0 END"
+
+
+@query("document_code_scan", verdicts_sql(DOCUMENTS_SQL, LEAKS) + f" SELECT source, ['allow', 'warn', 'block'][max({ANSWER_SQL}) + 1] AS answer, count(*) AS scanned, count(*) FILTER ({ANSWER_SQL} > 0) AS flagged FROM v GROUP BY 1")
+def code_scan(spark, sf) -> DataFrame:
+    """Documents as a repository's files: the worst answer of each source, by data loss alone; code and phrases may stand there."""
+    return X.overall(X.code_scan(planted_documents(spark, sf), "t"), "source")
+
+
+POLICIES = {"all": [], "without_jailbreak": ["jailbreak"], "without_data": [*LEAKS]}
+
+
+@query("policy_replays", " UNION ALL ".join(f"SELECT '{name}' AS policy, source, count(*) AS total, count(*) FILTER ({ANSWER_SQL} > 0) AS caught FROM ({verdicts_sql(DOCUMENTS_SQL, tuple(c for c in LISTED if c not in off))} SELECT * FROM v) GROUP BY 2" for name, off in POLICIES.items()))
+def replays(spark, sf) -> DataFrame:
+    """How many documents of each source warn or block under policies that switch checks off: signals are found once."""
+    found = found_in(planted_documents(spark, sf)).select("source", "signals")
+    each = F.array(*(F.struct(F.lit(name).alias("policy"), S.without_checks(F.col("signals"), off).alias("signals")) for name, off in POLICIES.items()))
+    runs = found.select("source", F.explode(each).alias("p")).select("source", "p.policy", "p.signals")
+    return S.verdict(runs).groupBy("policy", "source").agg(F.count("*").alias("total"), F.count_if(X.answer(F.col("severity")) != "allow").alias("caught"))
+
+
+@query("turn_messages", verdicts_sql(f"SELECT CASE WHEN turn % 7 = 0 THEN 'unknown-agent' ELSE role END AS sender, 'agent' || (conv_id % 5) AS receiver, {planted_sql(quoted('m') + ' || conv_id || ' + quoted('.') + ' || turn')} || ' ' || text AS t FROM conversations") + f" SELECT sender, receiver, 'A2A: ' || sender || ' → ' || receiver AS subject, count(*) AS messages, count(*) FILTER ({ANSWER_SQL} = 2) AS stopped FROM v GROUP BY ALL")
+def messages(spark, sf) -> DataFrame:
+    """Turns as messages between agents: what each edge carries, and how many messages are stopped for what they say."""
+    name = F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
+    m = read(spark, sf, "conversations").select(F.when(F.col("turn") % 7 == 0, " ").otherwise(F.col("role")).alias("from"), F.concat(F.lit("agent"), F.col("conv_id") % 5).alias("to"), F.concat(planted(name), F.lit(" "), "text").alias("t"))
+    v = S.verdict(found_in(X.agent_messages(spread(m), "from", "to"))).withColumn("hop", X.hop(F.col("subject"), F.col("actor")))
+    return v.groupBy(F.col("hop.sender").alias("sender"), F.col("hop.receiver").alias("receiver"), "subject").agg(F.count("*").alias("messages"), F.count_if(X.answer(F.col("severity")) == "block").alias("stopped"))
