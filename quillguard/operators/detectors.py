@@ -64,7 +64,13 @@ EXFILTRATION = (
 PHRASE_STEMS = ("ignor", "disregard", "forget", "overrid", "bypass", "discard", "overlook", "neglect", "instruct", "system", "prompt", "now obey", "from now on", "must now", "mode", "sudo", "im_start", "supersede", "assistant", "developer", "anything now", "jailb", "restrict", "limit", "filter", "censor", "ethic", "moral", "safety", "guardrail", "refus", "declin", "pretend", "character", "send", "upload", "post", "forward", "transmit", "leak", "exfil", "email", "export", "submit", "dump", "copy", "encod", "base64", "append", "embed", "include", "insert", "curl", "wget", "![")
 #: A phrase in quotes behind a word that only mentions it.
 MENTION = r"""(?:phrases?|words?|strings?|terms?|says?|said|called|such as|like|e\.g\.|examples?|titled|keywords?|patterns?|quotes?)(?: [a-z]+)? ?[:,]? ?["'`“‘«][^"'`”’»]{1,200}["'`”’»]"""
-MARKERS = r"(?i)(?:^|\W)(?:strictly confidential|company confidential|internal use only|do not distribute|attorney[- ]client privileged|TLP:(?:RED|AMBER))(?:\W|$)"
+#: A classification that is applied to a text, as orders on it, a banner in capitals, a header, a label or "marked as"; prose that
+#: speaks of confidentiality is none.
+MARKERS = (
+    r"(?i:\b(?:strictly confidential|company confidential|internal (?:use )?only|do not distribute|not for distribution|attorney[- ]client privileged)\b)|\b(?:CONFIDENTIAL|PROPRIETARY|RESTRICTED|TRADE SECRET|ATTORNEY-CLIENT)\b"
+    r"|(?i:\b(?:marked|classified|labell?ed|tagged|stamped)(?: as)? (?:strictly |highly )?(?:confidential|proprietary|restricted|secret|internal)\b)|(?im:^\s*(?:confidential|proprietary|restricted|trade secret)\s*:)|\bTLP[: -]?(?:RED|AMBER|GREEN|CLEAR|WHITE)\b"
+    r"|(?i:\b(?:data )?(?:classification|sensitivity)\s*[:=]\s*(?:highly )?(?:confidential|restricted|secret|internal)\b|\[(?:internal|restricted|secret|(?:highly )?confidential)\]|\b(?:MIP|Purview) label\b)"
+)
 AUTONOMY = r"(?i)--(?:dangerously-skip-permissions|yolo|auto-approve|no-confirm)\b"
 DANGEROUS = r"(?i)\brm\s+-[a-z]*r[a-z]*f?[a-z]*\s+(?:/|~)|\b(?:curl|wget)\b[^|\n]{1,300}\|\s*(?:ba|z|da)?sh\b|\bmkfs\.|\bdd\s+if=[^\n]{1,100}\s+of=/dev/|:\(\)\s*\{\s*:\|:&\s*\};:"
 SENSITIVE_PATH = r"(?i)(?:/|\\|~/)(?:\.ssh/(?:id_[a-z0-9]+|authorized_keys)|\.aws/credentials|\.kube/config|\.netrc|etc/shadow)\b(?!\.pub)"

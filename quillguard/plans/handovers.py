@@ -69,3 +69,23 @@ def extensions(spark, sf) -> DataFrame:
     r = findings(spark, sf).select(F.col("actor").alias("device"), F.date_trunc("day", "ts").alias("at"), F.when(F.col("k") % 3 != 0, F.upper("tool")).alias("item"), F.col("risk").alias("version"))
     out = R.latest_inventory(r, ["device"], "at", "item", ["version"])
     return out.select("device", "item", "version", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")))
+
+
+HOST_SQL = "lower(regexp_extract(url, '://([^/?#:]*)', 1))"
+
+
+@query("destination_findings", f"""WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages), k AS (SELECT DISTINCT regexp_extract(host, '[^.]+[.][^.]+$') AS domain FROM h WHERE page_id % 5 = 0 AND host <> ''),
+m AS (SELECT page_id, host, max(length(domain)) AS n, arg_max(domain, length(domain)) AS domain FROM h LEFT JOIN k ON host = domain OR ends_with(host, '.' || domain) GROUP BY ALL), m2 AS (SELECT page_id, host, arg_max(domain, coalesce(n, 0)) AS domain FROM m GROUP BY ALL)
+SELECT host, CASE WHEN host = '' OR host = 'example.com' OR ends_with(host, '.example.com') THEN 'none' WHEN domain IS NOT NULL THEN 'unsanctioned_tool Tool of ' || domain || ' 0.35 0.65' ELSE 'unknown_destination 0.28 0.45' END AS verdict, count(*) AS pages FROM m2 GROUP BY ALL""")
+def destinations(spark, sf) -> DataFrame:
+    """Hosts of pages as destinations: those of a catalogue, by the longest domain, unknown ones, and those that are sanctioned.
+    The catalogue is made of every fifth page's own domain."""
+    from quillguard.functions.columns import host_of
+    from quillguard.operators import commands as M
+
+    pages = read(spark, sf, "pages").select("page_id", "url")
+    domain = F.regexp_extract(host_of(F.col("url")), "[^.]+[.][^.]+$", 0)
+    known = pages.where("page_id % 5 = 0").select(domain.alias("domain")).where("domain <> ''").distinct().select("domain", F.concat(F.lit("Tool of "), "domain").alias("tool"))
+    found = M.destination_signals(pages, "url", known, ["example.com"]).withColumn("host", host_of(F.col("url")))
+    said = F.transform("signals", lambda s: F.concat_ws(" ", s["check"], F.when(s["check"] == "unsanctioned_tool", s["evidence"]), s["weight"].cast("string"), s["confidence"].cast("string")))
+    return found.groupBy("host", F.coalesce(F.get(said, F.lit(0)), F.lit("none")).alias("verdict")).agg(F.count("*").alias("pages"))

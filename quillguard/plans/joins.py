@@ -151,16 +151,19 @@ def overrides(spark, sf) -> DataFrame:
     return actors.select("actor", resolve("pii_leak").alias("pii"), resolve("secret_leak").alias("secrets"))
 
 
-CONTROLS = (("c1", "secret_leak", True), ("c1", "pii_leak", False), ("c2", "pii_leak", False), ("c3", None, True), ("c4", "prompt_injection", True))
+CONTROLS = (("c1", "secret_leak"), ("c1", "pii_leak"), ("c2", "pii_leak"), ("c3", None), ("c4", "prompt_injection"))
 
 
-@query("compliance_coverage", """SELECT * FROM (VALUES ('c1', 'covered'), ('c2', 'gap'), ('c3', 'not_mapped'), ('c4', 'covered')) t(control, state)""")
+@query("compliance_coverage", """, o AS (SELECT surface, category, 2 * count(*) FILTER (status <> 'dismissed') >= count(*) AS is_on FROM f GROUP BY ALL), c(control, chk) AS (VALUES ('c1', 'secret_leak'), ('c1', 'pii_leak'), ('c2', 'pii_leak'), ('c3', NULL), ('c4', 'prompt_injection'))
+SELECT s.surface, control, CASE WHEN count(chk) = 0 THEN 'not_mapped' WHEN bool_or(coalesce(is_on, false)) THEN 'covered' ELSE 'gap' END AS state FROM (SELECT DISTINCT surface FROM f) s CROSS JOIN c LEFT JOIN o ON o.surface = s.surface AND category = chk GROUP BY ALL""", True)
 def compliance(spark, sf) -> DataFrame:
-    """covered if a mapped check is on, gap if none is, not_mapped without a check."""
-    rows = spark.createDataFrame(list(CONTROLS), "control string, chk string, is_on boolean")
-    by = rows.groupBy("control").agg(F.count("chk").alias("mapped"), F.bool_or(F.col("is_on") & F.col("chk").isNotNull()).alias("is_on"))
-    return by.select("control", F.when(F.col("mapped") == 0, "not_mapped").when(F.col("is_on"), "covered").otherwise("gap").alias("state"))
-
+    """Controls by surface: covered if a mapped check works there, gap if none does, not_mapped without a check. A check works
+    where half of what it finds isn't dismissed."""
+    works = findings(spark, sf).groupBy("surface", F.col("category").alias("chk")).agg((2 * F.count_if(F.col("status") != "dismissed") >= F.count("*")).alias("is_on"))
+    each = F.array(*(F.struct(F.lit(c).alias("control"), F.lit(k).cast("string").alias("chk")) for c, k in CONTROLS))
+    rows = works.select("surface").distinct().select("surface", F.explode(each).alias("c")).select("surface", "c.control", "c.chk")
+    by = rows.join(works, ["surface", "chk"], "left").groupBy("surface", "control").agg(F.count("chk").alias("mapped"), F.bool_or(F.coalesce("is_on", F.lit(False))).alias("is_on"))
+    return by.select("surface", "control", F.when(F.col("mapped") == 0, "not_mapped").when(F.col("is_on"), "covered").otherwise("gap").alias("state"))
 
 @query("snapshot_replace", """WITH s AS (SELECT user_id AS device, props AS name, value, row_number() OVER (PARTITION BY user_id, props ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type IN ('view', 'click')),
 last AS (SELECT user_id AS device, max(ts) AS t FROM events WHERE event_type = 'click' GROUP BY 1)
