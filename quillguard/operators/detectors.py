@@ -238,6 +238,7 @@ def custom_patterns(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
     """Adds signals of an organisation's own patterns (Java's syntax, by which they are also tried); one that doesn't compile
     leaves a marker of no weight and the others still run."""
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
 
     java = df.sparkSession.sparkContext._jvm.java.util.regex.Pattern
     found = []
@@ -245,7 +246,7 @@ def custom_patterns(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
         try:
             java.compile(p)
             found.append((F.coalesce(F.col(text).rlike(p), F.lit(False)), S.signal("pii_leak", 0.7, 0.75, "custom_pattern", detector="shadow_ai", evidence=F.lit(p))))
-        except Py4JJavaError:
+        except (Py4JJavaError, IllegalArgumentException):
             found.append((F.lit(True), S.signal("detector_error", 0.0, 0.0, "detector_error", detector="shadow_ai", evidence=F.lit(p))))
     return df.withColumn("signals", S.signals(*found))
 

@@ -135,9 +135,15 @@ def unregistered(spark, sf) -> DataFrame:
 
 @query("peer_findings", "SELECT id, least(3, row_number() OVER w - 1) AS peers, lag(id) OVER w AS latest_peer FROM f WINDOW w AS (PARTITION BY actor ORDER BY ts, id)", True)
 def peers(spark, sf) -> DataFrame:
-    """Up to three findings of the same actor before each, from one ordered pass instead of a self-join."""
-    w = Window.partitionBy("actor").orderBy("ts", "id")
-    return findings(spark, sf).select("id", F.count("*").over(w.rowsBetween(-3, -1)).alias("peers"), F.lag("id").over(w).alias("latest_peer"))
+    """Up to three findings of the same actor before each, and the last of them. A day of an actor is ordered by itself; of the days
+    before only their number of findings and the last one's id are needed."""
+    f = findings(spark, sf).withColumn("day", F.to_date("ts"))
+    w = Window.partitionBy("actor").orderBy("day")
+    days = f.groupBy("actor", "day").agg(F.count("*").alias("n"), F.max_by("id", F.struct("ts", "id")).alias("last"))
+    days = days.select("actor", "day", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag("last").over(w).alias("last"))
+    own = Window.partitionBy("actor", "day").orderBy("ts", "id")
+    told = f.select("id", "actor", "day", F.row_number().over(own).alias("nth"), F.lag("id").over(own).alias("prev")).join(days, ["actor", "day"])
+    return told.select("id", F.least(F.lit(3), F.col("before") + F.col("nth") - 1).alias("peers"), F.coalesce("prev", "last").alias("latest_peer"))
 
 
 @query("top_findings_nulls_last", "SELECT id, CASE WHEN k % 3 = 0 THEN NULL ELSE risk END AS r FROM f ORDER BY r DESC NULLS LAST, id LIMIT 40", True)

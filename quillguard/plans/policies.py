@@ -177,8 +177,12 @@ def digests(spark, sf) -> DataFrame:
 def archive(spark, sf) -> DataFrame:
     """Micro-batches by hour and size: a running size within the hour decides the part a row goes to."""
     size = F.length("actor") + F.length("tool") + 40
-    w = Window.partitionBy("surface", "hour").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    s = findings(spark, sf).withColumn("hour", F.date_trunc("hour", "ts")).withColumn("upto", F.sum(size).over(w))
+    f = findings(spark, sf).withColumns({"hour": F.date_trunc("hour", "ts"), "second": F.date_trunc("second", "ts"), "size": size})
+    # a second is ordered by itself, the seconds of an hour by their sums
+    sums = f.groupBy("surface", "hour", "second").agg(F.sum("size").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("surface", "hour").orderBy("second").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    w = Window.partitionBy("surface", "hour", "second").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    s = f.withColumn("own", F.sum("size").over(w)).join(sums.select("surface", "hour", "second", before.alias("before")), ["surface", "hour", "second"]).withColumn("upto", F.col("before") + F.col("own"))
     return s.groupBy("surface", "hour", F.floor((F.col("upto") - 1) / 500).alias("part")).agg(F.count("*").alias("rows"))
 
 

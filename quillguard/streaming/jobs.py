@@ -88,13 +88,17 @@ def chains(findings: DataFrame, seconds: int = 1800, anchor: int = 60, most: int
 BEGUN = re.compile(r"Q(?:G(?:_(?:[A-Z]{1,12}(?:_[0-9a-f]{0,15})?)?)?)?$")
 
 
-def detokenized(chunks: DataFrame, idle_minutes: int = 30) -> DataFrame:
+def detokenized(chunks: DataFrame, idle_minutes: int = 30, late: str = LATE) -> DataFrame:
     """reply, seq, text: replies that arrive in chunks, tokens turned back into values. Input: reply, seq, chunk, last and
-    tokens (a map, with each chunk or null). Only what may be a token's beginning is held back, until the next chunk or the last;
-    a reply that gets no chunk for idle_minutes ends with what is held, under its last number.
+    tokens (a map, with each chunk or null). Only what may be a token's beginning is held back, until the next chunk or the last.
+
+    With a column ts, a reply that has got no chunk for idle_minutes when the watermark passes ends with what is held, under its
+    last number, and leaves the state; without one, a reply whose last chunk never comes stays.
     """
     from quillguard.functions.keyed import TOKEN
 
+    timed = "ts" in chunks.columns
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         carry, known, at = json.loads(state.get[0]) if state.exists else ["", {}, 0]
         if state.hasTimedOut:
@@ -114,10 +118,12 @@ def detokenized(chunks: DataFrame, idle_minutes: int = 30) -> DataFrame:
             state.remove()
         else:
             state.update((json.dumps([carry, known, int(rows["seq"].iloc[-1])]),))
-            state.setTimeoutDuration(idle_minutes * 60_000)
+            if timed:
+                state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_minutes * 60_000 + 1)
         yield pd.DataFrame(out, columns=["reply", "seq", "text"])
 
-    return chunks.groupBy("reply").applyInPandasWithState(step, "reply string, seq int, text string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = chunks.withWatermark("ts", late) if timed else chunks
+    return rows.groupBy("reply").applyInPandasWithState(step, "reply string, seq int, text string", "held string", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
 
 
 def batch_sink(key: list[str], target: str):
