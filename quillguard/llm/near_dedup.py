@@ -1,19 +1,20 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
 A text's shingles (five words, or all words of a shorter text) weigh by how often they occur: 1 for one occurrence, growing with
-the logarithm up to 2. ProbMinHash draws, for each shingle, the arrivals of a Poisson process whose rate is the weight; each
+the logarithm up to 1.5. ProbMinHash draws, for each shingle, the arrivals of a Poisson process whose rate is the weight; each
 arrival falls on one of COMPONENTS components, which keeps the shingle that arrived first. Two texts agree in a component with
 the probability Jaccard similarity of their weighted shingles as chance. A process ends as soon as its next arrival is later
 than every kept one.
 
 Components are banded; texts that share a band are candidates, and a candidate pair is a link if the exact Jaccard
-similarity of the shingle sets is SIMILARITY or more. Weights of 2 at most keep the probability Jaccard similarity of such a
-pair near its plain one: at 0.7 or more where one text repeats what the other doesn't, at 0.59 where each repeats half of what
-they share, so a pair of 0.8 shares a band with a chance of 0.997 or 0.9. Equal texts are one class without any comparison.
+similarity of the shingle sets is SIMILARITY or more. Weights of 1.5 at most keep the probability Jaccard similarity of such a
+pair near its plain one: at 0.74 or more where one text repeats what the other doesn't, at 0.68 where each repeats half of what
+they share, so a pair of 0.8 shares a band with a chance of 0.9997 or 0.994. Equal texts are one class without any comparison.
 
 No group is expanded into all pairs. Each band compares its members with one leader, the member that meets the most others
-over its bands; a join spreads a large band. Members that aren't similar to their leader may still be similar to each other:
-where the others of a band are of several classes, they are banded again, by FINE_ROWS components of the plain shingle sets in
+over its bands; a join spreads a large band. Members that aren't similar to their leader may still be similar to each other,
+or to members that are, unless these lie too close to the leader: where those in question are of several classes, they are
+banded again, by FINE_ROWS components of the plain shingle sets in
 FINE_BANDS bands, which a pair of 0.8 shares with a chance of 0.93 and one of 0.5 with 0.001. Each of those bands again has a
 leader, drawn anew for each band, and there are ROUNDS such rounds. So a member is compared at most BANDS + ROUNDS * FINE_BANDS
 times, however large its group and whatever its shape.
@@ -82,9 +83,9 @@ def by_logarithm(occurrences: np.ndarray) -> np.ndarray:
     return 1 + np.log(occurrences)
 
 
-def up_to_two(occurrences: np.ndarray) -> np.ndarray:
-    """1 for one occurrence, 2 for 55 or more."""
-    return 1 + np.minimum(np.log(occurrences), 4) / 4
+def bounded(occurrences: np.ndarray) -> np.ndarray:
+    """1 for one occurrence, 1.5 for 55 or more."""
+    return 1 + np.minimum(np.log(occurrences), 4) / 8
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], components: int = COMPONENTS, weight: Callable = by_logarithm) -> np.ndarray:
@@ -133,7 +134,7 @@ def sketched(docs: DataFrame, keep: list[str], text: str = "text", words: int =
 
         def work(texts):
             sets = [shingler(t) for t in texts]
-            bands = bands_of(signatures(sets, weight=up_to_two))
+            bands = bands_of(signatures(sets, weight=bounded))
             return [[len(s) for s, _ in sets], [b if len(s) else [] for b, (s, _) in zip(bands, sets)]]
 
         return work
@@ -199,11 +200,18 @@ def links_of(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return written(overlaps(pairs, sets).where(similar(similarity)).select("a", "b"))
 
 
-def unresolved(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, cls) of members (band, rep, b) of bands in which others than the leader are of several classes."""
-    named = members.join(classes, "rep")
-    mixed = named.where("rep <> b").groupBy("band").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("band")
-    return named.join(mixed, "band", "left_semi").select("rep", "cls").distinct()
+def unresolved(compared: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(rep, cls) of members (a, b, and their overlap with the leader b) that may have links among themselves: those of a leader
+    with a member that isn't similar to it (far), where they are of several classes.
+
+    By the triangle inequality of the Jaccard distance a member that is closer to the leader than all far ones, by more than
+    a link allows, has no link with any of them.
+    """
+    named = compared.withColumn("j", F.expr("common / (n_a + n_b - common)")).join(classes.withColumnRenamed("rep", "a"), "a").select("a", "b", "j", "cls", F.expr(similar(similarity)).alias("near"))
+    far = named.where("not near").groupBy("b").agg(F.max("j").alias("far"))
+    kept = named.join(far, "b").where(f"j <= far + {1 - similarity + 1e-9}").select("b", F.col("a").alias("rep"), "cls")
+    mixed = kept.groupBy("b").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("b")
+    return kept.join(mixed, "b", "left_semi").select("rep", "cls").distinct()
 
 
 def fine_members(sets: DataFrame, turn: int) -> DataFrame:
@@ -221,9 +229,9 @@ def fine_members(sets: DataFrame, turn: int) -> DataFrame:
     return fine.select(F.explode("bands").alias("band"), "rep", "cls")
 
 
-def found_again(members: DataFrame, sets: DataFrame, classes: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Links (a, b) between members (band, rep, b) that their leaders left in several classes."""
-    left = unresolved(members, classes)
+def found_again(compared: DataFrame, sets: DataFrame, classes: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Links (a, b) between members that their leaders left in several classes."""
+    left = written(unresolved(compared, classes, similarity))
     fine = written(fine_members(sets.join(left, "rep"), turn))
     mixed = fine.groupBy("band").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("band")
     met = fine.join(mixed, "band", "left_semi")
@@ -231,7 +239,7 @@ def found_again(members: DataFrame, sets: DataFrame, classes: DataFrame, similar
     pairs = led(met.select("band", "rep"), F.xxhash64("band", "rep")).select(F.col("rep").alias("a"), "b").distinct()
     apart = pairs.join(left.withColumnRenamed("rep", "a"), "a").join(named, "b").where("cls <> cls_b")
     links = links_of(apart, sets, similarity)
-    released(fine)
+    released(fine, left)
     return links
 
 
@@ -262,10 +270,11 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         sets = sets.dropDuplicates(["rep"])
     sets = written(sets)
     pairs = members.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    found = [links_of(pairs, sets, similarity)]
+    compared = written(overlaps(pairs, sets))
+    found = [compared.where(similar(similarity)).select("a", "b")]
     classes = merged(classes, found[0])
     for turn in range(ROUNDS):
-        found.append(found_again(members, sets, classes, similarity, turn))
+        found.append(found_again(compared, sets, classes, similarity, turn))
         classes = merged(classes, found[-1])
     links = reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "rep")
