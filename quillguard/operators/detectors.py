@@ -5,8 +5,13 @@ Phrases are patterns built of a few word lists; vendors' key formats are those t
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillguard.functions import columns as C
 from quillguard.functions import scoring as S
@@ -127,17 +132,46 @@ SURE = {
 
 def sure(name: str, pattern: str) -> tuple[str, ...]:
     """Plain strings of which a format's matches hold one: those above, or what the pattern begins with."""
-    import re
-
     head = re.match(r"(?:\\b)?((?:[A-Za-z0-9_=\"-]|\\\.(?![*+?{]))+)", pattern)
     return SURE.get(name) or ((head[1][:6].replace("\\", ""),) if name not in SURE and head and len(head[1]) > 2 else ())
 
 
-def flattened(df: DataFrame, text: Column) -> DataFrame:
+#: By group of patterns, what a text with a match of one of them holds for sure. A gate may be wider than its patterns, never
+#: narrower; it has no look-around and no blanks by class, so RE2 finds it in one pass. Case counts unless (?i) says otherwise.
+GATES = {
+    "phrase": "(?i)" + "|".join(re.escape(x) for x in PHRASE_STEMS) + "|[a-z\u0130][013457@$][a-z\u0130]",
+    "assigned": "(?i)(?:password|passwd|secret|token|api_?key)[\"']?[ ]*[:=]",
+    "format": "(?i:aws_?(?:secret)?_?(?:access)?_?key|[?&]sig=|authorization)|SK[0-9a-f]{32}|" + "|".join(re.escape(x) for n, p in SECRETS[1:] + MORE_SECRETS if n not in ("aws_secret", "azure_sas", "bearer_header") for x in sure(n, p)),
+    "card": "[0-9](?:[ -]?[0-9]){12}", "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "phone": r"[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "mail": "@", "npi": "[12][0-9]{9}", "dea": "[A-Za-z][A-Za-z9][0-9]{7}",
+    "patient": "(?i)patient|diagnosis|medical record|mrn|prescri|health plan", "code": r"def |class |import |from [A-Za-z0-9_]+ import|public (?:class|static)|function [A-Za-z0-9_]+\(|#include|SELECT ", "schema": r"(?i)(?:into|update|from|table|join) [a-z_]+\.[a-z_]",
+    "internal": r"(?i)\.(?:internal|corp|local|intra|lan)|from (?:internal|private|corp)\.", "random": "[A-Za-z0-9_]{24}", "keyed": r"SIN|social insurance|BSN|burgerservicenummer|CPF|NRIC|FIN|DNI|NIE|(?i:passport|licen[cs]e|ssn|social security|date of birth|\bdob\b)",
+    "iban": "[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3}", "nino": "[A-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]", "blob": "[A-Za-z0-9+/]{60}", "invisible": INVISIBLE,
+    "marker": "(?i)confidential|internal|not distribute|for distribution|attorney|proprietary|restricted|secret|tlp[: -]?(?:red|amber|green|clear|white)|(?:mip|purview) label",
+    "danger": r"(?i)\brm[\t-\r ]+-|curl|wget|mkfs\.|\bdd[\t-\r ]+if=|:\(\)", "path": r"(?i)\.ssh|\.aws|\.kube|\.netrc|etc/shadow", "autonomy": "(?i)--(?:dangerously|yolo|auto-approve|no-confirm)",
+}
+
+
+@F.arrow_udf(T.LongType())
+def gates(texts: pa.Array) -> pa.Array:
+    """The GATES that texts pass, a bit each by their order. A null text passes none."""
+    bits = pa.array([0] * len(texts), pa.int64())
+    for i, pattern in enumerate(GATES.values()):
+        found = pc.fill_null(pc.match_substring_regex(texts, pattern), False)
+        bits = pc.bit_wise_or(bits, pc.multiply(found.cast(pa.int64()), 1 << i))
+    return bits
+
+
+def passes(bits: Column, gate: str) -> Column:
+    return bits.bitwiseAND(F.lit(1 << list(GATES).index(gate))) != 0
+
+
+def flattened(df: DataFrame, text: Column, bits: Column | None = None) -> DataFrame:
     """Adds __flat (lower case, single blanks, without quoted mentions) and __leet (the same with digits read as letters,
-    where that changes a word) of texts that may hold a phrase; '' and null of all others, which thus cost one scan."""
+    where that changes a word) of texts that may hold a phrase; '' and null of all others, which thus cost one scan.
+    bits: the text's gates."""
     low = F.lower(text)
-    staged = df.withColumn("__flat", F.when(holds_any(low, PHRASE_STEMS) | low.rlike("[a-z][013457@$][a-z]"), F.regexp_replace(low, r"\s+", " ")).otherwise(""))
+    maybe = holds_any(low, PHRASE_STEMS) | low.rlike("[a-z][013457@$][a-z]")
+    staged = df.withColumn("__flat", F.when(maybe if bits is None else passes(bits, "phrase"), F.regexp_replace(low, r"\s+", " ")).otherwise(""))
     staged = staged.withColumn("__flat", F.when(F.col("__flat").rlike("[\"'`“‘«]"), F.regexp_replace("__flat", MENTION, " ")).otherwise(F.col("__flat")))
     return staged.withColumn("__leet", F.when(F.col("__flat").rlike("[a-z][013457@$][a-z]"), C.leet_fold(F.col("__flat"))))
 
@@ -147,8 +181,13 @@ def secret_labels(text: Column, table=SECRETS) -> Column:
     return F.filter(F.array(*(F.when(text.rlike(p), name) for name, p in table)), lambda x: x.isNotNull())
 
 
-def real_secret_labels(text: Column, table=SECRETS + MORE_SECRETS) -> Column:
-    """As secret_labels, without formats whose every match only stands for a secret."""
+def real_secret_labels(text: Column, table=SECRETS + MORE_SECRETS, bits: Column | None = None) -> Column:
+    """As secret_labels, without formats whose every match only stands for a secret. bits: the text's gates."""
+    none = F.expr("cast(array() as array<string>)")
+    if bits is not None:
+        assigned, formats = ([row for row in table if (row[0] == "assignment") == first] for first in (True, False))
+        of = lambda rows, gate: F.when(passes(bits, gate), real_secret_labels(text, rows)).otherwise(none) if rows else none
+        return F.concat(of(assigned, "assigned"), of(formats, "format"))
     maybe = lambda name, p: holds_any(text, sure(name, p)) & text.rlike(p) if sure(name, p) else text.rlike(p)
     real = lambda name, p: F.when(maybe(name, p), F.exists(found_all(text, p), lambda m: ~m.rlike(PLACEHOLDER)))
     return F.filter(F.array(*(F.when(real(name, p), name) for name, p in table)), lambda x: x.isNotNull())
@@ -193,43 +232,47 @@ def detect(df: DataFrame, text: str, distinct: Column | None = None, words: byte
     """
     from quillguard.operators.scans import domain_identifiers
 
-    t = F.coalesce(F.col(text), F.lit(""))
+    t, bits = F.coalesce(F.col(text), F.lit("")), F.col("__gates")
+    if_ = lambda gate, value, other=0: F.when(passes(bits, gate), value).otherwise(F.lit(other))
+    has = lambda gate, pattern: if_(gate, t.rlike(pattern), False)
+    none = F.expr("cast(array() as array<string>)")
     matches = lambda c, pattern: found_all(c, pattern) if distinct is None else F.when(distinct, F.array_distinct(found_all(c, pattern))).otherwise(found_all(c, pattern))
     flat, leet = F.col("__flat"), F.col("__leet")
-    staged = flattened(df, t).withColumns({
-        "__o": n_patterns(flat, leet, OVERRIDE), "__j": n_patterns(flat, leet, JAILBREAK), "__x": n_patterns(flat, leet, EXFILTRATION), "__s": real_secret_labels(t),
-        "__cards": F.size(F.filter(matches(t, "[0-9](?:[ -]?[0-9]){12,18}"), C.card_ok)),
-        "__ssn": F.exists(matches(t, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), lambda m: C.ssn_ok(C.digits(m))),
-        "__phones": F.size(F.filter(matches(t, r"(?<![0-9])(?:\+1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"), lambda m: ~F.substring(C.digits(m), -7, 3).eqNullSafe("555"))),
-        "__mails": F.when(F.contains(t, F.lit("@")), F.size(F.filter(matches(t, EMAIL), lambda m: F.lower(F.substring_index(m, "@", -1)).isin(*PERSONAL) & ~m.rlike(ROLE_PARTS) & ~m.rlike(RESERVED)))).otherwise(0),
-        "__health": F.size(F.filter(matches(t, r"(?<![0-9])[12][0-9]{9}(?![0-9])"), C.npi_ok)) + F.size(F.filter(matches(t, r"\b[A-Za-z][A-Za-z9][0-9]{7}\b"), C.dea_ok)),
-        "__patient": F.when(t.rlike(HEALTH_WORDS), F.when(t.rlike(MBI), 1).otherwise(0) + F.when(t.rlike(RECORD_NUMBER), 1).otherwise(0) + F.when(t.rlike(DIAGNOSIS), 1).otherwise(0)).otherwise(0),
-        "__code": F.size(matches(t, CODE)), "__schema": F.when(t.rlike(SCHEMA), 2).otherwise(0) + F.when(t.rlike(INTERNAL), 2).otherwise(0), "__keys": random_keys(t, words), "__keyed": keyed_numbers(t),
+    staged = flattened(df.withColumn("__gates", gates(t)), t, bits).withColumns({
+        "__o": n_patterns(flat, leet, OVERRIDE), "__j": n_patterns(flat, leet, JAILBREAK), "__x": n_patterns(flat, leet, EXFILTRATION), "__s": real_secret_labels(t, bits=bits),
+        "__cards": if_("card", F.size(F.filter(matches(t, "[0-9](?:[ -]?[0-9]){12,18}"), C.card_ok))),
+        "__ssn": if_("ssn", F.exists(matches(t, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), lambda m: C.ssn_ok(C.digits(m))), False),
+        "__phones": if_("phone", F.size(F.filter(matches(t, r"(?<![0-9])(?:\+1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"), lambda m: ~F.substring(C.digits(m), -7, 3).eqNullSafe("555")))),
+        "__mails": if_("mail", F.size(F.filter(matches(t, EMAIL), lambda m: F.lower(F.substring_index(m, "@", -1)).isin(*PERSONAL) & ~m.rlike(ROLE_PARTS) & ~m.rlike(RESERVED)))),
+        "__health": if_("npi", F.size(F.filter(matches(t, r"(?<![0-9])[12][0-9]{9}(?![0-9])"), C.npi_ok))) + if_("dea", F.size(F.filter(matches(t, r"\b[A-Za-z][A-Za-z9][0-9]{7}\b"), C.dea_ok))),
+        "__patient": F.when(has("patient", HEALTH_WORDS), F.when(t.rlike(MBI), 1).otherwise(0) + F.when(t.rlike(RECORD_NUMBER), 1).otherwise(0) + F.when(t.rlike(DIAGNOSIS), 1).otherwise(0)).otherwise(0),
+        "__code": if_("code", F.size(matches(t, CODE))), "__schema": F.when(has("schema", SCHEMA), 2).otherwise(0) + F.when(has("internal", INTERNAL), 2).otherwise(0),
+        "__keys": F.when(passes(bits, "random"), random_keys(t, words)).otherwise(none), "__keyed": F.when(passes(bits, "keyed"), keyed_numbers(t)).otherwise(none),
     })
     if business is not None:
         staged = staged.withColumn("__schema", F.col("__schema") + F.when((F.col("__code") >= 2) & (F.size(domain_identifiers(t, business)) >= 2), 2).otherwise(0))
     up = lambda base, n: F.least(F.lit(1.0), F.lit(base) + 0.15 * F.col(n))
-    blob = t.rlike(r"[A-Za-z0-9+/]{60,}={0,2}") & ~t.rlike(MEDIA) & ~t.rlike(r"[0-9a-fA-F]{60,}")
+    blob = has("blob", r"[A-Za-z0-9+/]{60,}={0,2}") & ~t.rlike(MEDIA) & ~t.rlike(r"[0-9a-fA-F]{60,}")
     found = S.signals(
         (F.col("__o") > 0, S.signal("prompt_injection", 0.8, up(0.62, "__o"), "instruction_override", detector="prompt_threats")),
         (F.col("__j") > 0, S.signal("jailbreak", 0.75, up(0.5, "__j"), "jailbreak", detector="prompt_threats")),
         (F.col("__x") > 0, S.signal("data_exfiltration", 0.8, up(0.6, "__x"), "data_exfiltration", detector="prompt_threats")),
         (blob & ((F.col("__o") > 0) | (F.col("__j") > 0) | (F.col("__x") > 0)), S.signal("prompt_injection", 0.45, 0.5, "encoded_payload", detector="prompt_threats")),
-        (t.rlike(INVISIBLE), S.signal("prompt_injection", 0.6, 0.7, "invisible_characters", detector="prompt_threats")),
+        (has("invisible", INVISIBLE), S.signal("prompt_injection", 0.6, 0.7, "invisible_characters", detector="prompt_threats")),
         (F.size("__s") > 0, S.signal("secret_leak", 0.9, 0.85, "secret", detector="shadow_ai", evidence=F.array_join(F.slice("__s", 1, 4), ", "))),
         ((F.size("__s") == 0) & (F.size("__keys") > 0), S.signal("secret_leak", 0.7, 0.7, "high_entropy", detector="shadow_ai", evidence=F.array_join(F.transform(F.slice("__keys", 1, 4), lambda k: F.concat(F.substring(k, 1, 10), F.lit("…"))), ", "))),
-        (t.rlike(IBAN), S.signal("pii_leak", 0.6, 0.75, "iban", detector="shadow_ai")),
-        (t.rlike(NINO), S.signal("pii_leak", 0.6, 0.75, "nino", detector="shadow_ai")),
+        (has("iban", IBAN), S.signal("pii_leak", 0.6, 0.75, "iban", detector="shadow_ai")),
+        (has("nino", NINO), S.signal("pii_leak", 0.6, 0.75, "nino", detector="shadow_ai")),
         ((F.col("__cards") > 0) | F.col("__ssn"), S.signal("pii_leak", 0.8, 0.75, "identity_number", detector="shadow_ai")),
         (F.size("__keyed") > 0, S.signal("pii_leak", 0.55, 0.75, "keyed_number", detector="shadow_ai", evidence=F.array_join("__keyed", ", "))),
         (F.col("__phones") >= 3, S.signal("pii_leak", 0.5, 0.75, "phones", detector="shadow_ai")),
         (F.col("__mails") >= 3, S.signal("pii_leak", 0.55, 0.6, "bulk_email", detector="shadow_ai")),
-        (((F.col("__health") > 0) & t.rlike(HEALTH_WORDS)) | (F.col("__patient") >= 2), S.signal("phi_leak", 0.8, 0.75, "health_identifier", detector="shadow_ai")),
-        (t.rlike(MARKERS), S.signal("confidential_data", 0.6, 0.65, "marker", detector="shadow_ai")),
+        (((F.col("__health") > 0) & has("patient", HEALTH_WORDS)) | (F.col("__patient") >= 2), S.signal("phi_leak", 0.8, 0.75, "health_identifier", detector="shadow_ai")),
+        (has("marker", MARKERS), S.signal("confidential_data", 0.6, 0.65, "marker", detector="shadow_ai")),
         ((F.col("__code") >= 3) | (F.col("__schema") >= 2), S.signal("source_code_leak", 0.55, F.least(F.lit(1.0), F.lit(0.55) + 0.1 * (F.col("__code") + F.col("__schema"))), "source_code", detector="shadow_ai")),
-        (t.rlike(DANGEROUS), S.signal("dangerous_action", 0.95, 0.9, "dangerous_command", detector="mcp_guard")),
-        (t.rlike(SENSITIVE_PATH), S.signal("sensitive_access", 0.9, 0.9, "sensitive_path", detector="mcp_guard")),
-        (t.rlike(AUTONOMY), S.signal("agent_autonomy", 0.7, 0.8, "autonomy_flag", detector="agent_safety")),
+        (has("danger", DANGEROUS), S.signal("dangerous_action", 0.95, 0.9, "dangerous_command", detector="mcp_guard")),
+        (has("path", SENSITIVE_PATH), S.signal("sensitive_access", 0.9, 0.9, "sensitive_path", detector="mcp_guard")),
+        (has("autonomy", AUTONOMY), S.signal("agent_autonomy", 0.7, 0.8, "autonomy_flag", detector="agent_safety")),
     )
     return staged.withColumn("signals", found).drop(*(c for c in staged.columns if c not in df.columns))
 

@@ -72,17 +72,18 @@ def detect_decoded(df: DataFrame, text: str) -> DataFrame:
     coded = F.col("__fold").rlike(r"[A-Za-z0-9+/_-]{16,}|(?:[0-9a-fA-F]{2}){8,}|\\[ux]|&#|%[0-9a-fA-F]{2}")
     staged = staged.withColumn("__read", F.when(coded, decoded_views(F.when(coded, F.col("__fold")))))
     staged = staged.withColumns({"__decoded": F.nullif(F.col("__read.text"), F.lit("")), "__unread": F.coalesce(F.col("__read.exhausted"), F.lit(False))})
-    found = D.detect(staged.withColumn("__all", F.concat_ws("\n", "__fold", "__decoded")), "__all", F.col("__decoded").isNotNull())
-    hidden = S.signals((raw.rlike(D.INVISIBLE), S.signal("prompt_injection", 0.6, 0.7, "invisible_characters", detector="prompt_threats")))
     # the views are a column of their own: inside the patterns' expressions they would be made anew for each
     views = F.array_join(F.concat(reshaped_views(F.col("__fold")), F.array(F.upper("__fold"))), "\n")
-    found = found.withColumn("__views", F.when(~F.exists("signals", lambda s: s["check"] == "secret"), views))
-    found = found.withColumn("__labels", D.real_secret_labels(F.col("__views"), D.SECRETS[1:] + D.MORE_SECRETS))
+    staged = staged.withColumn("__views", views).withColumn("__held", D.gates(F.col("__views")))
+    found = D.detect(staged.withColumn("__all", F.concat_ws("\n", "__fold", "__decoded")), "__all", F.col("__decoded").isNotNull())
+    hidden = S.signals((raw.rlike(D.INVISIBLE), S.signal("prompt_injection", 0.6, 0.7, "invisible_characters", detector="prompt_threats")))
+    known = F.exists("signals", lambda s: s["check"] == "secret")
+    found = found.withColumn("__labels", F.when(~known, D.real_secret_labels(F.col("__views"), D.SECRETS[1:] + D.MORE_SECRETS, F.col("__held"))))
     shaped = S.signals((F.size("__labels") > 0, S.signal("secret_leak", 0.9, 0.85, "secret", detector="shadow_ai", evidence=F.array_join(F.slice("__labels", 1, 4), ", "))))
     kept = F.when(F.size("__labels") > 0, F.filter("signals", lambda s: s["check"] != "high_entropy")).otherwise(F.col("signals"))
     other = F.filter(hidden, lambda s: ~F.exists("signals", lambda p: p["check"] == s["check"]))
     unread = S.signals((F.col("__unread"), S.signal("detector_error", 0.0, 0.0, "decoding_unfinished", detector="decode")))
-    return found.withColumn("signals", F.concat(kept, other, F.coalesce(shaped, F.expr(f"cast(array() as array<{S.SIGNAL}>)")), unread)).drop("__all", "__fold", "__read", "__decoded", "__unread", "__views", "__labels")
+    return found.withColumn("signals", F.concat(kept, other, F.coalesce(shaped, F.expr(f"cast(array() as array<{S.SIGNAL}>)")), unread)).drop("__all", "__fold", "__read", "__decoded", "__unread", "__views", "__held", "__labels")
 
 
 def secret_reach(label: Column, rules: list[tuple[str, str, str]]) -> Column:

@@ -42,25 +42,26 @@ def each_match(text: Column, pattern: str, new) -> Column:
     return F.when(F.size(hits) > 0, F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(new(h), F.lit("")))), "")).otherwise(text)
 
 
-def finders(kinds: tuple[str, ...]) -> list[tuple[str, str, object, tuple[str, ...]]]:
-    """(kind, pattern, which matches count, plain strings of which a text with a match holds one) of some kinds."""
+def finders(kinds: tuple[str, ...]) -> list[tuple[str, str, object, tuple[str, ...], str]]:
+    """(kind, pattern, which matches count, plain strings of which a text with a match holds one, gate) of some kinds."""
     from quillguard.operators import detectors as D
 
     real = lambda m: ~m.rlike(D.PLACEHOLDER)
-    formats = [("secret", p, real, D.sure(name, p)) for name, p in D.SECRETS + D.MORE_SECRETS]
+    formats = [("secret", p, real, D.sure(name, p), "assigned" if name == "assignment" else "format") for name, p in D.SECRETS + D.MORE_SECRETS]
     every = [
-        ("block", PATTERNS[0][0], None, ("PRIVATE KEY",)), *formats, ("secret", r"[A-Za-z0-9_]{24,80}", lambda m: F.size(D.random_keys(m)) > 0, ()),
-        ("ssn", PATTERNS[2][0], lambda m: C.ssn_ok(C.digits(m)), ()), ("card", "[0-9](?:[ -]?[0-9]){12,18}", C.card_ok, ()),
-        ("health", r"(?<![0-9])[12][0-9]{9}(?![0-9])", C.npi_ok, ()), ("email", EMAIL, None, ("@",)),
+        ("block", PATTERNS[0][0], None, ("PRIVATE KEY",), "format"), *formats, ("secret", r"[A-Za-z0-9_]{24,80}", lambda m: F.size(D.random_keys(m)) > 0, (), "random"),
+        ("ssn", PATTERNS[2][0], lambda m: C.ssn_ok(C.digits(m)), (), "ssn"), ("card", "[0-9](?:[ -]?[0-9]){12,18}", C.card_ok, (), "card"),
+        ("health", r"(?<![0-9])[12][0-9]{9}(?![0-9])", C.npi_ok, (), "npi"), ("email", EMAIL, None, ("@",), "mail"),
     ]
     return [f for f in every if f[0] in kinds]
 
 
-def spans_of(text: Column, kinds: tuple[str, ...] = SPAN_KINDS, patterns: dict[str, str] | None = None) -> Column:
-    """array<struct<start,end,kind>> of sensitive values, kind a number: that of SPAN_KINDS, or of patterns if these are given."""
+def spans_of(text: Column, kinds: tuple[str, ...] = SPAN_KINDS, patterns: dict[str, str] | None = None, bits: Column | None = None) -> Column:
+    """array<struct<start,end,kind>> of sensitive values, kind a number: that of SPAN_KINDS, or of patterns if these are given.
+    bits: the text's gates (detectors.gates); the formats behind a gate that it doesn't pass aren't looked for."""
     from quillguard.operators import detectors as D
 
-    chosen = [(k, p, None, ()) for k, p in patterns.items()] if patterns else finders(kinds)
+    chosen = [(k, p, None, (), None) for k, p in patterns.items()] if patterns else finders(kinds)
     order = list(patterns) if patterns else list(SPAN_KINDS)
     none = F.expr(f"cast(array() as {P.SPANS})")
 
@@ -69,7 +70,11 @@ def spans_of(text: Column, kinds: tuple[str, ...] = SPAN_KINDS, patterns: dict[s
         each = F.transform(P.matches(t, f"(?:{pattern}){CLINGING}", bare), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(order.index(kind)).alias("kind")))
         return F.when(D.holds_any(t, sure), each).otherwise(none) if sure else each
 
-    return P.let(F.coalesce(text, F.lit("")), lambda t: P.merged(F.concat(*(found(t, *f) for f in chosen))))
+    def behind(t, gate):
+        each = F.concat(*(found(t, *f[:4]) for f in chosen if f[4] == gate))
+        return each if bits is None or gate is None else F.when(D.passes(bits, gate), each).otherwise(none)
+
+    return P.let(F.coalesce(text, F.lit("")), lambda t: P.merged(F.concat(*(behind(t, gate) for gate in dict.fromkeys(f[4] for f in chosen)))))
 
 
 def kind_of(number: Column, kinds=SPAN_KINDS) -> Column:
@@ -78,15 +83,18 @@ def kind_of(number: Column, kinds=SPAN_KINDS) -> Column:
 
 def with_spans(df: DataFrame, text: str, kinds: tuple[str, ...] = SPAN_KINDS) -> DataFrame:
     """Adds spans: array<struct<start,end,kind>> of sensitive values in code points, end exclusive; overlapping ones merged."""
-    return df.withColumn("spans", F.transform(spans_of(F.col(text), kinds), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind_of(s["kind"]).alias("kind"))))
+    from quillguard.operators import detectors as D
+
+    gated = df.withColumn("__bits", D.gates(F.col(text)))
+    return gated.withColumn("spans", F.transform(spans_of(F.col(text), kinds, bits=F.col("__bits")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind_of(s["kind"]).alias("kind")))).drop("__bits")
 
 
-def redact_text(text: Column, kinds: tuple[str, ...] = SPAN_KINDS[:-1]) -> Column:
+def redact_text(text: Column, kinds: tuple[str, ...] = SPAN_KINDS[:-1], bits: Column | None = None) -> Column:
     """The text with its sensitive values' markers in their place: key blocks, assigned secrets (the name stays), vendors'
     formats, random keys, social security numbers, cards and health ids that are valid."""
     head = PATTERNS[1][0].removesuffix("[A-Za-z0-9+/_.=-]{8,}")
     marker = lambda s: F.concat(F.regexp_extract(s["text"], f"^{head}", 1), F.get(F.array(*(F.lit(MARKERS[k]) for k in SPAN_KINDS)), s["kind"]))
-    return P.let(text, lambda t: P.replaced(t, P.with_text(t, spans_of(t, kinds), "kind"), marker))
+    return P.let(text, lambda t: P.replaced(t, P.with_text(t, spans_of(t, kinds, bits=bits), "kind"), marker))
 
 
 def utf16(text: Column, at: Column) -> Column:

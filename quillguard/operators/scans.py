@@ -62,7 +62,7 @@ def redaction_plans(scored: DataFrame, text: str) -> DataFrame:
     from quillguard.operators.pipelines import detect_decoded
 
     rows = scored.withColumn("__curable", R.locatable(F.col("signals")) & (answer(F.col("severity")) == "block")).drop("signals", "severity")
-    spotted = R.with_spans(rows, text).withColumn("__clean", F.when(F.col("__curable"), without_spans(F.col(text), F.col("spans"))).otherwise(""))
+    spotted = R.with_spans(rows.withColumn("__cut", F.when(F.col("__curable"), F.col(text))), "__cut").withColumn("__clean", F.when(F.col("__curable"), without_spans(F.col(text), F.col("spans"))).otherwise(""))
     again = S.verdict(detect_decoded(spotted.select(*scored.drop("signals", "severity").columns, "__curable", "__clean", "spans"), "__clean"))
     proven = F.col("__curable") & (answer(F.col("severity")) != "block") & ~S.confirmed_leak(F.col("signals"))
     return again.withColumn("plan", F.when(proven, F.col("spans")).otherwise(F.slice("spans", 1, 0))).select(*scored.drop("signals", "severity").columns, "plan")

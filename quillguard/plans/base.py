@@ -46,10 +46,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its files give fewer tasks, before work that costs far more than a shuffle of its rows; a table
-    of many files stays as it lies."""
+    """df in even parts, their number growing with its files, before work that costs far more than a shuffle of its rows. How many
+    tasks read a table says little: a file is one task's work if it is one row group, however many splits it is cut into. A
+    table of many files stays as it lies."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df if len(df.inputFiles()) >= 4 * cores else df.repartition(max(4 * cores, 8 * df.rdd.getNumPartitions()))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillguard.functions import spans as P
 from quillguard.operators import attest
+from quillguard.operators import detectors as D
 from quillguard.operators import redact as R
 from quillguard.plans.base import findings, query, read, spread
 from quillguard.plans.detection import GROUP_SQL, LUHN_SQL, SHAPE_SQL
@@ -45,7 +46,7 @@ def document_spans(spark, sf) -> DataFrame:
     """Where secrets, valid card numbers and addresses stand in documents, overlapping ones merged, in code points and UTF-16.
     The twin knows the formats that the tables hold; tests hold the others."""
     docs = spread(read(spark, sf, "documents").select("doc_id", "text"))
-    found = docs.withColumn("spans", P.with_utf16(F.col("text"), R.spans_of(F.col("text"), ("secret", "card", "email")), "kind"))
+    found = docs.withColumn("bits", D.gates(F.col("text"))).withColumn("spans", P.with_utf16(F.col("text"), R.spans_of(F.col("text"), ("secret", "card", "email"), bits=F.col("bits")), "kind"))
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", R.kind_of(F.col("s.kind")).alias("kind"), "s.start", "s.end", "s.start16")
 
 
@@ -56,7 +57,8 @@ SELECT doc_id, md5(coalesce(r, text)) AS digest FROM documents LEFT JOIN t USING
 def redacted_values(spark, sf) -> DataFrame:
     """Documents with the values of document_spans cut out: the same finder, so nothing is cut that isn't marked."""
     docs = spread(read(spark, sf, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.md5(R.redact_text(F.col("text"), ("secret", "card", "email")).cast("binary")).alias("digest"))
+    gated = docs.withColumn("bits", D.gates(F.col("text")))
+    return gated.select("doc_id", F.md5(R.redact_text(F.col("text"), ("secret", "card", "email"), F.col("bits")).cast("binary")).alias("digest"))
 
 
 ADDRESS_SQL = "'c' || conv_id || '.' || role || '@mail' || (turn % 3) || '.example.com'"
