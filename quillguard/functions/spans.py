@@ -28,7 +28,7 @@ def sums(sizes: Column) -> Column:
     return let(sizes, lambda s: F.when(F.size(s) > 0, let(before(s), lambda t: F.transform(s, lambda _, i: F.get(t, F.shiftright(i, 8)) + within(s, i)))).otherwise(s))
 
 
-def matches(text: Column, pattern: str, valid: Callable[[Column], Column] | None = None) -> Column:
+def matches(text: Column, pattern: str | Column, valid: Callable[[Column], Column] | None = None) -> Column:
     """array<struct<start,end,text>> of a pattern's matches (never empty ones), leftmost first, none overlapping; valid: which
     of them count. A null text has none."""
     ends = lambda t, hits: sums(F.zip_with(F.split(t, pattern, -1), hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0))))

@@ -70,8 +70,19 @@ def spans_of(text: Column, kinds: tuple[str, ...] = SPAN_KINDS, patterns: dict[s
         each = F.transform(P.matches(t, f"(?:{pattern}){CLINGING}", bare), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(order.index(kind)).alias("kind")))
         return F.when(D.holds_any(t, sure), each).otherwise(none) if sure else each
 
+    def formats(t, fs):
+        """As the concatenation of found over the formats, in one expression: they differ in nothing but pattern and plain strings."""
+        kind, valid = fs[0][0], fs[0][2]
+        table = F.array(*(F.struct(F.lit(f"(?:{p}){CLINGING}").alias("pattern"), F.array(*map(F.lit, sure)).alias("sure")) for _, p, _, sure, _ in fs if sure))
+        held = F.filter(table, lambda f: F.exists(f["sure"], lambda x: F.contains(t, x)))
+        each = lambda f: P.matches(t, f["pattern"], lambda m: valid(F.regexp_replace(m, f"{CLINGING}$", "")))
+        spans = F.transform(F.flatten(F.transform(held, each)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(order.index(kind)).alias("kind")))
+        return F.concat(spans, *(found(t, *f[:4]) for f in fs if not f[3]))
+
     def behind(t, gate):
-        each = F.concat(*(found(t, *f[:4]) for f in chosen if f[4] == gate))
+        fs = [f for f in chosen if f[4] == gate]
+        alike = [f for f in fs if gate == "format" and f[0] == "secret"]
+        each = F.concat(*(found(t, *f[:4]) for f in fs if f not in alike), *([formats(t, alike)] if alike else []))
         return each if bits is None or gate is None else F.when(D.passes(bits, gate), each).otherwise(none)
 
     return P.let(F.coalesce(text, F.lit("")), lambda t: P.merged(F.concat(*(behind(t, gate) for gate in dict.fromkeys(f[4] for f in chosen)))))
