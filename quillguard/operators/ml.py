@@ -23,7 +23,8 @@ def terms(text: Column) -> Column:
 
 
 def train(rows: DataFrame, rounds: int = 25) -> PipelineModel:
-    """A model of (terms, label): counts by bucket, unit length, L2-regularised logistic regression."""
+    """A model of (terms, label): counts by bucket, unit length, L2-regularised logistic regression. The learner keeps what its
+    rounds read as blocks of a few MB, on disk where memory ends; a table of terms, many times its texts, need not be kept."""
     stages = [HashingTF(inputCol="terms", outputCol="__tf", numFeatures=BUCKETS), Normalizer(inputCol="__tf", outputCol="__features"), LogisticRegression(featuresCol="__features", labelCol="label", maxIter=rounds, regParam=1e-4)]
     return Pipeline(stages=stages).fit(rows)
 

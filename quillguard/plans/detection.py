@@ -118,8 +118,9 @@ def linear_classifier(spark, sf) -> DataFrame:
     """A hashed linear classifier of the toxic label, trained on four fifths of the labelled documents, judged on the rest."""
     from quillguard.operators import ml
 
-    labelled = read(spark, sf, "documents").select("doc_id", "text").join(read(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
-    rows = spread(labelled).select("doc_id", "label", ml.terms(F.col("text")).alias("terms")).persist()  # the fit reads them again each round
+    labels = read(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("label"))
+    labelled = spread(read(spark, sf, "documents").select("doc_id", "text")).join(labels, "doc_id")
+    rows = labelled.select("doc_id", "label", ml.terms(F.col("text")).alias("terms"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(5))
     found = ml.probability(ml.train(rows.where(fold != 0)), rows.where(fold == 0))
     return ml.confusion(found, [0.1, 0.25, 0.5, 0.75])

@@ -54,3 +54,10 @@ def test_one_row_group_becomes_many_parts(spark, tmp_path):
 def test_listed_checks_behind_gates(spark):
     found = {c for r in D.detect(spark.range(4000).select(planted(F.concat(F.lit("g"), F.col("id").cast("string"))).alias("t")), "t").select(F.transform("signals", lambda s: s["check"]).alias("c")).collect() for c in r.c}
     assert set(LISTED) <= found
+
+
+def test_terms_are_not_kept(spark, sf_dir, capsys):
+    from quillguard.plans import registry
+
+    registry.QUERIES["linear_classifier_sweep"](spark, sf_dir).explain()
+    assert "InMemory" not in capsys.readouterr().out
