@@ -60,4 +60,4 @@ def test_terms_are_not_kept(spark, sf_dir, capsys):
     from quillguard.plans import registry
 
     registry.QUERIES["linear_classifier_sweep"](spark, sf_dir).explain()
-    assert "InMemory" not in capsys.readouterr().out
+    assert "InMemoryTableScan" not in capsys.readouterr().out
