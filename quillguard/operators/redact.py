@@ -6,12 +6,17 @@ valid check digits is neither marked nor cut out.
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillguard.functions import columns as C
 from quillguard.functions import spans as P
-from quillguard.functions.keyed import TOKEN, token
+from quillguard.functions.keyed import TOKEN, labelled
 
 #: Ordered (pattern, replacement); a group that is kept comes first.
 PATTERNS = (
@@ -131,12 +136,13 @@ def locatable(signals: Column, never: tuple[str, ...] = NEVER, by: tuple[str, ..
     return (F.size(values) > 0) & F.forall(values, lambda s: s["detector"].isin(*by)) & ~F.exists(signals, lambda s: s["category"].isin(*never))
 
 
-def tokenized(text: Column, key: bytes, kinds: tuple[str, ...] = PERSONAL, patterns: dict[str, str] | None = None) -> Column:
-    """struct<tokenized, tokens>: the text with tokens for its values, and what each token stands for. A null text stays null."""
-    names = [*patterns] if patterns else [*SPAN_KINDS]
-    named = lambda s: F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), token(F.get(F.array(*map(F.lit, names)), x["kind"]), x["text"], key).alias("token")))
+def tokenized(text: Column, key: bytes, kinds: tuple[str, ...] = PERSONAL, patterns: dict[str, str] | None = None, bits: Column | None = None) -> Column:
+    """struct<tokenized, tokens>: the text with tokens for its values, and what each token stands for. A null text stays null.
+    bits: see spans_of."""
+    names = [n.upper() for n in patterns or SPAN_KINDS]
+    named = lambda s: F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), labelled(F.get(F.array(*map(F.lit, names)), x["kind"]), x["text"], key).alias("token")))
     pairs = lambda s: F.map_from_entries(F.array_distinct(F.transform(s, lambda x: F.struct(x["token"].alias("key"), x["text"].alias("value")))))
-    return P.let(text, lambda t: P.let(named(P.with_text(t, spans_of(t, kinds, patterns), "kind")), lambda s: F.struct(P.replaced(t, s, lambda x: x["token"]).alias("tokenized"), pairs(s).alias("tokens"))))
+    return P.let(text, lambda t: P.let(named(P.with_text(t, spans_of(t, kinds, patterns, bits), "kind")), lambda s: F.struct(P.replaced(t, s, lambda x: x["token"]).alias("tokenized"), pairs(s).alias("tokens"))))
 
 
 def tokenize(df: DataFrame, text: str, key: bytes, patterns: dict[str, str] | None = None) -> DataFrame:
@@ -146,10 +152,11 @@ def tokenize(df: DataFrame, text: str, key: bytes, patterns: dict[str, str] | No
 
 def detokenize(text: Column, tokens: Column) -> Column:
     """The text with known tokens turned back, each once; what a value holds isn't read again. Unknown tokens stay."""
-    return each_match(text, TOKEN, lambda m: F.coalesce(F.try_element_at(tokens, m), m))
+    return P.let(F.struct(text.alias("t"), tokens.alias("tokens")), lambda x: each_match(x["t"], TOKEN, lambda m: F.coalesce(F.try_element_at(x["tokens"], m), m)))
 
 
 LITERAL = r'"(?:[^"\\]++|\\.)*+"'
+STRING, MARKS, COLON = re.compile(LITERAL), re.compile(r"[\[\]{},]"), re.compile(r"[ \t-\r]*:")
 #: Where public request formats keep what a person or a tool wrote; what names, types and ids are called there.
 PROMPT = r"^\$\.(?:messages|system|input|inputs|instructions|prompt|contents|systemInstruction|system_instruction|query|question)\b"
 NEVER_PATH = r"^\$\.(?:model|tools|tool_choice|functions|metadata)\b"
@@ -157,33 +164,38 @@ NAME_KEY = r"\.(?:model|role|type|id|name|tool_call_id|tool_use_id|call_id|mime_
 TOOL_VALUES = r"\.(?:arguments|args|response)\b|\]\.input\b"
 
 
-def literals(payload: Column) -> Column:
-    """array<struct<start,end,text,value,path>> of a JSON text's strings: value decoded; path where it stands ($.a.b[] for an
-    element of a list), null for a key.
-
-    A fold over the strings and the marks between them keeps the containers that are open and the last key.
-    """
-    state = "struct<open:array<string>,key:string,paths:array<string>>"
-    value = lambda m: F.get(F.from_json(F.concat(F.lit("["), m, F.lit("]")), "array<string>"), F.lit(0))
-    make = lambda a, k, p: F.struct(a.alias("open"), k.alias("key"), p.alias("paths"))
-
-    def mark(s, c):
-        inner = F.concat(s["open"], F.array(F.concat(s["key"], F.when(c == "[", "[]").otherwise(""))))
-        outer = F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))
-        return make(F.when(c.isin("{", "["), inner).when(c.isin("}", "]"), outer).otherwise(s["open"]), F.lit(""), s["paths"])
+TOKENIZED = "struct<tokenized:string,tokens:map<string,string>>"
+PLACES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("value", pa.string()), ("path", pa.string())]))
 
-    def step(s, x):
-        marks = F.filter(F.split(F.regexp_replace(x["gap"], r"[^\[\]{},]", ""), ""), lambda c: c != "")
-        path = lambda at: F.replace(F.array_join(F.filter(F.concat(F.array(F.lit("$")), at["open"], F.array(at["key"])), lambda p: p != ""), "."), F.lit(".[]"), F.lit("[]"))
-        return P.let(F.aggregate(marks, s, mark), lambda at: make(at["open"], F.when(x["key"], x["value"]).otherwise(at["key"]), F.concat(at["paths"], F.array(F.when(~x["key"], path(at))))))
 
-    def walked(found, gaps):
-        each = F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).rlike(r"^\s*:").alias("key"), value(m["text"]).alias("value")))
-        start = F.expr(f"cast(struct(cast(array() as array<string>), '', cast(array() as array<string>)) as {state})")
-        return P.let(each, lambda e: P.let(F.aggregate(e, start, step), lambda s: F.transform(found, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.get(e, i)["value"].alias("value"), F.get(s["paths"], i).alias("path")))))
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(f.name, T.IntegerType() if f.type == pa.int32() else T.StringType()) for f in PLACES.value_type])))
+def literals(payloads: pa.Array) -> pa.Array:
+    """array<struct<start,end,text,value,path>> of a JSON text's strings: value decoded; path where it stands ($.a.b[] for an
+    element of a list), null for a key. A null text gives null.
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string,value:string,path:string>>)")
-    return P.let(payload, lambda t: P.let(P.matches(t, LITERAL), lambda found: F.when(F.size(found) > 0, walked(found, F.split(t, LITERAL, -1))).otherwise(none)))
+    One walk over the strings and the marks between them, with the containers that are open and the last key.
+    """
+    starts, ends, texts, values, paths, sizes = [], [], [], [], [], [0]
+    for payload in payloads.to_pylist():
+        held, key, at = ["$"], "", 0
+        for m in STRING.finditer(payload or ""):
+            for mark in MARKS.findall(payload, at, m.start()):
+                if mark in "{[":
+                    held.append(key + "[]" * (mark == "["))
+                elif mark in "}]":
+                    del held[max(1, len(held) - 1) :]
+                key = ""
+            at, value = m.end(), json.loads(m[0], strict=False).encode("utf-8", "replace").decode()
+            if named := COLON.match(payload, at):
+                key = value
+            starts.append(m.start())
+            ends.append(at)
+            texts.append(m[0])
+            values.append(value)
+            paths.append(None if named else ".".join(p for p in (*held, key) if p).replace(".[]", "[]"))
+        sizes.append(len(starts))
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((starts, ends, texts, values, paths), PLACES.value_type)], fields=list(PLACES.value_type))
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows, mask=payloads.is_null())
 
 
 def encoded(text: Column) -> Column:
@@ -203,28 +215,40 @@ def written_by_someone(paths: Column) -> Column:
     return P.let(paths, lambda a: P.let(known(a), lambda k: F.transform(a, lambda x: x.isNotNull() & ~p(x, NEVER_PATH) & (~k | p(x, PROMPT)) & (p(x, TOOL_VALUES) | ~p(x, NAME_KEY)))))
 
 
-def tokenized_payload(payload: Column, key: bytes, kinds: tuple[str, ...] = PERSONAL, patterns: dict[str, str] | None = None) -> Column:
+def tokenized_payload(payload: Column, found: Column, bits: Column, key: bytes, kinds: tuple[str, ...] = PERSONAL, patterns: dict[str, str] | None = None) -> Column:
     """As tokenized, over a request payload: strings that a person or a tool wrote are decoded, tokenized and encoded again; keys,
-    names, ids, numbers and everything between strings stay byte for byte. A text that isn't a JSON object or list is
-    tokenized as a text."""
-    T = "struct<tokenized:string,tokens:map<string,string>>"
-    each = lambda found, ok: F.transform(found, lambda m, i: F.when(F.get(ok, i), tokenized(m["value"], key, kinds, patterns)).otherwise(F.lit(None).cast(T)))
+    names, ids, numbers and everything between strings stay byte for byte. A text that isn't a JSON object or list (found: its
+    literals, null then) is tokenized as a text. bits: the gates that its values may pass."""
+    each = lambda found, ok, b: F.transform(found, lambda m, i: F.when(F.get(ok, i), tokenized(m["value"], key, kinds, patterns, b)).otherwise(F.lit(None).cast(TOKENIZED)))
     new = lambda found, done: F.filter(F.transform(found, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.get(done, i)["tokenized"].alias("text"), F.coalesce(F.size(F.get(done, i)["tokens"]), F.lit(0)).alias("n"))), lambda m: m["n"] > 0)
     tokens = lambda done: F.map_from_entries(F.array_distinct(F.flatten(F.transform(F.filter(done, lambda d: d.isNotNull()), lambda d: F.map_entries(d["tokens"])))))
-    walk = lambda t: P.let(literals(t), lambda found: P.let(each(found, written_by_someone(F.transform(found, lambda m: m["path"]))), lambda done: F.struct(P.replaced(t, new(found, done), lambda m: encoded(m["text"])).alias("tokenized"), tokens(done).alias("tokens"))))
-    return F.when(is_json(payload), walk(payload)).otherwise(tokenized(payload, key, kinds, patterns))
+    walk = lambda t, found, b: P.let(each(found, written_by_someone(F.transform(found, lambda m: m["path"])), b), lambda done: F.struct(P.replaced(t, new(found, done), lambda m: encoded(m["text"])).alias("tokenized"), tokens(done).alias("tokens")))
+    # what Python gives is bound outside of the lambdas that name it; both ways stand under when, for the optimizer takes what is
+    # picked out of an array as cheap and makes it anew for each column that names it
+    bound = F.struct(payload.alias("t"), found.alias("found"), bits.alias("bits"))
+    return F.when(found.isNotNull(), P.let(bound, lambda x: walk(x["t"], x["found"], x["bits"]))).otherwise(P.let(bound, lambda x: tokenized(x["t"], key, kinds, patterns, x["bits"])))
 
 
 def tokenize_payload(df: DataFrame, payload: str, key: bytes, patterns: dict[str, str] | None = None) -> DataFrame:
     """Adds tokenized and tokens of request payloads; detokenize_payload gives the payload back."""
-    return df.withColumn("__t", tokenized_payload(F.col(payload), key, patterns=patterns)).select(*df.columns, "__t.tokenized", "__t.tokens")
+    from quillguard.operators import detectors as D
+
+    p = F.col(payload)
+    # a value's letters stand in the payload as they are, but for escapes by number
+    bits = F.when(F.contains(p, F.lit("\\u")), F.lit(-1).cast("long")).otherwise(D.gates(p))
+    staged = df.withColumns({"__found": literals(F.when(is_json(p), p)), "__bits": bits})
+    made = staged.withColumn("__t", tokenized_payload(p, F.col("__found"), F.col("__bits"), key, patterns=patterns))
+    return made.select(*df.columns, "__t.tokenized", "__t.tokens")
 
 
 def detokenize_payload(payload: Column, tokens: Column) -> Column:
     """A payload with known tokens turned back inside its strings, values encoded as they must be there; a string that is JSON
     itself, as a tool call's arguments are, stays JSON."""
     escaped = lambda v: P.let(encoded(v), lambda e: F.substring(e, F.lit(2), F.length(e) - 2))
-    back = lambda v: F.when(is_json(v), each_match(v, TOKEN, lambda m: F.coalesce(escaped(F.try_element_at(tokens, m)), m))).otherwise(detokenize(v, tokens))
-    touched = lambda found: F.filter(found, lambda m: m["path"].isNotNull() & m["text"].rlike(TOKEN))
-    whole = P.let(payload, lambda t: P.replaced(t, touched(literals(t)), lambda m: encoded(back(m["value"]))))
-    return F.when(is_json(payload), whole).otherwise(detokenize(payload, tokens))
+    back = lambda v, known: F.when(is_json(v), each_match(v, TOKEN, lambda m: F.coalesce(escaped(F.try_element_at(known, m)), m))).otherwise(detokenize(v, known))
+    # a match that goes on to a colon is a key
+    value = lambda m: F.get(F.from_json(F.concat(F.lit("["), m["text"], F.lit("]")), "array<string>"), F.lit(0))
+    touched = lambda t: F.filter(P.matches(t, rf"(?:{LITERAL})(?:\s*:)?+"), lambda m: m["text"].rlike(TOKEN) & ~m["text"].endswith(":"))
+    whole = lambda t, known: P.replaced(t, touched(t), lambda m: encoded(back(value(m), known)))
+    bound = F.struct(payload.alias("t"), tokens.alias("tokens"))
+    return P.let(bound, lambda x: F.when(is_json(x["t"]), whole(x["t"], x["tokens"])).otherwise(detokenize(x["t"], x["tokens"])))

@@ -153,3 +153,12 @@ def test_values_that_need_escapes(spark):
     reply = json.dumps({"messages": [{"arguments": json.dumps({"x": f"{token} end"})}]})
     back = spark.createDataFrame([(reply, r.tokens)], "p string, m map<string,string>").select(R.detokenize_payload(F.col("p"), F.col("m"))).first()[0]
     assert json.loads(json.loads(back)["messages"][0]["arguments"]) == {"x": 'secret "a\nb" end'}
+
+
+def test_payload_strings_are_walked_once(spark):
+    """Strings and their paths come from one pass outside of the other expressions; escapes by number pass every gate."""
+    rows = [('{"prompt":"a1\\u0040gmail.com \\u0031234567893"}',), ('{"input":[' + ",".join(f'"n{i}@x.test"' for i in range(3000)) + "]}",), (None,), ("a2@gmail.com",)]
+    df = R.tokenize_payload(spark.createDataFrame(rows, "p string"), "p", KEY)
+    assert "literals(" in df._jdf.queryExecution().executedPlan().toString()
+    got = [(r.tokenized and "@" in r.tokenized, len(r.tokens)) for r in df.collect()]
+    assert got[0][1] == 2 and got[1] == (False, 3000) and got[3] == (False, 1)
