@@ -109,9 +109,30 @@ def has_term(text: Column, terms: tuple[str, ...]) -> Column:
     return F.exists(F.lit(list(terms)), lambda t: F.contains(flat, t))
 
 
-def n_patterns(flat: Column, leet: Column, patterns: tuple[str, ...]) -> Column:
-    """How many of the patterns a text holds, as it is or with digits read as letters (null where there are none)."""
-    return sum((F.when(flat.rlike(p) | F.coalesce(leet.rlike(p), F.lit(False)), 1).otherwise(0) for p in patterns), F.lit(0))
+PHRASES = OVERRIDE + JAILBREAK + EXFILTRATION
+
+
+@F.arrow_udf(T.LongType())
+def phrase_gates(flat: pa.Array, leet: pa.Array) -> pa.Array:
+    """Which of PHRASES a text may hold, a bit each: found by RE2 without word edges, which thus are the one thing left to try."""
+    bits = pa.array([0] * len(flat), pa.int64())
+    for read in (flat, leet):
+        some = pc.fill_null(pc.not_equal(read, ""), False)
+        texts = read.filter(some)
+        if not len(texts):
+            continue
+        held = pa.array([0] * len(texts), pa.int64())
+        for i, p in enumerate(PHRASES):
+            held = pc.bit_wise_or(held, pc.multiply(pc.match_substring_regex(texts, p.replace(r"\b", "")).cast(pa.int64()), 1 << i))
+        bits = pc.bit_wise_or(bits, pc.replace_with_mask(pa.array([0] * len(flat), pa.int64()), some, held))
+    return bits
+
+
+def n_patterns(flat: Column, leet: Column, patterns: tuple[str, ...], bits: Column) -> Column:
+    """How many of the patterns a text holds, as it is or with digits read as letters (null where there are none). bits: its
+    phrase_gates; a pattern is tried where it passes."""
+    one = lambda p: bits.bitwiseAND(F.lit(1 << PHRASES.index(p))) != 0
+    return sum((F.when(one(p) & (flat.rlike(p) | F.coalesce(leet.rlike(p), F.lit(False))), 1).otherwise(0) for p in patterns), F.lit(0))
 
 
 def holds_any(text: Column, stems) -> Column:
@@ -166,14 +187,15 @@ def passes(bits: Column, gate: str) -> Column:
 
 
 def flattened(df: DataFrame, text: Column, bits: Column | None = None) -> DataFrame:
-    """Adds __flat (lower case, single blanks, without quoted mentions) and __leet (the same with digits read as letters,
-    where that changes a word) of texts that may hold a phrase; '' and null of all others, which thus cost one scan.
+    """Adds __flat (lower case, single blanks, without quoted mentions), __leet (the same with digits read as letters,
+    where that changes a word) and __phrases (phrase_gates of both) of texts that may hold a phrase; '' and null of all others, which thus cost one scan.
     bits: the text's gates."""
     low = F.lower(text)
     maybe = holds_any(low, PHRASE_STEMS) | low.rlike("[a-z][013457@$][a-z]")
     staged = df.withColumn("__flat", F.when(maybe if bits is None else passes(bits, "phrase"), F.regexp_replace(low, r"\s+", " ")).otherwise(""))
     staged = staged.withColumn("__flat", F.when(F.col("__flat").rlike("[\"'`“‘«]"), F.regexp_replace("__flat", MENTION, " ")).otherwise(F.col("__flat")))
-    return staged.withColumn("__leet", F.when(F.col("__flat").rlike("[a-z][013457@$][a-z]"), C.leet_fold(F.col("__flat"))))
+    staged = staged.withColumn("__leet", F.when(F.col("__flat").rlike("[a-z][013457@$][a-z]"), C.leet_fold(F.col("__flat"))))
+    return staged.withColumn("__phrases", phrase_gates("__flat", "__leet"))
 
 
 def secret_labels(text: Column, table=SECRETS) -> Column:
@@ -237,9 +259,9 @@ def detect(df: DataFrame, text: str, distinct: Column | None = None, words: byte
     has = lambda gate, pattern: if_(gate, t.rlike(pattern), False)
     none = F.expr("cast(array() as array<string>)")
     matches = lambda c, pattern: found_all(c, pattern) if distinct is None else F.when(distinct, F.array_distinct(found_all(c, pattern))).otherwise(found_all(c, pattern))
-    flat, leet = F.col("__flat"), F.col("__leet")
+    flat, leet, held = F.col("__flat"), F.col("__leet"), F.col("__phrases")
     staged = flattened(df.withColumn("__gates", gates(t)), t, bits).withColumns({
-        "__o": n_patterns(flat, leet, OVERRIDE), "__j": n_patterns(flat, leet, JAILBREAK), "__x": n_patterns(flat, leet, EXFILTRATION), "__s": real_secret_labels(t, bits=bits),
+        "__o": n_patterns(flat, leet, OVERRIDE, held), "__j": n_patterns(flat, leet, JAILBREAK, held), "__x": n_patterns(flat, leet, EXFILTRATION, held), "__s": real_secret_labels(t, bits=bits),
         "__cards": if_("card", F.size(F.filter(matches(t, "[0-9](?:[ -]?[0-9]){12,18}"), C.card_ok))),
         "__ssn": if_("ssn", F.exists(matches(t, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), lambda m: C.ssn_ok(C.digits(m))), False),
         "__phones": if_("phone", F.size(F.filter(matches(t, r"(?<![0-9])(?:\+1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"), lambda m: ~F.substring(C.digits(m), -7, 3).eqNullSafe("555")))),
@@ -296,7 +318,7 @@ def custom_patterns(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
 
 def tool_output_signals(df: DataFrame, text: str) -> DataFrame:
     """Adds signals of orders inside a tool's output: one phrase is a hint, two or more are an injection."""
-    staged = flattened(df, F.coalesce(F.col(text), F.lit(""))).withColumn("__o", n_patterns(F.col("__flat"), F.col("__leet"), OVERRIDE + EXFILTRATION))
+    staged = flattened(df, F.coalesce(F.col(text), F.lit(""))).withColumn("__o", n_patterns(F.col("__flat"), F.col("__leet"), OVERRIDE + EXFILTRATION, F.col("__phrases")))
     sure = F.least(F.lit(1.0), 0.55 + 0.15 * F.col("__o"))
     found = S.signals((F.col("__o") > 0, S.signal("prompt_injection", F.when(F.col("__o") == 1, 0.55).otherwise(0.8), sure, "tool_output_instruction", detector="prompt_threats")))
-    return staged.withColumn("signals", found).drop("__flat", "__leet", "__o")
+    return staged.withColumn("signals", found).drop("__flat", "__leet", "__phrases", "__o")
