@@ -243,12 +243,13 @@ def keyed_numbers(text: Column, within: int = 120) -> Column:
     return F.coalesce(F.filter(some, lambda c: c.isNotNull()), F.expr("cast(array() as array<string>)"))
 
 
-def detect(df: DataFrame, text: str, distinct: Column | None = None, words: bytes | None = None, business: list[str] | None = None) -> DataFrame:
+def detect(df: DataFrame, text: str, distinct: Column | None = None, own: Column | None = None, words: bytes | None = None, business: list[str] | None = None) -> DataFrame:
     """Adds signals: instruction override, jailbreak, exfiltration, secrets, personal and health data, markers, code, commands.
 
     Null text has none. All expressions are built in, so a scan, its detectors and the scoring are one stage. The text is
-    read as it stands; pipelines.detect_decoded also reads what is folded, encoded or split. distinct: whether equal numbers,
-    addresses and lines count once, for texts that hold several views of one. words: see random_keys. business: the common words
+    read as it stands; pipelines.detect_decoded also reads what is folded, encoded or split. distinct: whether the text holds
+    several views of one; then numbers, addresses and lines of own (the text as it stands) count as often as they stand there, and
+    those of its other views once each. words: see random_keys. business: the common words
     of code (scans.domain_identifiers); where they are given, two lines of code whose identifiers speak of a business are
     source code too.
     """
@@ -258,7 +259,8 @@ def detect(df: DataFrame, text: str, distinct: Column | None = None, words: byte
     if_ = lambda gate, value, other=0: F.when(passes(bits, gate), value).otherwise(F.lit(other))
     has = lambda gate, pattern: if_(gate, t.rlike(pattern), False)
     none = F.expr("cast(array() as array<string>)")
-    matches = lambda c, pattern: found_all(c, pattern) if distinct is None else F.when(distinct, F.array_distinct(found_all(c, pattern))).otherwise(found_all(c, pattern))
+    new = lambda pattern: F.concat(found_all(own, pattern), F.array_except(found_all(t, pattern), found_all(own, pattern)))
+    matches = lambda c, pattern: found_all(c, pattern) if own is None else F.when(distinct, new(pattern)).otherwise(found_all(c, pattern))
     flat, leet, held = F.col("__flat"), F.col("__leet"), F.col("__phrases")
     staged = flattened(df.withColumn("__gates", gates(t)), t, bits).withColumns({
         "__o": n_patterns(flat, leet, OVERRIDE, held), "__j": n_patterns(flat, leet, JAILBREAK, held), "__x": n_patterns(flat, leet, EXFILTRATION, held), "__s": real_secret_labels(t, bits=bits),

@@ -75,7 +75,7 @@ def detect_decoded(df: DataFrame, text: str) -> DataFrame:
     # the views are a column of their own: inside the patterns' expressions they would be made anew for each
     views = F.array_join(F.concat(reshaped_views(F.col("__fold")), F.array(F.upper("__fold"))), "\n")
     staged = staged.withColumn("__views", views).withColumn("__held", D.gates(F.col("__views")))
-    found = D.detect(staged.withColumn("__all", F.concat_ws("\n", "__fold", "__decoded")), "__all", F.col("__decoded").isNotNull())
+    found = D.detect(staged.withColumn("__all", F.concat_ws("\n", "__fold", "__decoded")), "__all", F.col("__decoded").isNotNull(), F.col("__fold"))
     hidden = S.signals((raw.rlike(D.INVISIBLE), S.signal("prompt_injection", 0.6, 0.7, "invisible_characters", detector="prompt_threats")))
     known = F.exists("signals", lambda s: s["check"] == "secret")
     found = found.withColumn("__labels", F.when(~known, D.real_secret_labels(F.col("__views"), D.SECRETS[1:] + D.MORE_SECRETS, F.col("__held"))))

@@ -71,3 +71,12 @@ def test_phrase_gates_hold_what_phrases_find(spark):
     rows = made.select("__phrases", F.concat_ws(",", *(F.when(tried(p), str(i)) for i, p in enumerate(D.PHRASES))).alias("found")).collect()
     assert len({r.found for r in rows}) > 8
     assert all(r["__phrases"] >> int(i) & 1 for r in rows for i in r.found.split(",") if i)
+
+
+def test_an_encoded_run_takes_nothing_from_a_text(spark):
+    """Lines and numbers that a text repeats count as often with an encoded run beside them as without; a view's copies don't."""
+    from quillguard.operators.pipelines import detect_decoded
+
+    rows = [(t + end,) for t in ("import os\n" * 3, "call 212-734-1234\n" * 3, "call 212-734-1234\n") for end in ("", "100%41")]
+    found = [[s["check"] for s in r.signals] for r in detect_decoded(spark.createDataFrame(rows, "t string").coalesce(1), "t").collect()]
+    assert found == [["source_code"], ["source_code"], ["phones"], ["phones"], [], []]
