@@ -76,6 +76,8 @@ MARKERS = (
     r"|(?i:\b(?:marked|classified|labell?ed|tagged|stamped)(?: as)? (?:strictly |highly )?(?:confidential|proprietary|restricted|secret|internal)\b)|(?im:^\s*(?:confidential|proprietary|restricted|trade secret)\s*:)|\bTLP[: -]?(?:RED|AMBER|GREEN|CLEAR|WHITE)\b"
     r"|(?i:\b(?:data )?(?:classification|sensitivity)\s*[:=]\s*(?:highly )?(?:confidential|restricted|secret|internal)\b|\[(?:internal|restricted|secret|(?:highly )?confidential)\]|\b(?:MIP|Purview) label\b)"
 )
+#: What any marker holds in lower case; texts without it skip the pattern.
+MARKER_STEMS = ("confidential", "internal", "not distribute", "for distribution", "attorney", "proprietary", "restricted", "secret", "tlp", "mip label", "purview label")
 AUTONOMY = r"(?i)--(?:dangerously-skip-permissions|yolo|auto-approve|no-confirm)\b"
 DANGEROUS = r"(?i)\brm\s+-[a-z]*r[a-z]*f?[a-z]*\s+(?:/|~)|\b(?:curl|wget)\b[^|\n]{1,300}\|\s*(?:ba|z|da)?sh\b|\bmkfs\.|\bdd\s+if=[^\n]{1,100}\s+of=/dev/|:\(\)\s*\{\s*:\|:&\s*\};:"
 SENSITIVE_PATH = r"(?i)(?:/|\\|~/)(?:\.ssh/(?:id_[a-z0-9]+|authorized_keys)|\.aws/credentials|\.kube/config|\.netrc|etc/shadow)\b(?!\.pub)"
@@ -143,6 +145,11 @@ def holds_any(text: Column, stems) -> Column:
     return out
 
 
+def marked(text: Column) -> Column:
+    """Whether a text bears a marker; null for null."""
+    return F.when(text.isNotNull(), F.when(holds_any(F.lower(text), MARKER_STEMS), text.rlike(MARKERS)).otherwise(False))
+
+
 #: What a match of these formats holds for sure, where their pattern doesn't begin with it.
 SURE = {
     "assignment": (), "private_key": ("PRIVATE KEY",), "stripe_key": ("k_live_", "k_test_"), "jwt": ("eyJ",), "connection_string": ("://",), "basic_auth_url": ("://",), "sendgrid_key": ("SG.",), "mailchimp_key": ("-us",), "slack_webhook": ("hooks.slack.com",),
