@@ -5,8 +5,10 @@ neighbours in that order that share k words or more form the interval of a k-gra
 Counts are summed over shards by phrase.
 
 A phrase of LEAST occurrences has only words and pairs of as many. So four passes over the texts count words, then pairs of
-frequent words, then stretches of three to WORDS words inside frequent pairs (both by hashes, as a filter only), and last the
-frequent phrases as they are spelt. What is frequent goes back to the shards as a bitmap of one size for any corpus (2 ** BITS
+frequent words, then stretches of three to WORDS words inside frequent pairs (both by 64 bits of hash), and last the frequent
+phrases are spelt, each by one of the partitions that hold it. Sixteen more bits tell stretches apart that share a hash; these
+are spelt by all partitions and counted as they are spelt. Should the last pass find its texts dealt otherwise than the ones
+before, all partitions spell all frequent phrases. What is frequent goes back to the shards as a bitmap of one size for any corpus (2 ** BITS
 bits); where two share a bit, or where so many are frequent that the bitmap fills up, more is counted than needed, and the
 counts stay exact.
 
@@ -23,13 +25,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillguard.llm.common import pieces_of, released, table, written
 
 WORDS, LEAST, TOP, SHARE, BITS, SHARD_WORDS = 5, 100, 2000, 100, 26, 1 << 22
-UNKNOWN = "und"
+UNKNOWN, EACH, PLACED = "und", -1, 64 - BITS
 #: What ends a piece becomes a byte that no UTF-8 text has; letters A-Z become small ones.
 BREAK = b"\xff"
 FOLD = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -194,6 +197,17 @@ def spelt_hash(symbols: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> np
     return out
 
 
+def checked(symbols: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Sixteen more bits of each stretch, to tell apart those that share a hash."""
+    with np.errstate(over="ignore"):
+        return (sum(h[symbols[at + j]] * np.uint64(2 * j + 3) ** np.uint64(5) for j in range(k)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+
+
+def placed(h: Column, at: Column) -> Column:
+    """A stretch's hash with the number of the partition that spells it in the bits that a bitmap reads."""
+    return h.bitwiseXOR(F.shiftleft(at.cast("long"), PLACED))
+
+
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", words: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of at most `words` words that occur `least` times or more, and (lang, n): words of
     each language."""
@@ -206,39 +220,58 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", words
     context = docs.sparkSession.sparkContext
     frequent = context.broadcast(bitmap(every.where(F.col("f") >= least), "h"))
 
-    def of_pairs(shard):
-        symbols, h = frequent_words(shard, frequent.value)
-        for k, at, n in intervals(symbols, 2, 2):
-            yield [spelt_hash(symbols, h, at, k).view(np.int64), n]
+    def of(symbols, h, shortest, longest):
+        here = TaskContext.get().partitionId()
+        for k, at, n in intervals(symbols, shortest, longest):
+            x = spelt_hash(symbols, h, at, k)
+            yield [x.view(np.int64), checked(symbols, h, at, k), np.full(len(at), here, np.int32), n]
 
     def often(of):
-        counts = over_shards(docs, lang, text, of, "h long, n long").groupBy("h").agg(F.sum("n").alias("f"))
-        return context.broadcast(bitmap(counts.where(F.col("f") >= least), "h"))
-
-    pairs = often(of_pairs)
-
-    def of_longer(shard):
-        symbols, h = frequent_words(shard, frequent.value)
-        symbols = frequent_pairs(symbols, h, pairs.value)
-        for k, at, n in intervals(symbols, 3, words):
-            yield [spelt_hash(symbols, h, at, k).view(np.int64), n]
+        """Frequent stretches by hash, written, and their bitmap: each with the one partition that is to spell it, or EACH where
+        stretches that differ share the hash."""
+        counts = over_shards(docs, lang, text, of, "h long, g smallint, o int, n long").groupBy("h")
+        counts = counts.agg(F.sum("n").alias("f"), F.min("o").alias("o"), (F.min("g") == F.max("g")).alias("one")).where(F.col("f") >= least)
+        counts = written(counts.select("h", "f", F.when(F.col("one"), F.col("o")).otherwise(F.lit(EACH)).alias("o")))
+        return counts, context.broadcast(bitmap(counts, "h"))
 
-    longer = often(of_longer)
+    pairs, pair_bits = often(lambda shard: of(*frequent_words(shard, frequent.value), 2, 2))
 
-    def of_phrases(shard):
+    def inner(shard):
         symbols, h = frequent_words(shard, frequent.value)
-        symbols = frequent_pairs(symbols, h, pairs.value)
-        spelt = shard.words()
-        for k, at, n in intervals(symbols, 2, words):
-            some = np.flatnonzero(marked(longer.value, spelt_hash(symbols, h, at, k))) if k > 2 else np.arange(len(at))
-            rows = np.stack([symbols[at[some] + j] for j in range(k)], 1).tolist()
-            yield [shard.lang, [" ".join([spelt[w] for w in r]) for r in rows], np.full(len(rows), k), n[some]]
-
-    phrases = over_shards(docs, lang, text, of_phrases, "lang string, phrase string, k int, n long").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f"))
+        return frequent_pairs(symbols, h, pair_bits.value), h
+
+    longer, _ = often(lambda shard: of(*inner(shard), 3, words))
+    counts = pairs.withColumn("two", F.lit(True)).unionByName(longer.withColumn("two", F.lit(False)))
+
+    def spelt(by_all: bool) -> DataFrame:
+        """The frequent stretches as phrases: spelt by the partition that is to, or by all that hold them."""
+        bits = context.broadcast(bitmap(counts.select(placed(F.col("h"), F.lit(0) if by_all else F.col("o")).alias("h")), "h"))
+
+        def of_phrases(shard):
+            symbols, h = inner(shard)
+            names, here = shard.words(), 0 if by_all else TaskContext.get().partitionId()
+            for k, at, n in intervals(symbols, 2, words):
+                x = spelt_hash(symbols, h, at, k).view(np.int64)
+                good = marked(bits.value, (x ^ here << PLACED).view(np.uint64))
+                some = np.flatnonzero(good if by_all else good | marked(bits.value, (x ^ EACH << PLACED).view(np.uint64)))
+                rows = np.stack([symbols[at[some] + j] for j in range(k)], 1).tolist()
+                yield [shard.lang, [" ".join([names[w] for w in r]) for r in rows], np.full(len(rows), k), x[some], np.full(len(rows), here), n[some]]
+
+        rows = over_shards(docs, lang, text, of_phrases, "lang string, phrase string, k int, h long, at int, n long").withColumn("two", F.col("k") == 2)
+        if by_all:
+            return rows.groupBy("lang", "phrase", "k", "h").agg(F.sum("n").alias("f"))
+        met = rows.join(counts, ["h", "two"]).where((F.col("o") == F.col("at")) | (F.col("o") == EACH))
+        # several shards of a partition may spell the same
+        return met.groupBy("lang", "phrase", "k", "h").agg(F.when(F.max("o") == EACH, F.sum("n")).otherwise(F.max("f")).alias("f"))
+
+    phrases = written(spelt(False))
+    if phrases.select("h", F.col("k") == 2).distinct().count() < counts.count():  # the texts were dealt otherwise this time
+        released(phrases)
+        phrases = written(spelt(True))
     single = every.select("lang", "phrase", F.lit(1).alias("k"), "f")
-    found = written(single.unionByName(phrases).where(F.col("f") >= least))
+    found = written(single.unionByName(phrases.drop("h")).where(F.col("f") >= least))
     totals = written(every.groupBy("lang").agg(F.sum("f").alias("n")))
-    released(every)
+    released(every, pairs, longer, phrases)
     return found, totals
 
 
