@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -223,7 +225,17 @@ def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
     n = F.length(text)
     share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    return F.when(n > 0, F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda acc, c: F.when(c == "", acc).otherwise(acc - share(c) * F.log2(share(c))))).otherwise(0.0)
+    shares = F.transform(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""), share)
+    return F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))).otherwise(0.0)
+
+
+def entropic(text: Column, least: float, most: int = 80) -> Column:
+    """entropy(text) >= least, for a least above 0. Up to `most` characters, the number of different ones mostly settles it: the
+    entropy is greatest if all are equally frequent and smallest if all but one stand once. What lies between is counted."""
+    smallest = lambda n, d: math.log2(n) - (n - d + 1) * math.log2(n - d + 1) / n
+    enough = [2] + [next((d for d in range(1, n + 1) if smallest(n, d) >= least + 1e-9), n + 1) for n in range(1, most + 1)]
+    different = F.size(F.array_distinct(F.split(text, "")))
+    return F.when(different >= F.get(F.lit(enough), F.length(text)), True).when(different <= int(2 ** (least - 1e-9)), False).otherwise(entropy(text) >= least)
 
 
 def command_key(command: Column) -> Column:

@@ -233,8 +233,9 @@ def random_keys(text: Column, words: bytes | None = None) -> Column:
     from quillguard.functions.words import speaks
 
     decoded = lambda t: F.try_to_binary(F.concat(t, F.repeat(F.lit("="), F.pmod(-F.length(t), F.lit(4)))), F.lit("base64")).cast("string")
-    odd = lambda t: ~t.rlike("^[0-9a-fA-F]+$") & ~synthetic(t) & ~wordlike(t) & ~F.coalesce(decoded(t).rlike(r"^[\x20-\x7E\s]+$"), F.lit(False))
-    found = F.filter(entropy_tokens(without_media(text)), odd)
+    known = lambda t: t.rlike("^[0-9a-fA-F]+$") | wordlike(t)
+    odd = lambda t: ~synthetic(t) & ~F.coalesce(decoded(t).rlike(r"^[\x20-\x7E\s]+$"), F.lit(False))
+    found = F.filter(entropy_tokens(without_media(text), unless=known), odd)
     return F.filter(found, lambda t: ~speaks(t, words)) if words else found
 
 
@@ -283,12 +284,13 @@ def detect(df: DataFrame, text: str, distinct: Column | None = None, own: Column
     if business is not None:
         staged = staged.withColumn("__schema", F.col("__schema") + F.when((F.col("__code") >= 2) & (F.size(domain_identifiers(t, business)) >= 2), 2).otherwise(0))
     up = lambda base, n: F.least(F.lit(1.0), F.lit(base) + 0.15 * F.col(n))
-    blob = has("blob", r"[A-Za-z0-9+/]{60,}={0,2}") & ~t.rlike(MEDIA) & ~t.rlike(r"[0-9a-fA-F]{60,}")
+    asked = (F.col("__o") > 0) | (F.col("__j") > 0) | (F.col("__x") > 0)
+    blob = asked & has("blob", r"[A-Za-z0-9+/]{60,}={0,2}") & ~t.rlike(MEDIA) & ~t.rlike(r"[0-9a-fA-F]{60,}")
     found = S.signals(
         (F.col("__o") > 0, S.signal("prompt_injection", 0.8, up(0.62, "__o"), "instruction_override", detector="prompt_threats")),
         (F.col("__j") > 0, S.signal("jailbreak", 0.75, up(0.5, "__j"), "jailbreak", detector="prompt_threats")),
         (F.col("__x") > 0, S.signal("data_exfiltration", 0.8, up(0.6, "__x"), "data_exfiltration", detector="prompt_threats")),
-        (blob & ((F.col("__o") > 0) | (F.col("__j") > 0) | (F.col("__x") > 0)), S.signal("prompt_injection", 0.45, 0.5, "encoded_payload", detector="prompt_threats")),
+        (blob, S.signal("prompt_injection", 0.45, 0.5, "encoded_payload", detector="prompt_threats")),
         (has("invisible", INVISIBLE), S.signal("prompt_injection", 0.6, 0.7, "invisible_characters", detector="prompt_threats")),
         (F.size("__s") > 0, S.signal("secret_leak", 0.9, 0.85, "secret", detector="shadow_ai", evidence=F.array_join(F.slice("__s", 1, 4), ", "))),
         ((F.size("__s") == 0) & (F.size("__keys") > 0), S.signal("secret_leak", 0.7, 0.7, "high_entropy", detector="shadow_ai", evidence=F.array_join(F.transform(F.slice("__keys", 1, 4), lambda k: F.concat(F.substring(k, 1, 10), F.lit("…"))), ", "))),

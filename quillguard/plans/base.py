@@ -45,12 +45,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """df in even parts, their number growing with its files, before work that costs far more than a shuffle of its rows. How many
     tasks read a table says little: a file is one task's work if it is one row group, however many splits it is cut into. A
-    table of many files stays as it lies."""
+    table of many files stays as it lies. key: columns whose values are mostly rows of their own; rows are then dealt by them, which
+    spares the sort by which dealing in turn gives the same parts again."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= 4 * cores else df.repartition(max(4 * cores, 8 * df.rdd.getNumPartitions()))
+    return df if len(df.inputFiles()) >= 4 * cores else df.repartition(max(4 * cores, 8 * df.rdd.getNumPartitions()), *key)
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ K_SQL = "WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER)
 
 def payloads(spark, sf, texts: list) -> DataFrame:
     """id, c (the case), text of every event."""
-    e = spread(read(spark, sf, "events").select("event_id", "props")).select(F.col("event_id").alias("id"), (F.get_json_object("props", "$.k").cast("int") % len(texts)).alias("c"))
+    e = spread(read(spark, sf, "events").select("event_id", "props"), "event_id").select(F.col("event_id").alias("id"), (F.get_json_object("props", "$.k").cast("int") % len(texts)).alias("c"))
     return e.withColumn("text", F.element_at(F.array(*(F.lit(t) for t in texts)), F.col("c") + 1))
 
 

@@ -1,0 +1,52 @@
+"""What the detectors cost a row at size: events are dealt by key, and checks that cost much are tried last, with the same results."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillguard.functions import columns as C
+from quillguard.functions import text as X
+from quillguard.operators import detectors as D
+from quillguard.plans import registry
+
+ROWS = ("0123456789", "9876543210", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba", "qwertyuiop", "asdfghjkl")
+LISTED_RUNS = "|".join(s[i : i + 4] for s in ROWS for i in range(len(s) - 3))
+
+
+def tokens(n: int) -> list[str]:
+    """Random tokens over alphabets of all sizes, some with runs, repeats, words or an encoded text in them."""
+    r = random.Random(7)
+    signs = "aZ3kQ9xW7vB2nM5tR8yL1pD4bcefghijlmoqsuwzACEFGHIJKNOPSTUVXY06_"
+    parts = ("abcd", "6543", "qwer", "Lkjh", "ababab", "111", "Settings", "UserName", "dGhlIHF1aWNrIGJyb3du", "deadbeef")
+    made = ["".join(r.choices(signs[: r.randint(2, len(signs))], k=r.randint(24, 80))) for _ in range(n)]
+    return made + [m[: r.randint(0, 12)] + "".join(r.choices(parts, k=r.randint(1, 5))) + m[: r.randint(4, 20)] for m in made]
+
+
+@pytest.mark.parametrize("name", ["high_entropy_cases"])
+def test_events_are_dealt_by_key_before_they_are_parsed(spark, sf_dir, capsys, name):
+    registry.QUERIES[name](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(event_id" in plan and "RoundRobin" not in plan
+    assert plan.index("get_json_object") < plan.index("hashpartitioning(event_id")  # a plan is printed from its end
+
+
+def test_entropy_is_settled_by_the_number_of_characters(spark):
+    df = spark.createDataFrame([(t,) for t in [*tokens(1500), "", "a", "ab" * 60, "é" * 5, "".join(map(chr, range(0x4E00, 0x4E00 + 90)))]] + [(None,)], "t string")
+    rows = df.select("t", *(c for least in (1.5, 3.6, 4.5) for c in (C.entropic(F.col("t"), least), C.entropy(F.col("t")) >= least))).collect()
+    assert all(r[i] == r[i + 1] for r in rows for i in (1, 3, 5))
+    assert {r[3] for r in rows} == {True, False}
+
+
+def test_runs_are_those_listed():
+    for t in tokens(3000):
+        assert re.sub(f"(?:{X.RUNS})+", "", t.lower()) == re.sub(f"(?:{LISTED_RUNS})+", "", t.lower())
+
+
+def test_random_keys_are_the_same_in_any_order_of_checks(spark):
+    t = F.col("t")
+    decoded = lambda t: F.try_to_binary(F.concat(t, F.repeat(F.lit("="), F.pmod(-F.length(t), F.lit(4)))), F.lit("base64")).cast("string")
+    one = (C.entropy(t) >= 3.6) & t.rlike("[0-9]") & t.rlike("[A-Za-z]") & ~t.rlike("^[0-9a-fA-F]+$") & ~X.synthetic(t) & ~X.wordlike(t) & ~F.coalesce(decoded(t).rlike(r"^[\x20-\x7E\s]+$"), F.lit(False))
+    rows = spark.createDataFrame([(x[:80],) for x in tokens(1500) if len(x) >= 24], "t string").select(F.size(D.random_keys(t)) > 0, one).collect()
+    assert all(a == b for a, b in rows) and {a for a, _ in rows} == {True, False}
