@@ -6,6 +6,7 @@ Phrases are patterns built of a few word lists; vendors' key formats are those t
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -114,20 +115,44 @@ def has_term(text: Column, terms: tuple[str, ...]) -> Column:
 PHRASES = OVERRIDE + JAILBREAK + EXFILTRATION
 
 
+#: PHRASES without word edges, and those of them that count many repeats, which RE2 tries by themselves.
+EDGELESS = tuple(p.replace(r"\b", "") for p in PHRASES)
+COUNTED = tuple(p for p in EDGELESS if re.search(r"\{[0-9]*,[0-9]{2,}\}", p))
+
+
+def _zeros(n: int) -> pa.Array:
+    return pa.repeat(pa.scalar(0, pa.int64()), n)
+
+
+def _bits(texts: pa.Array, tries) -> pa.Array:
+    """One bit for each (number, what says whether texts pass) of tries."""
+    bits = _zeros(len(texts))
+    for i, found in tries:
+        bits = pc.bit_wise_or(bits, pc.multiply(found(texts).cast(pa.int64()), 1 << i))
+    return bits
+
+
+def _where(some: pa.Array, texts: pa.Array, tries) -> pa.Array:
+    """_bits of those texts where some is true, 0 elsewhere; without such a text no pattern is made."""
+    kept = texts.filter(some)
+    return pc.replace_with_mask(_zeros(len(texts)), some, _bits(kept, tries)) if len(kept) else _zeros(len(texts))
+
+
 @F.arrow_udf(T.LongType())
 def phrase_gates(flat: pa.Array, leet: pa.Array) -> pa.Array:
-    """Which of PHRASES a text may hold, a bit each: found by RE2 without word edges, which thus are the one thing left to try."""
-    bits = pa.array([0] * len(flat), pa.int64())
-    for read in (flat, leet):
-        some = pc.fill_null(pc.not_equal(read, ""), False)
-        texts = read.filter(some)
-        if not len(texts):
-            continue
-        held = pa.array([0] * len(texts), pa.int64())
-        for i, p in enumerate(PHRASES):
-            held = pc.bit_wise_or(held, pc.multiply(pc.match_substring_regex(texts, p.replace(r"\b", "")).cast(pa.int64()), 1 << i))
-        bits = pc.bit_wise_or(bits, pc.replace_with_mask(pa.array([0] * len(flat), pa.int64()), some, held))
-    return bits
+    """Which of PHRASES a text may hold, a bit each: found by RE2 without word edges, which thus are the one thing left to try.
+    Both readings go through together, and one pass tells the texts that any of the phrases may stand in."""
+    both = pa.concat_arrays([flat, leet])
+    some = pc.fill_null(pc.not_equal(both, ""), False)
+    texts = both.filter(some)
+    if not len(texts):
+        return _zeros(len(flat))
+    one = lambda p: lambda t: pc.match_substring_regex(t, p)
+    tries = [(i, one(p), p in COUNTED) for i, p in enumerate(EDGELESS)]
+    maybe = pc.match_substring_regex(texts, "|".join(p for p in EDGELESS if p not in COUNTED))
+    held = pc.bit_wise_or(_where(maybe, texts, [(i, f) for i, f, counted in tries if not counted]), _bits(texts, [(i, f) for i, f, counted in tries if counted]))
+    bits = pc.replace_with_mask(_zeros(len(both)), some, held)
+    return pc.bit_wise_or(bits.slice(0, len(flat)), bits.slice(len(flat)))
 
 
 def n_patterns(flat: Column, leet: Column, patterns: tuple[str, ...], bits: Column) -> Column:
@@ -164,6 +189,23 @@ def sure(name: str, pattern: str) -> tuple[str, ...]:
     return SURE.get(name) or ((head[1][:6].replace("\\", ""),) if name not in SURE and head and len(head[1]) > 2 else ())
 
 
+#: Vendors' formats, each a bit of format_gates.
+FORMATS = SECRETS[1:] + MORE_SECRETS
+
+
+@F.arrow_udf(T.LongType())
+def format_gates(texts: pa.Array) -> pa.Array:
+    """Which of FORMATS a text may hold, a bit each: by the plain strings that their matches hold for sure, and where there are
+    none, by RE2 without word edges. A null text holds none."""
+
+    def one(name: str, pattern: str):
+        heads = sure(name, pattern)
+        found = [lambda t, x=x: pc.match_substring(t, x) for x in heads] or [lambda t: pc.match_substring_regex(t, pattern.replace(r"\b", ""))]
+        return lambda t: reduce(pc.or_, (f(t) for f in found))
+
+    return _where(pc.is_valid(texts), texts, [(i, one(*row)) for i, row in enumerate(FORMATS)])
+
+
 #: By group of patterns, what a text with a match of one of them holds for sure. A gate may be wider than its patterns, never
 #: narrower; it has no look-around and no blanks by class, so RE2 finds it in one pass. Case counts unless (?i) says otherwise.
 GATES = {
@@ -210,14 +252,19 @@ def secret_labels(text: Column, table=SECRETS) -> Column:
     return F.filter(F.array(*(F.when(text.rlike(p), name) for name, p in table)), lambda x: x.isNotNull())
 
 
-def real_secret_labels(text: Column, table=SECRETS + MORE_SECRETS, bits: Column | None = None) -> Column:
-    """As secret_labels, without formats whose every match only stands for a secret. bits: the text's gates."""
+def real_secret_labels(text: Column, table=SECRETS + MORE_SECRETS, bits: Column | None = None, held: Column | None = None) -> Column:
+    """As secret_labels, without formats whose every match only stands for a secret. bits: the text's gates; held: its
+    format_gates, by which a format is tried only where it may stand."""
     none = F.expr("cast(array() as array<string>)")
     if bits is not None:
         assigned, formats = ([row for row in table if (row[0] == "assignment") == first] for first in (True, False))
-        of = lambda rows, gate: F.when(passes(bits, gate), real_secret_labels(text, rows)).otherwise(none) if rows else none
+        of = lambda rows, gate: F.when(passes(bits, gate), real_secret_labels(text, rows, held=held if gate == "format" else None)).otherwise(none) if rows else none
         return F.concat(of(assigned, "assigned"), of(formats, "format"))
-    maybe = lambda name, p: holds_any(text, sure(name, p)) & text.rlike(p) if sure(name, p) else text.rlike(p)
+    places = {name: i for i, (name, _) in enumerate(FORMATS)}
+    if held is not None:
+        maybe = lambda name, p: (held.bitwiseAND(F.lit(1 << places[name])) != 0) & text.rlike(p)
+    else:
+        maybe = lambda name, p: holds_any(text, sure(name, p)) & text.rlike(p) if sure(name, p) else text.rlike(p)
     real = lambda name, p: F.when(maybe(name, p), F.exists(found_all(text, p), lambda m: ~m.rlike(PLACEHOLDER)))
     return F.filter(F.array(*(F.when(real(name, p), name) for name, p in table)), lambda x: x.isNotNull())
 
@@ -270,8 +317,8 @@ def detect(df: DataFrame, text: str, distinct: Column | None = None, own: Column
     new = lambda pattern: F.concat(found_all(own, pattern), F.array_except(found_all(t, pattern), found_all(own, pattern)))
     matches = lambda c, pattern: found_all(c, pattern) if own is None else F.when(distinct, new(pattern)).otherwise(found_all(c, pattern))
     flat, leet, held = F.col("__flat"), F.col("__leet"), F.col("__phrases")
-    staged = flattened(df.withColumn("__gates", gates(t)), t, bits).withColumns({
-        "__o": n_patterns(flat, leet, OVERRIDE, held), "__j": n_patterns(flat, leet, JAILBREAK, held), "__x": n_patterns(flat, leet, EXFILTRATION, held), "__s": real_secret_labels(t, bits=bits),
+    staged = flattened(df.withColumn("__gates", gates(t)), t, bits).withColumn("__formats", format_gates(F.when(passes(bits, "format"), t))).withColumns({
+        "__o": n_patterns(flat, leet, OVERRIDE, held), "__j": n_patterns(flat, leet, JAILBREAK, held), "__x": n_patterns(flat, leet, EXFILTRATION, held), "__s": real_secret_labels(t, bits=bits, held=F.col("__formats")),
         "__cards": if_("card", F.size(F.filter(matches(t, "[0-9](?:[ -]?[0-9]){12,18}"), C.card_ok))),
         "__ssn": if_("ssn", F.exists(matches(t, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), lambda m: C.ssn_ok(C.digits(m))), False),
         "__phones": if_("phone", F.size(F.filter(matches(t, r"(?<![0-9])(?:\+1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"), lambda m: ~F.substring(C.digits(m), -7, 3).eqNullSafe("555")))),

@@ -54,9 +54,11 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     return df if len(df.inputFiles()) >= 4 * cores else df.repartition(max(4 * cores, 8 * df.rdd.getNumPartitions()), *key)
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings view: id, actor, ts, surface, k, risk, tool, category, status, reason, severity."""
+def findings(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    """The findings view: id, actor, ts, surface, k, risk, tool, category, status, reason, severity. even: spread before anything
+    is read from its properties."""
     e = read(spark, sf_dir, "events")
+    e = spread(e, "event_id") if even else e
     k = F.get_json_object("props", "$.k").cast("int")
     raw = e.select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id")).alias("actor"), "ts", F.col("event_type").alias("surface"), k.alias("k"), F.least(F.lit(100), F.floor(F.col("value") * 2)).cast("int").alias("risk"))
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), F.col("k") % 5 + 1)
