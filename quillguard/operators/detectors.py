@@ -231,6 +231,11 @@ def gates(texts: pa.Array) -> pa.Array:
     return bits
 
 
+#: As gates, for bits that stand below a text made anew, on which gates are asked again: the optimizer puts a function of Python into
+#: all that names it, and that into the next one's text, over and over; one said to be non-deterministic stays a column.
+held_gates = F.arrow_udf(gates.func, T.LongType()).asNondeterministic()
+
+
 def passes(bits: Column, gate: str) -> Column:
     return bits.bitwiseAND(F.lit(1 << list(GATES).index(gate))) != 0
 

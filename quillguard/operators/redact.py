@@ -101,7 +101,7 @@ def with_spans(df: DataFrame, text: str, kinds: tuple[str, ...] = SPAN_KINDS) ->
     """Adds spans: array<struct<start,end,kind>> of sensitive values in code points, end exclusive; overlapping ones merged."""
     from quillguard.operators import detectors as D
 
-    gated = df.withColumn("__bits", D.gates(F.col(text)))
+    gated = df.withColumn("__bits", D.held_gates(F.col(text)))
     return gated.withColumn("spans", F.transform(spans_of(F.col(text), kinds, bits=F.col("__bits")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind_of(s["kind"]).alias("kind")))).drop("__bits")
 
 

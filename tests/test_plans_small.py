@@ -1,0 +1,39 @@
+"""Plans that go through the detectors twice: the first pass isn't put into the second, and making a plan runs nothing."""
+
+from pyspark.sql import functions as F
+
+from quillguard.operators import detectors as D
+from quillguard.operators import redact as R
+from quillguard.operators.scans import without_spans
+from quillguard.plans import registry
+from quillguard.plans.cases import payloads
+
+
+def test_spans_are_made_once_though_gates_are_asked_again(spark):
+    df = spark.createDataFrame([("ssn 219-09-9998, a1@gmail.com", "ssn [SSN], [EMAIL]"), ("none", "none"), (None, None)], "t string, want string")
+    once = R.with_spans(df, "t")
+    clean = once.withColumn("clean", without_spans(F.col("t"), F.col("spans"))).withColumn("again", F.concat_ws("\n", "clean", F.upper("clean"), F.reverse("clean")))
+    twice = clean.withColumn("bits", D.gates(F.col("again")))
+    searches = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert searches(twice) <= searches(once) + 1  # without_spans cuts the text into blocks by one search
+    rows = twice.collect()
+    assert [r.clean for r in rows] == [r.want for r in rows] and [len(r.spans) for r in rows] == [2, 0, 0]
+
+
+def jobs_of(spark, group, make):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return make(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_a_verdict_is_dealt_before_its_proof_whatever_the_files(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(20).write.parquet(f"{tmp_path}/events.parquet")
+    made = registry.QUERIES["redaction_plan_cases"](spark, str(tmp_path))
+    assert "RepartitionByExpression [id" in made._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_verdict_is_not_run_to_count_its_parts(spark, sf_dir):
+    read = jobs_of(spark, "read", lambda: payloads(spark, sf_dir, ["x"]))[1]
+    assert jobs_of(spark, "made", lambda: registry.QUERIES["redaction_plan_cases"](spark, sf_dir))[1] == read
