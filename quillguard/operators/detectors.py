@@ -6,10 +6,11 @@ Phrases are patterns built of a few word lists; vendors' key formats are those t
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import reduce, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +116,23 @@ def has_term(text: Column, terms: tuple[str, ...]) -> Column:
 PHRASES = OVERRIDE + JAILBREAK + EXFILTRATION
 
 
+def made_once(make):
+    """make, whose columns are kept with its arguments as long as the JVM that has them: they name columns, so they serve any table,
+    and it takes thousands of calls to that JVM to make them."""
+    kept: dict = {}
+
+    @wraps(make)
+    def made(*args):
+        if kept.get("in") is not SparkContext._gateway:
+            kept.clear()
+            kept["in"] = SparkContext._gateway
+        if args not in kept:
+            kept[args] = make(*args)
+        return kept[args]
+
+    return made
+
+
 #: PHRASES without word edges, and those of them that count many repeats, which RE2 tries by themselves.
 EDGELESS = tuple(p.replace(r"\b", "") for p in PHRASES)
 COUNTED = tuple(p for p in EDGELESS if re.search(r"\{[0-9]*,[0-9]{2,}\}", p))
@@ -245,8 +263,8 @@ def flattened(df: DataFrame, text: Column, bits: Column | None = None) -> DataFr
     where that changes a word) and __phrases (phrase_gates of both) of texts that may hold a phrase; '' and null of all others, which thus cost one scan.
     bits: the text's gates."""
     low = F.lower(text)
-    maybe = holds_any(low, PHRASE_STEMS) | low.rlike("[a-z][013457@$][a-z]")
-    staged = df.withColumn("__flat", F.when(maybe if bits is None else passes(bits, "phrase"), F.regexp_replace(low, r"\s+", " ")).otherwise(""))
+    maybe = passes(bits, "phrase") if bits is not None else holds_any(low, PHRASE_STEMS) | low.rlike("[a-z][013457@$][a-z]")
+    staged = df.withColumn("__flat", F.when(maybe, F.regexp_replace(low, r"\s+", " ")).otherwise(""))
     staged = staged.withColumn("__flat", F.when(F.col("__flat").rlike("[\"'`“‘«]"), F.regexp_replace("__flat", MENTION, " ")).otherwise(F.col("__flat")))
     staged = staged.withColumn("__leet", F.when(F.col("__flat").rlike("[a-z][013457@$][a-z]"), C.leet_fold(F.col("__flat"))))
     return staged.withColumn("__phrases", phrase_gates("__flat", "__leet"))
@@ -270,8 +288,9 @@ def real_secret_labels(text: Column, table=SECRETS + MORE_SECRETS, bits: Column
         maybe = lambda name, p: (held.bitwiseAND(F.lit(1 << places[name])) != 0) & text.rlike(p)
     else:
         maybe = lambda name, p: holds_any(text, sure(name, p)) & text.rlike(p) if sure(name, p) else text.rlike(p)
-    real = lambda name, p: F.when(maybe(name, p), F.exists(found_all(text, p), lambda m: ~m.rlike(PLACEHOLDER)))
-    return F.filter(F.array(*(F.when(real(name, p), name) for name, p in table)), lambda x: x.isNotNull())
+    held_by = F.array(*(F.when(maybe(name, p), F.struct(F.lit(name).alias("name"), found_all(text, p).alias("hits"))) for name, p in table))
+    real = F.filter(held_by, lambda f: F.exists(f["hits"], lambda m: ~m.rlike(PLACEHOLDER)))
+    return F.transform(real, lambda f: f["name"])
 
 
 def found_all(text: Column, pattern: str) -> Column:
@@ -303,26 +322,37 @@ def keyed_numbers(text: Column, within: int = 120) -> Column:
     return F.coalesce(F.filter(some, lambda c: c.isNotNull()), F.expr("cast(array() as array<string>)"))
 
 
-def detect(df: DataFrame, text: str, distinct: Column | None = None, own: Column | None = None, words: bytes | None = None, business: list[str] | None = None) -> DataFrame:
+def detect(df: DataFrame, text: str, more: str | None = None, own: str | None = None, words: bytes | None = None, business: list[str] | None = None) -> DataFrame:
     """Adds signals: instruction override, jailbreak, exfiltration, secrets, personal and health data, markers, code, commands.
 
     Null text has none. All expressions are built in, so a scan, its detectors and the scoring are one stage. The text is
-    read as it stands; pipelines.detect_decoded also reads what is folded, encoded or split. distinct: whether the text holds
-    several views of one; then numbers, addresses and lines of own (the text as it stands) count as often as they stand there, and
-    those of its other views once each. words: see random_keys. business: the common words
+    read as it stands; pipelines.detect_decoded also reads what is folded, encoded or split. more: the column of what a text
+    holds besides own (the text as it stands), null where there is nothing; numbers, addresses and lines of own count as often as
+    they stand there, and those of its other views once each. words: see random_keys. business: the common words
     of code (scans.domain_identifiers); where they are given, two lines of code whose identifiers speak of a business are
     source code too.
     """
+    t, bits = F.coalesce(F.col(text), F.lit("")), F.col("__gates")
+    looked_for, found = _detected(text, more, own, words, None if business is None else tuple(business))
+    staged = flattened(df.withColumn("__gates", gates(t)), t, bits).withColumn("__formats", format_gates(F.when(passes(bits, "format"), t)))
+    for columns in looked_for:
+        staged = staged.withColumns(columns)
+    return staged.withColumn("signals", found).drop(*(c for c in staged.columns if c not in df.columns))
+
+
+@made_once
+def _detected(text: str, more: str | None, own: str | None, words: bytes | None, business: tuple[str, ...] | None) -> tuple[list[dict[str, Column]], Column]:
+    """The columns of detect, step by step, and its signals."""
     from quillguard.operators.scans import domain_identifiers
 
     t, bits = F.coalesce(F.col(text), F.lit("")), F.col("__gates")
     if_ = lambda gate, value, other=0: F.when(passes(bits, gate), value).otherwise(F.lit(other))
     has = lambda gate, pattern: if_(gate, t.rlike(pattern), False)
     none = F.expr("cast(array() as array<string>)")
-    new = lambda pattern: F.concat(found_all(own, pattern), F.array_except(found_all(t, pattern), found_all(own, pattern)))
-    matches = lambda c, pattern: found_all(c, pattern) if own is None else F.when(distinct, new(pattern)).otherwise(found_all(c, pattern))
+    new = lambda pattern: F.concat(found_all(F.col(own), pattern), F.array_except(found_all(t, pattern), found_all(F.col(own), pattern)))
+    matches = lambda c, pattern: found_all(c, pattern) if own is None else F.when(F.col(more).isNotNull(), new(pattern)).otherwise(found_all(c, pattern))
     flat, leet, held = F.col("__flat"), F.col("__leet"), F.col("__phrases")
-    staged = flattened(df.withColumn("__gates", gates(t)), t, bits).withColumn("__formats", format_gates(F.when(passes(bits, "format"), t))).withColumns({
+    looked_for = [{
         "__o": n_patterns(flat, leet, OVERRIDE, held), "__j": n_patterns(flat, leet, JAILBREAK, held), "__x": n_patterns(flat, leet, EXFILTRATION, held), "__s": real_secret_labels(t, bits=bits, held=F.col("__formats")),
         "__cards": if_("card", F.size(F.filter(matches(t, "[0-9](?:[ -]?[0-9]){12,18}"), C.card_ok))),
         "__ssn": if_("ssn", F.exists(matches(t, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), lambda m: C.ssn_ok(C.digits(m))), False),
@@ -332,9 +362,9 @@ def detect(df: DataFrame, text: str, distinct: Column | None = None, own: Column
         "__patient": F.when(has("patient", HEALTH_WORDS), F.when(t.rlike(MBI), 1).otherwise(0) + F.when(t.rlike(RECORD_NUMBER), 1).otherwise(0) + F.when(t.rlike(DIAGNOSIS), 1).otherwise(0)).otherwise(0),
         "__code": if_("code", F.size(matches(t, CODE))), "__schema": F.when(has("schema", SCHEMA), 2).otherwise(0) + F.when(has("internal", INTERNAL), 2).otherwise(0),
         "__keys": F.when(passes(bits, "random"), random_keys(t, words)).otherwise(none), "__keyed": F.when(passes(bits, "keyed"), keyed_numbers(t)).otherwise(none),
-    })
+    }]
     if business is not None:
-        staged = staged.withColumn("__schema", F.col("__schema") + F.when((F.col("__code") >= 2) & (F.size(domain_identifiers(t, business)) >= 2), 2).otherwise(0))
+        looked_for.append({"__schema": F.col("__schema") + F.when((F.col("__code") >= 2) & (F.size(domain_identifiers(t, list(business))) >= 2), 2).otherwise(0)})
     up = lambda base, n: F.least(F.lit(1.0), F.lit(base) + 0.15 * F.col(n))
     asked = (F.col("__o") > 0) | (F.col("__j") > 0) | (F.col("__x") > 0)
     blob = asked & has("blob", r"[A-Za-z0-9+/]{60,}={0,2}") & ~t.rlike(MEDIA) & ~t.rlike(r"[0-9a-fA-F]{60,}")
@@ -359,7 +389,7 @@ def detect(df: DataFrame, text: str, distinct: Column | None = None, own: Column
         (has("path", SENSITIVE_PATH), S.signal("sensitive_access", 0.9, 0.9, "sensitive_path", detector="mcp_guard")),
         (has("autonomy", AUTONOMY), S.signal("agent_autonomy", 0.7, 0.8, "autonomy_flag", detector="agent_safety")),
     )
-    return staged.withColumn("signals", found).drop(*(c for c in staged.columns if c not in df.columns))
+    return looked_for, found
 
 
 def custom_patterns(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:

@@ -59,6 +59,12 @@ def reputation_signals(servers: DataFrame, name: str, feed: DataFrame, denied: l
     return j.withColumn("signals", found).drop("__name", "tier", "in_registry", "published_at")
 
 
+@D.made_once
+def _labels(views: str, held: str) -> Column:
+    """Labels of vendors' formats in a text's other readings, by the readings' gates."""
+    return D.real_secret_labels(F.col(views), D.SECRETS[1:] + D.MORE_SECRETS, F.col(held))
+
+
 def detect_decoded(df: DataFrame, text: str) -> DataFrame:
     """The text detectors over a text, folded (which leaves ASCII as it stands), and what encoded runs of it hold; secrets of a
     vendor's format also over its other readings (split strings, JSON values, apart characters, broken lines, backwards,
@@ -75,10 +81,10 @@ def detect_decoded(df: DataFrame, text: str) -> DataFrame:
     # the views are a column of their own: inside the patterns' expressions they would be made anew for each
     views = F.array_join(F.concat(reshaped_views(F.col("__fold")), F.array(F.upper("__fold"))), "\n")
     staged = staged.withColumn("__views", views).withColumn("__held", D.gates(F.col("__views")))
-    found = D.detect(staged.withColumn("__all", F.concat_ws("\n", "__fold", "__decoded")), "__all", F.col("__decoded").isNotNull(), F.col("__fold"))
+    found = D.detect(staged.withColumn("__all", F.concat_ws("\n", "__fold", "__decoded")), "__all", "__decoded", "__fold")
     hidden = S.signals((raw.rlike(D.INVISIBLE), S.signal("prompt_injection", 0.6, 0.7, "invisible_characters", detector="prompt_threats")))
     known = F.exists("signals", lambda s: s["check"] == "secret")
-    found = found.withColumn("__labels", F.when(~known, D.real_secret_labels(F.col("__views"), D.SECRETS[1:] + D.MORE_SECRETS, F.col("__held"))))
+    found = found.withColumn("__labels", F.when(~known, _labels("__views", "__held")))
     shaped = S.signals((F.size("__labels") > 0, S.signal("secret_leak", 0.9, 0.85, "secret", detector="shadow_ai", evidence=F.array_join(F.slice("__labels", 1, 4), ", "))))
     kept = F.when(F.size("__labels") > 0, F.filter("signals", lambda s: s["check"] != "high_entropy")).otherwise(F.col("signals"))
     other = F.filter(hidden, lambda s: ~F.exists("signals", lambda p: p["check"] == s["check"]))
